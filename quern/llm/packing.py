@@ -73,36 +73,42 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return window, np.bincount(window, sizes, k).astype(np.int64)
 
 
+def bundles(sizes: np.ndarray, window: np.ndarray, k: int, pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(window, size, item, second item or -1) of what can be exchanged: nothing, an item, or two near each other in a window."""
+    n = len(sizes)
+    none = np.full(k, -1)
+    parts = [(np.arange(k), np.zeros(k, np.int64), none, none), (window, sizes, np.arange(n), np.full(n, -1))]
+    order = np.argsort(window, kind="stable")
+    for shift in (1, 2) if pairs else ():
+        a, b = order[:-shift], order[shift:]
+        together = window[a] == window[b]
+        a, b = a[together], b[together]
+        parts.append((window[a], sizes[a] + sizes[b], a, b))
+    return tuple(np.concatenate(column) for column in zip(*parts))
+
+
 def settle(sizes: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: int) -> bool:
-    """Bring windows just above the capacity below it by exchanging one item with another window's smaller one, or moving it."""
-    for _ in range(4 * len(sums)):
+    """Level windows above the capacity: the fullest exchanges one item, or else one or two, with another window, so that the fuller of the two is least."""
+    for _ in range(20 * len(sums)):
         over = int(np.argmax(sums))
-        excess = sums[over] - capacity
-        if excess <= 0:
+        if sums[over] <= capacity:
             return True
-        room = capacity - sums
-        others = np.flatnonzero(window != over)
-        given = np.concatenate([sizes[others], np.zeros(len(sums), np.int64)])
-        target = np.concatenate([window[others], np.arange(len(sums))])
-        best = None
-        for x in np.flatnonzero(window == over).tolist():
-            gain = sizes[x] - given
-            fits = np.flatnonzero((gain > 0) & (gain <= room[target]) & (target != over))
-            if len(fits):
-                enough = fits[gain[fits] >= excess]
-                at = enough[np.argmin(gain[enough])] if len(enough) else fits[np.argmax(gain[fits])]
-                score = (gain[at] < excess, abs(int(gain[at] - excess)))
-                if best is None or score < best[0]:
-                    best = (score, x, int(at))
-        if best is None:
+        for pairs in (False, True):
+            where, size, one, two = bundles(sizes, window, len(sums), pairs)
+            own, others = np.flatnonzero(where == over), np.flatnonzero(where != over)
+            gain = size[own][:, None] - size[others]
+            fuller = np.maximum(sums[over] - gain, sums[where[others]] + gain)
+            x, y = divmod(int(np.argmin(fuller)), len(others))
+            if fuller[x, y] < sums[over]:
+                break
+        else:
             return False
-        _, x, at = best
-        to, gain = int(target[at]), int(sizes[x] - given[at])
-        if at < len(others):
-            window[others[at]] = over
-        window[x] = to
-        sums[over] -= gain
-        sums[to] += gain
+        given, taken = own[x], others[y]
+        to = where[taken]
+        for bundle, place in ((given, to), (taken, over)):
+            window[[i for i in (one[bundle], two[bundle]) if i >= 0]] = place
+        sums[over] -= gain[x, y]
+        sums[to] += gain[x, y]
     return False
 
 
