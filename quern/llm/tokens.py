@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -253,7 +254,7 @@ def encoder(path: str) -> Encoder:
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about CHUNK_CHARS bytes of text each."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(sizes) - sizes) // CHUNK_CHARS
     edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [batch.num_rows]
     for a, b in zip(edges, edges[1:]):
