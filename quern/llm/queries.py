@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import forms, packing, spans, splitting, tokens
+from quern.llm import forms, nearcopy, packing, spans, splitting, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,16 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(_table(spark, folder, "faq"), "faq_id", "answer").distinct()
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of FAQs with a similarity of at least 0.7."""
+    return nearcopy.near_pairs(_table(spark, folder, "faq"), "faq_id", ["question", "answer"], 0.7)
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of each FAQ: all that are connected by links of at least 0.7."""
+    return nearcopy.near_groups(_table(spark, folder, "faq"), "faq_id", ["question", "answer"], 0.7)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """FAQ texts that differ from their consistent form."""
     return forms.changed_fields(_table(spark, folder, "faq"), "faq_id", ["question", "answer"], "faq_id")
@@ -63,7 +73,7 @@ def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p5_found, p5_forms, p6_ids, p7_containers, p7_use, p8_found, p8_shared)
+    f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_use, p8_found, p8_shared)
 }
 
 ORACLES: dict[str, str] = {
