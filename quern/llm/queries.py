@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import forms, nearcopy, packing, spans, splitting, tokens
+from quern.llm import forms, nearcopy, packing, pairs, spans, splitting, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,18 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(_table(spark, folder, "faq"), "faq_id", "answer").distinct()
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """FAQ pairs with a defect, and the first kind that applies."""
+    flagged = pairs.flagged(_table(spark, folder, "faq"), "faq_id", "question", "answer")
+    return flagged.where(F.col("defect").isNotNull()).select("faq_id", "defect").distinct()
+
+
+def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
+    """All kinds of defect of each FAQ pair that has any."""
+    flagged = pairs.flagged(_table(spark, folder, "faq"), "faq_id", "question", "answer")
+    return flagged.select("faq_id", F.explode("defects").alias("defect")).distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of FAQs with a similarity of at least 0.7."""
     return nearcopy.near_pairs(_table(spark, folder, "faq"), "faq_id", ["question", "answer"], 0.7)
@@ -73,7 +85,7 @@ def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_use, p8_found, p8_shared)
+    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_defects, p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_use, p8_found, p8_shared)
 }
 
 ORACLES: dict[str, str] = {
