@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import forms, nearcopy, packing, pairs, spans, splitting, tokens
+from quern.llm import forms, nearcopy, packing, pairs, privacy, spans, splitting, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of personal information in each text of memory."""
+    found = privacy.personal(_table(spark, folder, "memory"), "memory_id", ["content", "memory"])
+    return found.select("memory_id", "field", F.explode("found.kind").alias("kind")).distinct()
+
+
+def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts of memory with placeholders for personal information."""
+    return privacy.personal(_table(spark, folder, "memory"), "memory_id", ["content", "memory"]).select("memory_id", "field", "redacted").distinct()
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """FAQs whose answer is cut into more than one piece."""
     pieces = splitting.pieces(_table(spark, folder, "faq"), "faq_id", "answer")
@@ -85,7 +96,7 @@ def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_defects, p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_use, p8_found, p8_shared)
+    f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pieces, p3_found, p3_defects, p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_use, p8_found, p8_shared)
 }
 
 ORACLES: dict[str, str] = {
