@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _plans() -> list:
-    return []
+    from quern.plans import retrieval
+
+    return [retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
