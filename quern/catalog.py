@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _plans() -> list:
-    from quern.plans import retrieval
+    from quern.plans import language, retrieval
 
-    return [retrieval]
+    return [retrieval, language]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
