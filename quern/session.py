@@ -64,7 +64,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quern-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path.rpartition("/")[0])
     return spark.read.schema(df.schema).parquet(path)
 
