@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _plans() -> list:
-    from quern.plans import language, retrieval
+    from quern.plans import graph, language, retrieval
 
-    return [retrieval, language]
+    return [retrieval, language, graph]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
