@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _plans() -> list:
-    from quern.plans import graph, language, retrieval
+    from quern.plans import answers, dialogue, graph, language, retrieval
 
-    return [retrieval, language, graph]
+    return [retrieval, language, graph, dialogue, answers]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

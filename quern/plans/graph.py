@@ -99,12 +99,12 @@ def graph_similar(spark, folder):
     return ranked(near, k=3).select("query_id", "doc_id", "shared")
 
 
-@query("""SELECT a.name AS action, b.name AS feature, count(*) AS n FROM (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE rel_type = 'SUGGESTS_ACTION' AND entity_name IS NOT NULL) a
-  JOIN (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE rel_type = 'USES_FEATURE' AND entity_name IS NOT NULL) b USING (src) GROUP BY ALL""")
+@query("""SELECT a.name AS action, b.name AS bank, count(*) AS n FROM (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE rel_type = 'SUGGESTS_ACTION' AND entity_name IS NOT NULL) a
+  JOIN (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE rel_type = 'MENTIONS_BANK' AND entity_name IS NOT NULL) b USING (src) GROUP BY ALL""")
 def graph_one_hop(spark, folder):
     """What one hop over the document leads to."""
     side = lambda r, n: _edges(spark, folder).where((F.col("rel_type") == r) & F.col("entity_name").isNotNull()).select("src", G.name_key(F.col("entity_name")).alias(n)).distinct()
-    return side("SUGGESTS_ACTION", "action").join(side("USES_FEATURE", "feature"), "src").groupBy("action", "feature").agg(F.count(F.lit(1)).alias("n"))
+    return side("SUGGESTS_ACTION", "action").join(side("MENTIONS_BANK", "bank"), "src").groupBy("action", "bank").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT e.name AS error, array_to_string(list_sort(list(DISTINCT a.name)), '; ') AS actions FROM (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE rel_type = 'DESCRIBES_ERROR' AND entity_name IS NOT NULL) e
