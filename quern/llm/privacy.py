@@ -9,8 +9,7 @@ result and their spans mapped back, so the placeholder replaces just the source
 characters and the rest of the sentence stays as it was.
 
 Defined results: null stays null and has no findings; empty and blank texts have
-none; overlapping findings go to the longer, of equal length to the first kind
-of ``KINDS``; very long texts are taken whole; repeated rows give equal rows.
+none; of overlapping findings the first kind of ``KINDS`` counts; very long texts are taken whole; repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -102,7 +101,7 @@ _spelled = re.compile(rf"(?i)(?<!\w)(?:{_digit}|\d)(?:[ ,.\-]{{1,3}}(?:{_digit}|
 _element = re.compile(r"(?i)[a-z]+|\d")
 _at = re.compile(r"(?i)(?<=[a-z0-9_+\-])(?:\s*[(\[{<]\s*(?:at|a cong|a-cong|acong|a moc|@)\s*[)\]}>]\s*|\s+(?:a cong|a-cong|acong|a moc)\s+|\s+@\s+)(?=[a-z0-9])")
 _dot = re.compile(r"(?i)(?<=[a-z0-9])(?:\s*[(\[{]\s*(?:dot|cham|\.)\s*[)\]}]\s*|\s+(?:dot|cham)\s+)(?=[a-z0-9])")
-_letters = re.compile(r"(?i)(?<![a-z\d])(?=(?:[ol .\-]*\d){6})[\dol](?:[ .\-]?[\dol]){7,13}(?![a-z\d])")
+_letters = re.compile(r"(?i)(?<![a-z\d])(?=(?:[ol .\-]{0,3}\d){6})[\dol](?:[ .\-]?[\dol]){7,13}(?![a-z\d])")
 
 
 def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
@@ -266,7 +265,7 @@ def _names(tape: Tape, source: str) -> Iterator[Found]:
                 yield t.start(), tokens[caps[-1]].end(), "name"
                 used = caps[-1]
                 continue
-        if title and caps and (not bare or t[0].islower() or i == 0 or not text[: t.start()].rstrip()[-1:].isalnum()):
+        if title and caps and (not bare or t[0].islower() or i == 0 or not text[max(0, t.start() - 3) : t.start()].rstrip()[-1:].isalnum()):
             good = []
             for j in caps:
                 if words[j] not in PLAIN_GIVEN and words[j] not in PLAIN_SURNAMES or tokens[j][0].isupper() and len(tokens[j][0]) > 1 and not t[0].isupper() and len(caps) == 1 and words[j] not in PLAIN_GIVEN:
@@ -304,23 +303,30 @@ def findings(text: str | None) -> list[tuple[int, int, str]]:
         return []
     tape = normal(text)
     plain = tape.text
-    urls = [m.span() for m in _url.finditer(plain)]
     taken: list[Found] = []
+    marks = bytearray(len(plain))  # characters of links and findings
 
     def free(a: int, b: int) -> bool:
-        return not any(a < y and x < b for x, y, _ in taken) and not any(a < y and x < b for x, y in urls)
+        return marks.find(1, a, b) < 0
+
+    def take(a: int, b: int, kind: str) -> None:
+        taken.append((a, b, kind))
+        marks[a:b] = b"\x01" * (b - a)
 
     if "@" in plain:
-        taken += [(*m.span(), "email") for m in _email.finditer(plain)]
+        for m in _email.finditer(plain):
+            take(*m.span(), "email")
+    for m in _url.finditer(plain):
+        marks[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
     if re.search(r"\d", plain):
         for m in _id.finditer(plain):
             value = m["value"]
             digits = re.sub(r"\D", "", value)
             if 7 <= len(digits) <= 13 and free(*m.span("value")):
-                taken.append((*m.span("value"), "id_number"))
+                take(*m.span("value"), "id_number")
         for m in _address.finditer(plain):
             if free(*m.span()):
-                taken.append((*m.span(), "address"))
+                take(*m.span(), "address")
         for m in _number.finditer(plain):
             a, end = m.start(), m.end()
             if not free(a, end) or _other_number.search(plain[max(0, a - 45) : a]):
@@ -329,15 +335,17 @@ def findings(text: str | None) -> list[tuple[int, int, str]]:
             cuts = [len(shown), *sorted((s.start() for s in re.finditer(r"[ ,]", shown)), reverse=True)]
             size = next((n for cut in cuts if (n := _phone_end(shown[:cut]))), 0)
             if size:
-                taken.append((a, a + size, "phone"))
+                take(a, a + size, "phone")
         for m in _bare_id.finditer(plain):
             if free(*m.span()) and not _other_number.search(plain[max(0, m.start() - 45) : m.start()]):
-                taken.append((*m.span(), "id_number"))
+                take(*m.span(), "id_number")
     else:
-        taken += [(*m.span(), "address") for m in _address.finditer(plain) if free(*m.span())]
+        for m in _address.finditer(plain):
+            if free(*m.span()):
+                take(*m.span(), "address")
     for a, b, kind in _names(tape, text):
         if free(a, b):
-            taken.append((a, b, kind))
+            take(a, b, kind)
     return sorted((*tape.source(a, b), kind) for a, b, kind in taken)
 
 
