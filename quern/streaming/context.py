@@ -12,12 +12,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quern.operators.dialogue import CONTEXT, Context
 
 
-def running_context(turns: DataFrame, group: str = "conv_id") -> DataFrame:
+def running_context(turns: DataFrame, group: str = "conv_id", forget_ms: int | None = None) -> DataFrame:
     """The context of each conversation after each batch that has turns of it.
 
     ``turns`` is a stream of (group, turn_no, topic, faq_id, step); turns of a
     batch are taken in order, repeated and older turns than the last seen are
-    skipped. A conversation without turns for a day is forgotten.
+    skipped. With ``forget_ms`` a conversation without turns for so long is
+    forgotten; that needs batches without data, so a run to the end of what is
+    available must leave it out.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -33,11 +35,12 @@ def running_context(turns: DataFrame, group: str = "conv_id") -> DataFrame:
             last = int(r.turn_no)
             context.turn(None if pd.isna(r.topic) else r.topic, None if pd.isna(r.faq_id) else int(r.faq_id), None if pd.isna(r.step) else int(r.step))
         state.update((*context.row(), last))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame([(key[0], *context.row())], columns=[group, "topic", "faq_id", "step", "turns"])
 
     kind = turns.schema[group].dataType.simpleString()
-    return turns.groupBy(group).applyInPandasWithState(update, f"{group} {kind}, {CONTEXT}", f"{CONTEXT}, last int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy(group).applyInPandasWithState(update, f"{group} {kind}, {CONTEXT}", f"{CONTEXT}, last int", "update", GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, at: str, late: str, length: str, keys: list[str]) -> DataFrame:
