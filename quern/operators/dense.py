@@ -1,19 +1,23 @@
 """Nearest vectors, exactly, by block products.
 
-Queries and corpus are packed into blocks of rows; each query block meets each
-corpus block once, as one matrix product in a task, which keeps only the k best
-of each query. So what is shuffled is the blocks and k rows a query and block,
-and no task holds more than two blocks. Null vectors and vectors of another
+Queries and corpus are packed into blocks of rows and the blocks spread over a
+grid with about as many cells as there are shuffle partitions. A query block
+goes to all cells of its row, a corpus block to all of its column, so each two
+meet once, by equality of the cell, as one matrix product that keeps only the k
+best of each query. What is shuffled is the blocks, the root of the number of
+partitions times, and k rows a query and block; a task holds two blocks at a
+time. Null vectors and vectors of another
 length than the query's are left out; a zero vector has cosine 0.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.ranking import ranked
@@ -83,10 +87,13 @@ def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int
                 if parts:
                     yield pd.concat(parts)
 
-    q = _blocks(queries.select(F.col(query_key).alias("q_key"), vector), "q_key", vector, "q").withColumn("block", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.element_at("q_ids", 1))))
+    q = _blocks(queries.select(F.col(query_key).alias("q_key"), vector), "q_key", vector, "q")
     d = _blocks(corpus, key, vector, "d")
-    count = q.count()  # of blocks, not of rows
-    met = d.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(max(count, 1))))).join(q, "block")
+    side = math.isqrt(max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1)) + 1
+    others = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    q = q.withColumn("row", F.pmod(F.xxhash64("q_ids"), F.lit(side)).cast("int")).withColumn("column", others)
+    d = d.withColumn("column", F.pmod(F.xxhash64("d_ids"), F.lit(side)).cast("int")).withColumn("row", others)
+    met = d.join(q, ["row", "column"]).select("q_ids", "q_sizes", "q_data", "d_ids", "d_sizes", "d_data")
     found = met.mapInPandas(product, "query_id long, doc_id long, score double")
     return ranked(found, k=k).withColumn("method", F.lit(metric)).select("query_id", "doc_id", "method", "score", "rank")
 
