@@ -169,4 +169,6 @@ def packed(counts: DataFrame, key: str, size: str, capacity: int = 2048, block_c
 
     kind = counts.schema["key"].dataType.simpleString()
     schema = f"key {kind}, piece long, first_token long, n_tokens long, container long, place long, at long"
-    return pieces.groupBy("block").applyInPandas(place, schema).withColumnRenamed("key", key)
+    # Differencing is worth many tasks where the three numbers a piece aren't: the number is given, so it isn't coalesced by bytes.
+    tasks = min(blocks, max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 64)))
+    return pieces.repartition(tasks, "block").groupBy("block").applyInPandas(place, schema).withColumnRenamed("key", key)
