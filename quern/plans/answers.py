@@ -183,16 +183,19 @@ def similarity_boost(spark, folder):
     return rerank.boosted(_reranked(spark, folder).where("place <= 5")).select("query_id", "doc_id", F.round("ratio", 6).alias("ratio"), F.round("boosted", 6).alias("boosted"), "status")
 
 
-CASE_ROWS = [(n, m, f, s, k) for n in range(0, 200) for m, f, s, k in [(1, ["chuyển tiền"], ["bị trả lại"], ["ngân hàng", "lệnh"]), (2, ["nạp tiền"], ["chưa cập nhật"], ["ví", "mã"]), (3, [], [], ["phí", "hạn mức"])]]
-_case_values = "(SELECT n AS doc_id, case_id, f, s, k FROM range(0, 200) t(n), (VALUES (1, ['chuyển tiền'], ['bị trả lại'], ['ngân hàng', 'lệnh']), (2, ['nạp tiền'], ['chưa cập nhật'], ['ví', 'mã']), (3, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), ['phí', 'hạn mức'])) c(case_id, f, s, k))"
+CASES_OF_A_DOC = [(1, ["chuyển tiền"], ["bị trả lại"], ["ngân hàng", "lệnh"]), (2, ["nạp tiền"], ["chưa cập nhật"], ["ví", "mã"]), (3, [], [], ["phí", "hạn mức"])]
+_case_values = "(VALUES (1, ['chuyển tiền'], ['bị trả lại'], ['ngân hàng', 'lệnh']), (2, ['nạp tiền'], ['chưa cập nhật'], ['ví', 'mã']), (3, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), ['phí', 'hạn mức'])) c(case_id, f, s, k)"
 
 
-@query(f"""WITH h AS (SELECT faq_id AS query_id, faq_id AS doc_id, coalesce(question, '') AS text FROM faq WHERE faq_id < 200), s AS (SELECT query_id, h.doc_id, case_id, 20 * len(list_filter(f, lambda x: contains(lower(text), x))) + 25 * len(list_filter(s, lambda x: contains(lower(text), x)))
-  + 3 * len(list_filter(k, lambda x: contains(lower(text), x))) + CASE WHEN case_id = 1 THEN 1 ELSE 0 END AS score FROM h JOIN {_case_values} c USING (doc_id)) SELECT query_id, doc_id, case_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) = 1""")
+@query(f"""WITH h AS (SELECT faq_id AS query_id, faq_id AS doc_id, coalesce(question, '') AS text FROM faq), s AS (SELECT query_id, h.doc_id, case_id, 20 * len(list_filter(f, lambda x: contains(lower(text), x))) + 25 * len(list_filter(s, lambda x: contains(lower(text), x)))
+  + 3 * len(list_filter(k, lambda x: contains(lower(text), x))) + CASE WHEN case_id = 1 THEN 1 ELSE 0 END AS score FROM h, {_case_values}) SELECT query_id, doc_id, case_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) = 1""")
 def case_select(spark, folder):
-    """The best case of a document (the fixture has cases for two hundred)."""
-    cases = spark.createDataFrame(CASE_ROWS, "doc_id long, case_id int, features array<string>, statuses array<string>, keywords array<string>")
-    hits = table(spark, folder, "faq").select(F.col("faq_id").alias("query_id"), F.col("faq_id").alias("doc_id"), F.coalesce("question", F.lit("")).alias("text"))
+    """The best case of each document (the fixture gives every document three)."""
+    texts = lambda terms: F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    own = F.array(*[F.struct(F.lit(n).alias("case_id"), texts(f).alias("features"), texts(s).alias("statuses"), texts(k).alias("keywords")) for n, f, s, k in CASES_OF_A_DOC])
+    faq = table(spark, folder, "faq")
+    cases = faq.select(F.col("faq_id").alias("doc_id"), F.explode(own).alias("c")).select("doc_id", "c.*")
+    hits = faq.select(F.col("faq_id").alias("query_id"), F.col("faq_id").alias("doc_id"), F.coalesce("question", F.lit("")).alias("text"))
     return P.best_case(hits, cases, "text")
 
 
@@ -216,3 +219,25 @@ def result_stats(spark, folder):
     """Answers by status, however it's spelled."""
     known = F.when(~F.isnan("confidence"), F.col("confidence"))
     return table(spark, folder, "rag_result").groupBy(F.lower(F.trim("status")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower(F.trim("question"))).alias("questions"), F.round(F.avg(known), 6).alias("mean"))
+
+
+@query(f"""SELECT faq_id, concat_ws('; ', 'fee ' || fee, 'limit ' || "limit", 'time ' || "time") AS text FROM (SELECT faq_id, {_value} FROM faq) WHERE coalesce(fee, "limit", "time") IS NOT NULL""")
+def answer_from_fields(spark, folder):
+    """An answer put together from the values that were found."""
+    values = value_extract(spark, folder).where(F.coalesce("fee", "limit", "time").isNotNull())
+    return values.select("faq_id", F.concat_ws("; ", *[F.concat(F.lit(f"{k} "), F.col(k)) for k in ("fee", "limit", "time")]).alias("text"))
+
+
+@query("""WITH q AS (SELECT DISTINCT conv_id, turn_no, faq_id, user_query FROM chat_turn WHERE faq_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn_no ORDER BY ingested_at DESC) = 1),
+  s AS (SELECT faq_id, CAST(regexp_extract(line, '^\\s*(?:Bước |B|Step |\\(?)(\\d+)', 1) AS INT) AS number FROM (SELECT faq_id, unnest(string_split(answer, chr(10))) AS line FROM faq WHERE answer IS NOT NULL) WHERE regexp_matches(line, '^\\s*(Bước \\d{1,3}:|B\\d{1,3} -|Step \\d{1,3}:|\\(?\\d{1,3}[.)]) ')),
+  n AS (SELECT faq_id, max(number) AS last FROM s GROUP BY faq_id)
+  SELECT conv_id, turn_no, CASE WHEN last IS NULL THEN 'search' WHEN wanted > last THEN 'completed' ELSE 'steps' END AS branch, CASE WHEN last IS NOT NULL AND wanted <= last THEN wanted END AS step
+  FROM (SELECT *, coalesce(CAST(nullif(regexp_extract(lower(coalesce(user_query, '')), '(?:bước|step) (\\d{1,4})', 1), '') AS INT), 1) AS wanted FROM q) LEFT JOIN n USING (faq_id)""")
+def continuation_resolve(spark, folder):
+    """Whether a turn goes on with steps, is past the last, or has to be searched."""
+    turns = D.latest(table(spark, folder, "chat_turn").drop("entities").where("faq_id IS NOT NULL"), ["conv_id", "turn_no"], "ingested_at")
+    named = F.nullif(F.regexp_extract(F.lower(F.coalesce("user_query", F.lit(""))), r"(?:bước|step) (\d{1,4})", 1), F.lit("")).cast("int")
+    last = P.parsed_steps(table(spark, folder, "faq"), "faq_id", "answer").groupBy("faq_id").agg(F.max("number").alias("last"))
+    rows = turns.select("conv_id", "turn_no", "faq_id", F.coalesce(named, F.lit(1)).alias("wanted")).join(last, "faq_id", "left")
+    branch = F.when(F.col("last").isNull(), "search").when(F.col("wanted") > F.col("last"), "completed").otherwise("steps")
+    return rows.select("conv_id", "turn_no", branch.alias("branch"), F.when(branch == "steps", F.col("wanted")).alias("step"))

@@ -117,10 +117,10 @@ def memory_last_n(spark, folder):
     return rows.select("memory_id", "user_id", F.left(F.coalesce("memory", "content"), F.lit(500)).alias("kept"), "place")
 
 
-@query(f"SELECT coalesce(user_id, '') AS user_id, count(*) AS items, count(*) FILTER (source = 'fallback') AS fallback, count(DISTINCT session_id) AS sessions, round(coalesce(max(score), 0), 6) AS best FROM {MEM} WHERE memory_id % 10 <> 0 GROUP BY coalesce(user_id, '')")
+@query(f"SELECT coalesce(user_id, '') AS user_id, count(*) AS items, count(*) FILTER (source = 'fallback') AS fallback, count(DISTINCT session_id) AS sessions, round(coalesce(max(score), 0), 6) AS best FROM {MEM} WHERE NOT (memory IS NULL AND (content IS NULL OR trim(content) = '')) GROUP BY coalesce(user_id, '')")
 def memory_stats(spark, folder):
-    """Statistics by user after some items are deleted."""
-    gone = memories(spark, folder).where("memory_id % 10 = 0").select("memory_id")
+    """Statistics by user after items without any text are deleted."""
+    gone = memories(spark, folder).where("memory IS NULL AND (content IS NULL OR trim(content) = '')").select("memory_id")
     rows = memories(spark, folder).join(gone, "memory_id", "left_anti").withColumn("user_id", F.coalesce("user_id", F.lit("")))
     return rows.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("items"), F.sum(F.coalesce((F.col("source") == "fallback").cast("int"), F.lit(0))).alias("fallback"), F.count_distinct("session_id").alias("sessions"), F.round(F.coalesce(F.max("score"), F.lit(0.0)), 6).alias("best")

@@ -47,14 +47,17 @@ def graph_merge_edges(spark, folder):
     return G.merged_edges(edges, ["src", "rel_type", "label", "name"], "added_at").select("src", "rel_type", "label", "name", F.round("confidence", 6).alias("confidence"))
 
 
-@query("""WITH old AS (SELECT faq_id, question, intent FROM faq WHERE faq_id % 3 <> 0), new AS (SELECT faq_id, CASE WHEN faq_id % 2 = 0 THEN upper(question) END AS question, CASE WHEN faq_id % 5 = 0 THEN 'NEW' END AS intent FROM faq WHERE faq_id % 4 = 0)
-  SELECT coalesce(b.faq_id, a.faq_id) AS faq_id, coalesce(b.question, a.question) AS question, coalesce(b.intent, a.intent) AS intent FROM old a FULL JOIN new b ON a.faq_id = b.faq_id""")
+_LOADS = "(SELECT concat_ws('|', source, sheet_name, row_id) AS node, question, intent, row_number() OVER (PARTITION BY source, sheet_name, row_id ORDER BY faq_id) AS nth FROM faq WHERE source IS NOT NULL AND sheet_name IS NOT NULL AND row_id IS NOT NULL)"
+
+
+@query(f"""WITH old AS (SELECT * FROM {_LOADS} WHERE nth = 1), new AS (SELECT * FROM {_LOADS} WHERE nth = 2)
+  SELECT coalesce(b.node, a.node) AS node, coalesce(b.question, a.question) AS question, coalesce(b.intent, a.intent) AS intent FROM old a FULL JOIN new b ON a.node = b.node""")
 def graph_upsert_nodes(spark, folder):
-    """A batch of nodes merged into others, property by property."""
-    faq = table(spark, folder, "faq").select("faq_id", "question", "intent")
-    old = faq.where("faq_id % 3 <> 0")
-    new = faq.where("faq_id % 4 = 0").select("faq_id", F.when(F.col("faq_id") % 2 == 0, F.upper("question")).alias("question"), F.when(F.col("faq_id") % 5 == 0, F.lit("NEW")).alias("intent"))
-    return G.upserted_nodes(old, new, "faq_id")
+    """Rows loaded a second time merged into those of the first, property by property."""
+    rows = table(spark, folder, "faq").where("source IS NOT NULL AND sheet_name IS NOT NULL AND row_id IS NOT NULL")
+    nth = F.row_number().over(Window.partitionBy("source", "sheet_name", "row_id").orderBy("faq_id"))
+    loads = rows.select(F.concat_ws("|", "source", "sheet_name", F.col("row_id").cast("string")).alias("node"), "question", "intent", nth.alias("nth"))
+    return G.upserted_nodes(loads.where("nth = 1").drop("nth"), loads.where("nth = 2").drop("nth"), "node")
 
 
 _E = "(SELECT query_id, etype, lower(trim(value)) AS value FROM (SELECT DISTINCT conv_id * 1000 + turn_no AS query_id, m.key AS etype, unnest(m.value) AS value FROM (SELECT conv_id, turn_no, unnest(map_entries(entities)) AS m FROM chat_turn WHERE entities IS NOT NULL AND conv_id % 20 = 0)) WHERE trim(value) <> '')"
@@ -137,13 +140,13 @@ def _lines(spark, folder):
 
 
 @query(f"""WITH RECURSIVE l AS (SELECT l_orderkey * 100 + number AS a, l_orderkey * 100 + number + 1 AS b FROM {LINES} x WHERE EXISTS (SELECT 1 FROM {LINES} y WHERE y.l_orderkey = x.l_orderkey AND y.number = x.number + 1)),
-  w AS (SELECT o_orderkey * 100 + 1 AS start, o_orderkey * 100 + 1 AS node, 0 AS depth FROM orders WHERE o_orderkey % 20 = 0 UNION ALL SELECT start, b, depth + 1 FROM w JOIN l ON l.a = w.node WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM w GROUP BY ALL""")
+  w AS (SELECT o_orderkey * 100 + 1 AS start, o_orderkey * 100 + 1 AS node, 0 AS depth FROM orders UNION ALL SELECT start, b, depth + 1 FROM w JOIN l ON l.a = w.node WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM w GROUP BY ALL""")
 def graph_recursive_path(spark, folder):
-    """Steps reached within four, from every 20th order's first."""
+    """Steps reached within four, from each order's first."""
     lines = _lines(spark, folder)
     here = lines.select((F.col("parent_id") * 100 + F.col("number")).alias("a"))
     edges = here.join(here.select((F.col("a") - 1).alias("a"), F.col("a").alias("b")), "a")
-    starts = table(spark, folder, "orders").where("o_orderkey % 20 = 0").select((F.col("o_orderkey") * 100 + 1).alias("start"))
+    starts = table(spark, folder, "orders").select((F.col("o_orderkey") * 100 + 1).alias("start"))
     return G.paths(edges, starts, 4)
 
 

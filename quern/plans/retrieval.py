@@ -9,6 +9,7 @@ from quern.functions import fuzzy
 from quern.functions.text import first_topic, words
 from quern.operators import dense, ranking, sparse
 from quern.plans.common import FAQ_TEXT, asked, faq_text, sql_any, sql_bm25, sql_cosine, sql_ranked, sql_words, table
+from quern.session import staged
 
 QUERIES, ORACLES = {}, {}
 K = 10
@@ -359,3 +360,10 @@ def word_overlap_topk(spark, folder):
     d = table(spark, folder, "faq").select(F.col("faq_id").alias("doc_id"), F.explode(F.array_distinct(words(F.col("question")))).alias("term"))
     common = q.join(d, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("common")).withColumn("score", F.col("common").cast("double"))
     return ranking.ranked(common, k=3).select("query_id", "doc_id", "common", "rank")
+
+
+@query("SELECT vec_id, len(embedding) AS dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS total FROM embeddings WHERE embedding IS NOT NULL")
+def vector_index(spark, folder):
+    """Unit vectors written as a table and read back."""
+    index = staged(dense.unit(table(spark, folder, "embeddings").where("embedding IS NOT NULL"), "embedding").select("vec_id", "embedding"), "vectors")
+    return index.select("vec_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
