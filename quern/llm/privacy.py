@@ -148,8 +148,9 @@ _id = re.compile(
     r"(?i)(?<!\w)(?:cccd|can cuoc(?: cong dan)?|cmnd|cmt(?:nd)?|chung minh(?: thu| nhan dan)?|so dinh danh|dinh danh(?: ca nhan)?|ho chieu|hc|passport|pp|national id(?: card)?|citizen(?:ship)? (?:card|id)|identity (?:card|number)|(?:old )?id(?: card)?"
     r"|mst|ma so thue|tax (?:number|code|id|no)|gplx|giay phep lai xe|bang lai(?: xe)?|driv(?:ing|er'?s?) licen[cs]e|licen[cs]e)"
     r"(?:[ \t]*(?:ca nhan|gan chip|xe|hang \w\d?|so|no|number|num|moi|cu|cua (?:toi|minh|em|anh|chi)|toi|minh|la|is|[:#.\-]))*[ \t]*"
-    r"(?P<value>(?:[a-z]{1,2}[ \-]?)?\d(?:[ .\-]?\d){6,13})(?![\d/]|[a-z])"
+    r"(?P<value>(?:[a-z]{1,2}[ \-]?)?\d(?:[ .\-]?\d){6,13})(?![\d/]|[a-z]|[ ]?(?:dong|vnd|vnđ|usd|credits|trieu)\b)"
 )
+_money = re.compile(r"[1-9]\d{0,2}(?:[.,]\d{3}){1,2}")
 _bare_id = re.compile(r"(?<![\w/.\-])0\d{2}[ .\-]?\d{3}[ .\-]?\d{3}[ .\-]?\d{3}(?![\w/]|[.\-]\d)")
 _number = re.compile(r"(?<![\w/\-.+])\(?\+?\(?\d(?:[ .\-()]{0,2}\d){6,15}(?![\d/:]|[a-z]\w)(?:\s*(?:ext|x|may le)\.?\s*\d{1,5}(?!\w))?", re.I)
 # Fixed values, without accents: what makes the number after it another kind of number.
@@ -322,7 +323,7 @@ def findings(text: str | None) -> list[tuple[int, int, str]]:
         for m in _id.finditer(plain):
             value = m["value"]
             digits = re.sub(r"\D", "", value)
-            if 7 <= len(digits) <= 13 and free(*m.span("value")):
+            if 7 <= len(digits) <= 13 and not _money.fullmatch(value) and free(*m.span("value")):
                 take(*m.span("value"), "id_number")
         for m in _address.finditer(plain):
             if free(*m.span()):

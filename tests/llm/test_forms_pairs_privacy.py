@@ -64,7 +64,7 @@ def test_flagged_table(spark):
         ("Liên hệ +84 658881259 hoặc thuan_boi.lau＠thuvien.example.net khi có kết quả.", {"phone", "email"}), ("Điện thoại: không sáu ba tám ba không không ba năm bốn", {"phone"}), ("Mail: ngan_tinh [at] hop-thu [dot] example nhé", {"email"}),
         ("cứ gửi luu-thoi(a còng)buu-cuc chấm example chấm org.", {"email"}), ("Số 06247o7504 không nhận được OTP.", {"phone"}), ("Mã giao dịch của mình là 0603815015.", set()), ("Số tài khoản 747617344235 ở ngân hàng Tân Mộc có vấn đề.", set()),
         ("CCCD số: 097 347 134 401; họ tên Đỗ Mộng Quế Đình", {"id_number", "name"}), ("This is Corwick Tolliver-Wick, passport no Z 3058404, I lost my phone.", {"id_number", "name"}), ("MST: 9933671645-001", {"id_number"}),
-        ("Gửi thẻ mới về 20C đường Rặng Dừa, phường Phú Sim, quận Nam Cồn, TP Lạc Hải giúp tôi.", {"address"}), ("thôn Cầu Ngói, xã Đông Ngàn, huyện Bình Sa", {"address"}), ("Please mail the card to 227 Larkmoor Street.", {"address"}), ("Mình ở quận Bắc Rạch, TP Thung Đá.", set()), ("Đường dẫn số 40 trong thư không mở được.", set()),
+        ("Hạn mức khi chưa nộp hộ chiếu là 49.840.000 đồng", set()), ("Gửi thẻ mới về 20C đường Rặng Dừa, phường Phú Sim, quận Nam Cồn, TP Lạc Hải giúp tôi.", {"address"}), ("thôn Cầu Ngói, xã Đông Ngàn, huyện Bình Sa", {"address"}), ("Please mail the card to 227 Larkmoor Street.", {"address"}), ("Mình ở quận Bắc Rạch, TP Thung Đá.", set()), ("Đường dẫn số 40 trong thư không mở được.", set()),
         ("Khách chị Mận muốn đăng ký vân tay", {"name"}), ("NGHIÊM RẠNG hay dùng thẻ Mây Tím", {"name"}), ("khách nguyễn tịnh yên thoa muốn nhận hoàn tiền", {"name"}), ("Thẻ Mai Vàng Hạng Lựu chưa về. Nhờ Trợ Lý Ảo xem giúp gói An Khang Bền Lâu.", set()), ("Mình theo dõi kênh @saomai_hotro nhưng chưa thấy tin.", set()),
         ("Tôi đã xem ở https://tro-giup.saomai.example/bai/7260 mà chưa hiểu.", set()), ("", set()), ("   ", set()), (None, set()),
     ],
