@@ -8,6 +8,9 @@ are kept, the engine's group limit drops rows before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,15 +79,28 @@ CONTEXT = "topic string, faq_id long, step int, turns int"
 
 
 def folded_context(turns: DataFrame, group: str) -> DataFrame:
-    """The context after each conversation's last turn; turns(group, turn_no, topic, faq_id, step). A group is one conversation."""
-    import pandas as pd
+    """The context after each conversation's last turn; turns(group, turn_no, topic, faq_id, step).
 
-    kind = turns.schema[group].dataType.simpleString()
+    Turns are sorted within partitions and folded as they stream by, so no
+    conversation is held as a whole; null conversations are one.
+    """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state = Context()
-        for r in rows.sort_values("turn_no").itertuples():
-            state.turn(None if pd.isna(r.topic) else r.topic, None if pd.isna(r.faq_id) else int(r.faq_id), None if pd.isna(r.step) else int(r.step))
-        return pd.DataFrame([(rows[group].iloc[0], *state.row())], columns=[group, "topic", "faq_id", "step", "turns"])
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        names = [group, "topic", "faq_id", "step", "turns"]
+        for frame in frames:
+            done = []
+            for own, topic, faq_id, step in zip(*(frame[c].astype(object).where(frame[c].notna(), None) for c in (group, "topic", "faq_id", "step"))):
+                if state is None or own != key:
+                    if state is not None:
+                        done.append((key, *state.row()))
+                    key, state = own, Context()
+                state.turn(topic, None if faq_id is None else int(faq_id), None if step is None else int(step))
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if state is not None:
+            yield pd.DataFrame([(key, *state.row())], columns=names)
 
-    return turns.select(group, "turn_no", "topic", "faq_id", "step").groupBy(group).applyInPandas(fold, f"{group} {kind}, {CONTEXT}")
+    kind = turns.schema[group].dataType.simpleString()
+    sorted_ = turns.select(group, "turn_no", "topic", "faq_id", "step").repartition(group).sortWithinPartitions(group, "turn_no")
+    return sorted_.mapInPandas(fold, f"{group} {kind}, {CONTEXT}")

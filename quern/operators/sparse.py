@@ -15,35 +15,35 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import content_words
 from quern.operators.ranking import max_normalised, ranked
+from quern.session import staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(docs: DataFrame, key: str, text: str, stop: list[str] = (), shortest: int = 1) -> tuple[DataFrame, DataFrame]:
-    """postings(doc_id, term, tf) and lengths(doc_id, dl)."""
+    """postings(doc_id, term, tf) and lengths(doc_id, dl), the index' two tables, written once for its several readers."""
     cut = docs.select(F.col(key).alias("doc_id"), content_words(F.col(text), list(stop), shortest).alias("words"))
-    lengths = cut.select("doc_id", F.size("words").cast("long").alias("dl"))
-    return cut.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), lengths
+    lengths = staged(cut.select("doc_id", F.size("words").cast("long").alias("dl")), "lengths")
+    return staged(cut.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings"), lengths
 
 
-def term_weights(post: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """terms(term, df, idf) and a one-row corpus(n, avgdl, mean_idf); a negative idf becomes EPSILON x the mean."""
-    n = lengths.agg(F.count(F.lit(1))).scalar()
+def term_weights(post: DataFrame, lengths: DataFrame) -> tuple[DataFrame, tuple[int, float, float]]:
+    """terms(term, df, idf) and (n, average length, mean idf) of the corpus; a negative idf becomes EPSILON x the mean."""
+    n, average = lengths.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw")).scalar()
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumn("mean_idf", mean)
-    return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf")), corpus
+    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf")), (n, average, mean)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int, query_text: str = "query", stop: list[str] = (), shortest: int = 1) -> DataFrame:
     """hits(query_id, doc_id, method, score, rank): the k best, and of these the positive ones."""
     post, lengths = postings(docs, key, text, stop, shortest)
-    weights, corpus = term_weights(post, lengths)
+    weights, (_, average, _) = term_weights(post, lengths)
     asked = queries.select("query_id", F.explode(content_words(F.col(query_text), list(stop), shortest)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     wanted = post.join(asked.select("term").distinct(), "term", "left_semi").join(weights, "term").join(lengths, "doc_id")
-    tf, average = F.col("tf"), corpus.select("avgdl").scalar()
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / average))
+    tf = F.col("tf")
+    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(average or 1.0)))
     wanted = wanted.select("term", "doc_id", part.alias("part"))
     scored = asked.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("part")).alias("score"))
     return ranked(scored, k=k).where("score > 0").withColumn("method", F.lit("bm25")).select("query_id", "doc_id", "method", "score", "rank")

@@ -109,7 +109,7 @@ def bm25_terms(spark, folder):
 def bm25_stats(spark, folder):
     """L1: size of the corpus."""
     _, corpus = sparse.term_weights(*sparse.postings(faq_text(spark, folder), "faq_id", "text"))
-    return corpus.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
+    return spark.createDataFrame([corpus], "n long, avgdl double, mean_idf double").select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
 @query(f"WITH {sql_bm25(ASKED, FAQ_DOCS, K)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM b_hits")
