@@ -42,7 +42,7 @@ from quern.llm.forms import consistent
 from quern.session import staged
 
 GROUPS = 64
-RARITY = 1 << 18
+RARITY = 1 << 20
 LEAST_HOT = 4000
 FANOUT = 16
 #: Points of one tree, which bounds a task's memory; node pairs looked at together.
@@ -255,7 +255,7 @@ def near_copies(df: DataFrame, key: str, fields: list[str], threshold: float = 0
 
 def _unsigned_places(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Counters by place; pmod of a signed number and the rest of its unsigned form agree, as RARITY is a power of two."""
-    table = np.zeros(RARITY, np.int64)
+    table = np.zeros(RARITY, np.uint32)
     table[at] = n
     return table
 
