@@ -99,6 +99,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pieces, p3_found, p3_defects, p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_use, p8_found, p8_shared)
 }
 
+_WINDOWS = """w AS (SELECT DISTINCT doc_id, i, substr(text, i, 200) AS s FROM (SELECT DISTINCT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+  r AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1), h AS (SELECT w.* FROM w JOIN r USING (s))"""
+
 ORACLES: dict[str, str] = {
     "p2_found": "SELECT DISTINCT faq_id FROM faq WHERE length(answer) > 1000",
+    "p8_found": f"WITH {_WINDOWS}, d AS (SELECT DISTINCT doc_id, s FROM h) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b USING (s) WHERE a.doc_id < b.doc_id",
+    "p8_shared": f"""WITH {_WINDOWS}, c AS (SELECT doc_id, CAST(sum(least(200, coalesce(next - i, 200))) AS BIGINT) AS shared FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM h) GROUP BY doc_id),
+      t AS (SELECT doc_id, text, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE length(text) >= 200), d AS (SELECT DISTINCT doc_id, s FROM h),
+      l AS (SELECT a.doc_id, count(DISTINCT y.text) AS links FROM d a JOIN d b USING (s) JOIN t x ON x.doc_id = a.doc_id JOIN t y ON y.doc_id = b.doc_id WHERE x.text <> y.text GROUP BY a.doc_id)
+      SELECT f.doc_id, coalesce(length(f.text), 0) AS n_chars, coalesce(c.shared, 0) AS shared_chars, coalesce(t.copies, 1) AS copies, coalesce(l.links, 0) AS links, CASE WHEN length(f.text) > 0 THEN coalesce(c.shared, 0) / length(f.text) ELSE 0.0 END AS share
+      FROM documents f LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN l USING (doc_id)""",
 }

@@ -29,7 +29,7 @@ SECTION_CHARS = 1_000_000
 
 _paragraph = re.compile(r"\n[^\S\n]*\n\s*")
 _line = re.compile(r"\n[^\S\n]*")
-_sentence = re.compile(r"(?<![\d.!?…;:。！？])[.!?…;:。！？]+[\"'”’»)\]]*\s+")
+_sentence = re.compile(r"(?<![\d.!?…。！？])[.!?…。！？]+[\"'”’»)\]]*\s+")
 _word = re.compile(r"\s+")
 
 
