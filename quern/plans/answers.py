@@ -12,7 +12,9 @@ from quern.operators import ranking, rerank, sparse
 from quern.plans.common import FAQ_TEXT, asked, faq_text, sql_any, sql_bm25, sql_hits, sql_ranked, sql_words, table
 from quern.plans.language import CLASSIFIED, INTENTS
 from quern.plans.retrieval import TOPICS, topic_sql
+from quern.session import scratch
 from quern.sources import documents as S
+from quern.sources import tables
 
 QUERIES, ORACLES = {}, {}
 
@@ -74,7 +76,7 @@ _value = ", ".join(f"nullif(regexp_extract(lower(coalesce(answer, '')), '{p}', 1
 
 @query(f"SELECT faq_id, {_value} FROM faq")
 def value_extract(spark, folder):
-    """A2-A4: the first fee, limit and time of each answer."""
+    """The first fee, limit and time of each answer."""
     low = F.lower(F.coalesce("answer", F.lit("")))
     return table(spark, folder, "faq").select("faq_id", *[F.nullif(F.regexp_extract(low, p, 1), F.lit("")).alias(k) for k, p in VALUE.items()])
 
@@ -241,3 +243,18 @@ def continuation_resolve(spark, folder):
     rows = turns.select("conv_id", "turn_no", "faq_id", F.coalesce(named, F.lit(1)).alias("wanted")).join(last, "faq_id", "left")
     branch = F.when(F.col("last").isNull(), "search").when(F.col("wanted") > F.col("last"), "completed").otherwise("steps")
     return rows.select("conv_id", "turn_no", branch.alias("branch"), F.when(branch == "steps", F.col("wanted")).alias("step"))
+
+
+@query("SELECT string_split(source, '/')[-1] AS source, count(*) AS n FROM faq WHERE regexp_matches(question, '[\\p{L}\\p{N}]') AND lower(trim(question, ' ')) <> 'nan' AND regexp_matches(answer, '[\\p{L}\\p{N}]') AND lower(trim(answer, ' ')) <> 'nan' GROUP BY ALL")
+def json_documents(spark, folder):
+    """Documents written as JSON arrays and read back, by source."""
+    path = scratch(spark, "json")
+    built = S.built(table(spark, folder, "faq"), "faq_id")
+    tables.write_json_arrays(built.select("page_content", F.create_map(F.lit("source"), "source").alias("metadata")), path)
+    return S.from_json(spark, path).groupBy(F.col("metadata")["source"].alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT faq_id, row_id FROM faq WHERE intent = 'HOW_TO' AND row_id >= 10")
+def sql_parameters(spark, folder):
+    """SQL text with bound parameters."""
+    return tables.run(spark, "SELECT faq_id, row_id FROM {faq} WHERE intent = :intent AND row_id >= :least", {"faq": table(spark, folder, "faq")}, intent="HOW_TO", least=10)

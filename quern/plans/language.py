@@ -271,7 +271,7 @@ OTHER = "(SELECT id AS query_id, etype, value FROM (%s))" % ENTITIES.sql("SELECT
 @query(f"""WITH p AS {OTHER}, l AS (SELECT query_id, 'Action' AS etype, 'chuyển tiền nhanh' AS value FROM intent_query WHERE contains(lower(query), 'chuyển')),
   u AS (SELECT query_id, etype, value, 'pattern' AS source FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.query_id = p.query_id AND l.etype = p.etype AND contains(l.value, p.value)) UNION ALL SELECT query_id, etype, value, 'given' FROM l) SELECT * FROM u""")
 def entity_merge(spark, folder):
-    """pattern entities without those that a longer given one of the type contains."""
+    """Pattern entities without those that a longer given one of the type contains."""
     p = _entities(spark, folder).select("query_id", "etype", "value")
     given = table(spark, folder, "intent_query").where(F.lower("query").contains("chuyển")).select("query_id", F.lit("Action").alias("etype"), F.lit("chuyển tiền nhanh").alias("value"))
     return rules.merged_entities(given, p)
@@ -295,7 +295,7 @@ DOMAIN = ["ngân hàng", "thẻ", "tiền", "ví ", "tài khoản", "sao kê", "
 
 @query(f"SELECT query_id, CASE WHEN {sql_any('query', DOMAIN)} THEN 'in_scope' ELSE 'out_of_scope' END AS scope FROM intent_query")
 def out_of_scope(spark, folder):
-    """Questions without a word of the domain."""
+    """Questions without a word of the domain."""
     return table(spark, folder, "intent_query").select("query_id", F.when(X.has_any(F.col("query"), DOMAIN), "in_scope").otherwise("out_of_scope").alias("scope"))
 
 

@@ -157,7 +157,7 @@ def intent_keyword_topk(spark, folder):
 @query("""SELECT query_id, faq_id AS doc_id FROM (SELECT result_id AS query_id, faq_id, row_number() OVER (PARTITION BY result_id ORDER BY faq_id) AS r
   FROM (SELECT DISTINCT r.result_id, f.faq_id FROM rag_result r JOIN faq f ON lower(trim(r.question)) = lower(trim(f.question)))) WHERE r <= 10""")
 def keyword_fallback(spark, folder):
-    """Questions equal to the asked one but for case and blanks, where it has no keyword; the first ten."""
+    """Questions equal to the asked one but for case and blanks, where it has no keyword; the first ten."""
     q = table(spark, folder, "rag_result").select(F.col("result_id").alias("query_id"), F.lower(F.trim("question")).alias("text"))
     f = table(spark, folder, "faq").select(F.col("faq_id").alias("doc_id"), F.lower(F.trim("question")).alias("text"))
     hits = q.join(f, "text").select("query_id", "doc_id", F.lit(1.0).alias("score")).distinct()

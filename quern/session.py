@@ -56,6 +56,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/quern-{uuid.uuid4().hex}/{name}"
+    atexit.register(_remove, spark, path.rpartition("/")[0])
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -63,9 +70,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     lost, and several readers don't compute it several times.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/quern-{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path.rpartition("/")[0])
     return spark.read.schema(df.schema).parquet(path)
 
 

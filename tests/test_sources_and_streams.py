@@ -82,3 +82,21 @@ def test_stream_windows_and_redeliveries(spark, tmp_path):
         query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         query.awaitTermination()
         assert sorted(map(tuple, spark.table(name).collect())) == expected
+
+
+def test_sql_arguments_are_bound_and_tables_cleared(spark):
+    from quern.sources import tables
+
+    df = spark.createDataFrame([(1, "a'; DROP TABLE x"), (2, "b")], "id long, t string")
+    assert [r["id"] for r in tables.run(spark, "SELECT id FROM {df} WHERE t = :t", {"df": df}, t="a'; DROP TABLE x").collect()] == [1]
+    assert tables.cleared(df).count() == 0 and tables.cleared(df).columns == df.columns
+
+
+def test_json_arrays_round_trip(spark, tmp_path):
+    from quern.sources import tables
+
+    df = spark.createDataFrame([(f"x\n{i} \"ệ\"", {"k": str(i)}) for i in range(20)], "page_content string, metadata map<string,string>").repartition(3)
+    tables.write_json_arrays(df, str(tmp_path / "arrays"))
+    tables.write_json_arrays(df.limit(0), str(tmp_path / "none"))
+    assert sorted((r["page_content"], r["metadata"]["k"]) for r in documents.from_json(spark, str(tmp_path / "arrays")).collect()) == sorted((r["page_content"], r["metadata"]["k"]) for r in df.collect())
+    assert documents.from_json(spark, str(tmp_path / "none")).count() == 0
