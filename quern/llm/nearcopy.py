@@ -227,8 +227,8 @@ def near_copies(df: DataFrame, key: str, fields: list[str], threshold: float = 0
     one = staged(one, "classes")
     counted = one.select(F.explode("pairs").alias("pair")).groupBy(F.pmod("pair", F.lit(RARITY)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
-    table = counted.toPandas()  # at most RARITY rows, whatever the data
-    unsigned = _unsigned_places(table["at"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
+    table = counted.toArrow()  # at most RARITY rows of two numbers, whatever the data
+    unsigned = _unsigned_places(table["at"].to_numpy(), table["n"].to_numpy())
     rarity = spark.sparkContext.broadcast(unsigned)
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
