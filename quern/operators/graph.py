@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from quern.operators.ranking import max_normalised, ranked
 
+#: Parts a frequent name's sets of entities are spread over.
+SALTS = 16
+
 
 def name_key(name: Column) -> Column:
     return F.lower(F.trim(name))
@@ -89,6 +92,30 @@ def shared_neighbours(edges: DataFrame, seeds: DataFrame, most_common: int) -> D
     return own.join(names, "name").where("seed <> src").groupBy("seed", "src").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def most_shared(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """(seed, src, shared): the k other documents that share most entities with each seed, smaller ids first; every entity counts.
+
+    Documents with the same set of entities share equally much with all others,
+    so sets are compared, not documents: of a seed's sets the first k + 1, of a
+    set the k + 1 least documents can be among its k (one may be the seed).
+    """
+    names = edges.select("src", name_key(F.col("entity_name")).alias("name")).where("name <> ''").distinct()
+    documents = names.groupBy("src").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    least = documents.withColumn("nth", F.row_number().over(Window.partitionBy("names").orderBy("src"))).where(F.col("nth") <= k + 1)
+    sets = least.groupBy("names").agg(F.array_sort(F.collect_set("src")).alias("members")).withColumn("first", F.col("members")[0])
+    own = documents.join(seeds.select(F.col("doc_id").alias("src")).distinct(), "src")
+    salt = F.pmod(F.xxhash64("first"), F.lit(SALTS)).alias("salt")
+    asked = own.select("names").distinct().select("names", F.explode("names").alias("name")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    held = sets.select("first", salt, F.explode("names").alias("name"))
+    counts = asked.join(held, ["name", "salt"]).groupBy("names", "first").agg(F.count(F.lit(1)).alias("shared"))
+    best = Window.partitionBy("names").orderBy(F.desc("shared"), "first")
+    counts = counts.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
+    near = counts.join(sets.select("first", "members"), "first").select("names", "shared", F.explode("members").alias("doc_id"))
+    near = own.select(F.col("src").alias("seed"), "names").join(near, "names").where("seed <> doc_id")
+    last = Window.partitionBy("seed").orderBy(F.desc("shared"), "doc_id")
+    return near.withColumn("nth", F.row_number().over(last)).where(F.col("nth") <= k).select("seed", F.col("doc_id").alias("src"), "shared")
+
+
 def paths(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     """(start, node, depth) of all nodes within ``most`` directed steps, the least depth of each; edges(a, b), starts(start)."""
     reached = frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))

@@ -102,6 +102,16 @@ def graph_similar(spark, folder):
     return ranked(near, k=3).select("query_id", "doc_id", "shared")
 
 
+@query("""WITH m AS (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE trim(entity_name) <> ''),
+  s AS (SELECT a.src AS query_id, b.src AS doc_id, count(*)::DOUBLE AS score FROM m a JOIN m b USING (name) WHERE a.src <> b.src AND a.src % 20 = 0 GROUP BY ALL)
+  SELECT query_id, doc_id, CAST(score AS BIGINT) AS shared FROM (""" + sql_ranked("s", 3) + ")")
+def graph_similar_all(spark, folder):
+    """The three documents that share most entities with every 20th, frequent entities included."""
+    edges = _edges(spark, folder)
+    seeds = edges.where("src % 20 = 0").select(F.col("src").alias("doc_id")).distinct()
+    return G.most_shared(edges, seeds, 3).select(F.col("seed").alias("query_id"), F.col("src").alias("doc_id"), "shared")
+
+
 @query("""SELECT a.name AS action, b.name AS bank, count(*) AS n FROM (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE rel_type = 'SUGGESTS_ACTION' AND entity_name IS NOT NULL) a
   JOIN (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE rel_type = 'MENTIONS_BANK' AND entity_name IS NOT NULL) b USING (src) GROUP BY ALL""")
 def graph_one_hop(spark, folder):

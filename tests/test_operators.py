@@ -122,6 +122,21 @@ def test_paths_have_least_depths_and_end_in_cycles(spark):
     assert rows(graph.paths(edges, starts, 6), "node", "depth") == [(1, 0), (2, 1), (3, 1)]
 
 
+def test_most_shared_counts_frequent_entities(spark):
+    rows = [(i, n) for i in range(60) for n in (["Hot "] + ["warm"] * (i % 2) + [f"n{i % 7}"] * (i % 3 == 0))] + [(0, "hot"), (70, None), (71, " "), (72, "alone")]
+    edges = spark.createDataFrame(rows, "src long, entity_name string").repartition(4)
+    seeds = spark.createDataFrame([(i,) for i in (0, 1, 20, 21, 45, 72)], "doc_id long")
+    held = {}
+    for i, n in rows:
+        if n and n.strip():
+            held.setdefault(i, set()).add(n.strip().lower())
+    want = set()
+    for (s,) in seeds.collect():
+        near = sorted((-len(held[s] & held[d]), d) for d in held if d != s and held[s] & held[d])
+        want |= {(s, d, -n) for n, d in near[:3]}
+    assert {tuple(r) for r in graph.most_shared(edges, seeds, 3).collect()} == want
+
+
 def test_upsert_keeps_what_the_new_row_lacks(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, p string, q string")
     new = spark.createDataFrame([(2, None, "z"), (3, "c", None)], "id long, p string, q string")
