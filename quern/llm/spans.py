@@ -100,7 +100,8 @@ def kept_grams(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray
     return text, place - (ends - sizes)[text], value[place].view(np.int64)
 
 
-def _anchors(span: int, k: int):
+def _anchors(span: int, k: int, repeats: bool = False):
+    """(gram, doc, place) of the kept k-grams, with ``repeats`` also the places left out because one with the same surroundings is there."""
     w = span - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,20 +114,23 @@ def _anchors(span: int, k: int):
             text, place, value = kept_grams(texts, k, w)
             order = np.lexsort((value, text))
             same = np.zeros(len(order), bool)
+            again: dict[int, list[int]] = {}
             if len(order):
                 repeated = (np.diff(value[order], prepend=value[order[0]] + 1) == 0) & (np.diff(text[order], prepend=-1) == 0)
                 same[order[repeated]] = True
                 if same.any():  # of a k-gram's places in one text, those with other surroundings are enough
-                    known = set()
+                    known: dict[tuple, int] = {}
                     for i in order.tolist():
                         t, p = int(text[i]), int(place[i])
-                        around = (t, texts[t][max(0, p - span + k) : p + span], min(p, span - k))
-                        same[i] = around in known
-                        known.add(around)
+                        first = known.setdefault((t, texts[t][max(0, p - span + k) : p + span], min(p, span - k)), i)
+                        same[i] = first != i
+                        if repeats and first != i:
+                            again.setdefault(first, []).append(p)
             take = ~same
-            return pa.RecordBatch.from_arrays(
-                [pa.array(value[take]), pa.array(np.array(docs, np.int64)[text[take]] if take.any() else np.zeros(0, np.int64)), pa.array(place[take].astype(np.int32))], names=["gram", "doc", "place"]
-            )
+            columns = [pa.array(value[take]), pa.array(np.array(docs, np.int64)[text[take]] if take.any() else np.zeros(0, np.int64)), pa.array(place[take].astype(np.int32))]
+            if repeats:
+                columns.append(pa.array([again.get(i) for i in np.flatnonzero(take).tolist()], pa.list_(pa.int32())))
+            return pa.RecordBatch.from_arrays(columns, names=["gram", "doc", "place", "again"][: len(columns)])
 
         for batch in batches:
             for one, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -365,12 +369,15 @@ def _matches(span: int, k: int):
     return run
 
 
-def shared_spans(df: DataFrame, key: str, text: str, span: int = 200, gram: int | None = None) -> tuple[DataFrame, DataFrame]:
+def shared_spans(df: DataFrame, key: str, text: str, span: int = 200, gram: int | None = None, repeats: bool = False) -> tuple[DataFrame, ...]:
     """Spans that different texts share, and the documents of each class of equal texts.
 
     Returns matches (doc_a, doc_b, start_a, start_b, length) between the least
     documents of the classes, doc_a < doc_b, and members (rep, doc) of texts of
     at least ``span`` characters. ``key`` must be whole numbers.
+
+    Of places in one text with the same surroundings only the first is matched;
+    with ``repeats`` the others come third, as (rep, place, again).
     """
     k = gram or span // 2
     if not 0 < k < span:
@@ -378,9 +385,10 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = 200, gram: int
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.length("text") >= span).withColumn("print", F.xxhash64("text"))
     members = staged(docs.select("doc", "print", F.xxhash64(F.lit(17), "text").alias("check")).distinct(), "members")
     reps = members.groupBy("print", "check").agg(F.min("doc").alias("rep"))
-    grams = staged(docs.select("print", "doc", "text").mapInArrow(_anchors(span, k), "gram long, doc long, place int"), "grams")
+    fields = "gram long, doc long, place int" + ", again array<int>" * repeats
+    grams = staged(docs.select("print", "doc", "text").mapInArrow(_anchors(span, k, repeats), fields), "grams")
     shared = grams.groupBy("gram").agg(F.min("doc").alias("lead"), F.max("doc").alias("most")).where("lead < most").select("gram", "lead")
-    wanted = grams.join(shared, "gram").groupBy("doc").agg(F.collect_list(F.struct("lead", "place")).alias("grams"))
+    wanted = grams.select("gram", "doc", "place").join(shared, "gram").groupBy("doc").agg(F.collect_list(F.struct("lead", "place")).alias("grams"))
     # A task hashes a text once, but copies in several tasks come from several; one of them is enough.
     classes = members.join(reps, ["print", "check"]).select("doc", "rep")
     wanted = wanted.join(classes, "doc").groupBy("rep").agg(F.min_by("grams", "doc").alias("grams")).withColumnRenamed("rep", "doc")
@@ -398,7 +406,10 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = 200, gram: int
     )
     sorted_ = spread.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
     matches = sorted_.mapInArrow(_matches(span, k), "doc_a long, doc_b long, start_a long, start_b long, length long")
-    return matches, classes
+    if not repeats:
+        return matches, classes
+    others = grams.where("again IS NOT NULL").join(classes, "doc").select("rep", "place", F.explode("again").alias("again")).distinct()
+    return matches, classes, others
 
 
 def sharing_pairs(df: DataFrame, key: str, text: str, span: int = 200, names: tuple[str, str] = ("doc_id_a", "doc_id_b")) -> DataFrame:
@@ -412,6 +423,18 @@ def sharing_pairs(df: DataFrame, key: str, text: str, span: int = 200, names: tu
     return across.unionByName(within).where("x < y").distinct().toDF(*names)
 
 
+def _on_repeats(spans: DataFrame, repeats: DataFrame, span: int, k: int) -> DataFrame:
+    """The spans (rep, a, b) as they lie around the places (rep, again) whose surroundings are those of (rep, place)."""
+    first, last = F.col("place") - (span - k), F.col("place") + span
+    at = repeats.select("rep", "place").distinct().withColumn("part", F.floor(F.col("place") / span))
+    parts = F.sequence(F.floor(F.col("a") / span), F.floor((F.col("b") - k) / span))
+    near = spans.withColumn("part", F.explode(parts)).join(at, ["rep", "part"]).where("a <= place").where(F.col("b") >= F.col("place") + k)
+    near = near.select("rep", "place", F.greatest(F.col("a"), first).alias("a"), F.least(F.col("b"), last).alias("b")).where(F.col("b") - F.col("a") >= span)
+    near = near.groupBy("rep", "place").agg(F.min("a").alias("a"), F.max("b").alias("b"))  # all hold the gram: one run
+    by = F.col("again") - F.col("place")
+    return near.join(repeats, ["rep", "place"]).select("rep", (F.col("a") + by).alias("a"), (F.col("b") + by).alias("b"))
+
+
 def shared_share(df: DataFrame, key: str, text: str, span: int = 200) -> DataFrame:
     """(``key``, n_chars, shared_chars, share, copies, links) of each document.
 
@@ -419,14 +442,16 @@ def shared_share(df: DataFrame, key: str, text: str, span: int = 200) -> DataFra
     another document has too; copies of one text share all of it. ``links`` is
     the number of other texts (classes, not members) that share a run.
     """
-    matches, members = shared_spans(df, key, text, span)
+    k = span // 2
+    matches, members, repeats = shared_spans(df, key, text, span, k, repeats=True)
     matches = staged(matches.distinct(), "matches")
     sides = matches.select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("other"), F.col("start_a").alias("a"), (F.col("start_a") + F.col("length")).alias("b")).unionByName(
         matches.select(F.col("doc_b").alias("rep"), F.col("doc_a").alias("other"), F.col("start_b").alias("a"), (F.col("start_b") + F.col("length")).alias("b"))
     )
     links = sides.groupBy("rep").agg(F.count_distinct("other").alias("links"))
     before = Window.partitionBy("rep").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    covered = sides.groupBy("rep", "a").agg(F.max("b").alias("b")).withColumn("reached", F.coalesce(F.max("b").over(before), F.lit(0)))
+    covered = sides.groupBy("rep", "a").agg(F.max("b").alias("b"))
+    covered = covered.unionByName(_on_repeats(covered, repeats, span, k)).groupBy("rep", "a").agg(F.max("b").alias("b")).withColumn("reached", F.coalesce(F.max("b").over(before), F.lit(0)))
     covered = covered.groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.greatest("a", "reached"))).alias("covered"))
     copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
     by_doc = members.join(copies, "rep").join(covered, "rep", "left").join(links, "rep", "left").drop("rep").dropDuplicates(["doc"])

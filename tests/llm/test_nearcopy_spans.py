@@ -127,3 +127,18 @@ def test_shared_share_counts_covered_characters(spark):
     df = spark.createDataFrame(rows, "id long, text string")
     got = {r["id"]: (r["shared_chars"], r["copies"], r["links"]) for r in spans.shared_share(df, "id", "text", 40).collect()}
     assert got == {1: (60, 1, 2), 2: (60, 1, 2), 3: (0, 1, 0), 4: (0, 1, 0), 5: (50, 2, 0), 6: (50, 2, 0), 7: (45, 1, 2)}
+
+
+def test_shared_share_covers_repeats_inside_a_document(spark):
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    p = noise(700)
+    texts = {1: noise(50) + p + noise(60) + p + noise(70), 2: "Z" + p + "Y", 3: p[100:650] + "W" + p[100:650] + "V" + p[300:], 4: " " * 900 + "q" + " " * 500, 5: "r" + " " * 450, 6: noise(300)}
+    windows = {}
+    for i, t in texts.items():
+        for a in range(len(t) - 199):
+            windows.setdefault(t[a : a + 200], set()).add(i)
+    want = {i: len({c for a in range(len(t) - 199) if len(windows[t[a : a + 200]]) > 1 for c in range(a, a + 200)}) for i, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3)
+    assert {r["id"]: r["shared_chars"] for r in spans.shared_share(df, "id", "text", 200).collect()} == want
+    assert want[1] == 1400 and want[4] == 1400
