@@ -38,6 +38,7 @@ FILLERS = {
     "trong", "rong", "de trong", "bo trong", "khong", "khong co", "khong ro", "chua co", "chua ro", "chua co cau tra loi", "chua tra loi", "chua cap nhat", "dang cap nhat", "se cap nhat", "se cap nhat sau", "cap nhat sau", "dang bo sung", "bo sung sau", "cho cap nhat", "dang xu ly", "dang soan", "khong co du lieu", "khong co noi dung", "chua co noi dung", "chua co du lieu", "noi dung dang cap nhat", "noi dung dang duoc cap nhat",
     "tra loi", "cau tra loi", "dap an", "answer", "reply", "response", "a", "hoi", "question",
 }
+MOST_FILLED = max(len(x.replace(" ", "")) for x in FILLERS)
 _tags = re.compile(r"<[^<>]{0,80}>|&(?:nbsp|amp|lt|gt|quot|#\d+);?", re.I)
 _words = re.compile(r"[^\W_]+")
 
@@ -45,9 +46,12 @@ _words = re.compile(r"[^\W_]+")
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    if len(answer) > 200:
-        return False
-    words = _words.findall(folded(_tags.sub(" ", answer)))
+    shown, letters = _tags.sub(" ", answer), 0
+    for word in _words.finditer(shown):
+        letters += len(word[0])
+        if letters > MOST_FILLED:  # no filler has so many
+            return False
+    words = _words.findall(folded(shown))
     return not words or " ".join(words) in FILLERS
 
 
@@ -61,8 +65,6 @@ FRAMES = {""} | {
 
 def is_copy(question: str, answer: str) -> bool:
     """Whether the answer says the question, once or more, framed or spelled differently, and nothing else."""
-    if len(answer) > 4 * len(question) + 200:
-        return False
     q, a = _words.findall(folded(question)), _words.findall(folded(answer))
     one, other = "".join(q), "".join(a)
     if len(q) < 3 or len(other) < 0.6 * len(one):
@@ -88,15 +90,18 @@ REFUSALS = re.compile(
     r"|ne (?:peux|puis|pouvons) pas (?:repondre|aider|vous aider|vous repondre)|pas (?:d information|de reponse|en mesure)|kann (?:ich )?(?:ihnen )?(?:leider |nicht |diese |dabei )*(?:nicht )?(?:beantworten|helfen|weiterhelfen)|keine (?:antwort|information)|не могу (?:помочь|ответить)|нет (?:ответа|информации|данных)|к сожалению"
 )
 _redirect = re.compile(
-    r"^(?:ban|quy khach|anh chi|vui long|xin|hay|moi ban|please|you|try|contact|ask|write|reach|call|see|vous|sie|bitte|veuillez|обрат|попроб|пожал|напиш|thanh that|rat tiec|xin loi|mong|sorry|i m sorry|we apologi|cam on|thanks|for help|de duoc ho tro|neu can)"
+    r"^(?:ban|quy khach|anh chi|vui long|xin|hay|moi ban|please|you|try|contact|ask|write|reach|call|see|vous|sie|bitte|veuillez|обрат|попроб|пожал|напиш|thanh that|rat tiec|xin loi|mong|sorry|i m sorry|we apologi|cam on|thanks|for help|de duoc ho tro|neu can|hotline|tong dai|email|website|fanpage|chi nhanh|branch|phone|dien thoai)"
 )
+_phone = re.compile(r"\b(?:0\d|84|1[89]00)[\d ]{4,}\b(?! ?(?:dong|vnd|d)\b)")
+# What a line of where else to ask speaks of.
+_elsewhere = re.compile(r"\b(?:lien he|hoi|goi|hotline|tong dai|chi nhanh|quay|nhan vien|ho tro|tro giup|cham soc|email|chat|fanpage|website|phone|dien thoai|tu van|contact|ask|call|write|reach|visit|support|help|branch|desk|counters?|office|team|cent(?:er|re)|guichet|schalter|trung tam|bo phan|van phong|staff|agent|hot ?line|contactez|appelez|ecrivez|agence|conseiller|wenden|kontakt\w*|filiale|обрат\w*|звон\w*|напиш\w*|служб\w*|поддержк\w*)\b")
+# What says how to do it, and so answers.
+_does = re.compile(r"\b(?:vao|chon|bam|nhap|mo|nhan nut|quet|dien|open|press|select|choose|enter|tap|click|scan|fill|ouvrez|appuyez|choisissez|offnen|wahlen|drucken|откройте|нажмите|выберите|введите)\b")
 _sentences = re.compile(r"(?<=[.!?…;])\s+|\n+")
 
 
 def is_refusal(answer: str) -> bool:
     """Whether the answer declines, and at most says where else to ask."""
-    if len(answer) > 500:
-        return False
     declined = False
     for sentence in _sentences.split(answer.strip()):
         plain = " ".join(_words.findall(folded(sentence)))
@@ -104,7 +109,7 @@ def is_refusal(answer: str) -> bool:
             continue
         if REFUSALS.search(plain):
             declined = True
-        elif not _redirect.match(plain) or re.search(r"\d{3}", plain):
+        elif not _redirect.match(plain) or re.search(r"\d{3}", _phone.sub(" ", plain)) or _does.search(plain) and not _elsewhere.search(plain):
             return False
     return declined
 

@@ -52,6 +52,18 @@ def test_defects(question, answer, kind):
     assert (pairs.defects(question, answer) or [None])[0] == kind
 
 
+@pytest.mark.parametrize(
+    "answer, kind",
+    [
+        (" " * 201, "empty_answer"), ("\n" * 300, "empty_answer"), ("." * 250, "empty_answer"), ("- " * 200, "empty_answer"), ("<p>&nbsp;</p>" * 40, "empty_answer"), ("N/A" + " ." * 150, "empty_answer"), (" " * 300 + "Đang cập nhật", "empty_answer"),
+        ((Q + " ") * 12, "copied_question"), (f"Câu hỏi: {Q} " * 9, "copied_question"), (f"{Q} " * 9 + GOOD, None),
+        ("Xin lỗi, tôi không thể trả lời câu hỏi này. " + "Bạn liên hệ chi nhánh gần nhất hoặc hỏi nhân viên tại quầy giao dịch. " * 12, "refusal"), ("Tôi không thể trả lời câu hỏi này. Vui lòng liên hệ:\n" + "Hotline: 1900 545 415\nChi nhánh Cầu Giấy, quầy 2\n" * 12 + "Email cho bộ phận hỗ trợ.", "refusal"), ("Xin lỗi, tôi không thể trả lời câu hỏi này. " + f"{GOOD} " * 12, None), (" ".join([GOOD] * 20), None),
+    ],
+)
+def test_defects_at_any_length(answer, kind):
+    assert (pairs.defects(Q, answer) or [None])[0] == kind
+
+
 def test_flagged_table(spark):
     df = spark.createDataFrame([(1, Q, None, "x"), (2, Q, GOOD, "x"), (2, Q, GOOD, "x")], "id long, question string, answer string, defects string")
     assert sorted((r["id"], r["defect"]) for r in pairs.flagged(df, "id", "question", "answer").collect()) == [(1, "empty_answer"), (2, None), (2, None)]
