@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,7 +154,33 @@ def language(text: str) -> str | None:
     return best if most >= 3 and most >= 0.12 * len(words) and most >= 1.25 * second else None
 
 
+@lru_cache(1 << 16)
+def _script(letter: str) -> str:
+    """The script of a letter by its name; Han and kana are one, since Japanese mixes them."""
+    name = unicodedata.name(letter, "?").split(" ")[0].split("-")[0]
+    return "CJK" if name in ("HIRAGANA", "KATAKANA") else name
+
+
+def main_script(text: str, least: int) -> str | None:
+    """The script of more than half of the letters; None for fewer than ``least`` Latin words, which may be names."""
+    text = _ignored.sub(" ", text)
+    count = Counter()
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            count[_script(c)] += n
+    if not count:
+        return None
+    (script, most), *_ = count.most_common(1)
+    if 2 * most <= count.total() or script == "LATIN" and len(_words.findall(text)) < least:
+        return None
+    return script
+
+
 def is_other_language(question: str, answer: str) -> bool:
+    """Whether the scripts differ, or within one script the languages."""
+    asked, told = main_script(question, 2), main_script(answer, 3)
+    if asked and told and asked != told:
+        return True
     own = language(question)
     return own is not None and (found := language(answer)) is not None and own != found
 

@@ -64,6 +64,18 @@ def test_defects_at_any_length(answer, kind):
     assert (pairs.defects(Q, answer) or [None])[0] == kind
 
 
+@pytest.mark.parametrize(
+    "question, answer, other",
+    [
+        ("Card declined?", "Обработка занимает 53 часа, а банк может добавить ещё дней.", True), (Q, "您可以在应用中查看交易状态。", True), (Q, "カードの設定を開いてください。", True), (Q, "카드 설정에서 확인하실 수 있습니다.", True), (Q, "คุณสามารถตรวจสอบได้ในแอป", True),
+        (Q, "يمكنك التحقق من ذلك في التطبيق.", True), (Q, "Μπορείτε να το ελέγξετε στην εφαρμογή.", True), ("Как сменить код?", "Open the card menu, then choose the code.", True), ("Как сменить код?", "Visa Mastercard", False), ("カードの暗証番号は？", "設定画面で変更可能。", False),
+        ("Card declined?", "Open Google Pay.", False), (Q, GOOD, False), ("Как сменить код?", "Откройте Google Pay Wallet и смените код.", False),
+    ],
+)
+def test_scripts_tell_languages_apart(question, answer, other):
+    assert pairs.is_other_language(question, answer) == other
+
+
 def test_flagged_table(spark):
     df = spark.createDataFrame([(1, Q, None, "x"), (2, Q, GOOD, "x"), (2, Q, GOOD, "x")], "id long, question string, answer string, defects string")
     assert sorted((r["id"], r["defect"]) for r in pairs.flagged(df, "id", "question", "answer").collect()) == [(1, "empty_answer"), (2, None), (2, None)]
