@@ -164,20 +164,19 @@ def keyword_fallback(spark, folder):
     return ranking.ranked(hits, k=10).select("query_id", "doc_id")
 
 
-def _fuzzy_pairs(spark, folder, least):
-    """Pairs worth a full comparison: a rare word in common, lengths that allow the ratio."""
-    q = asked(spark, folder).withColumn("words", F.array_distinct(words(F.col("query"))))
-    d = table(spark, folder, "faq").where("question IS NOT NULL").select("faq_id", "question", F.array_distinct(words(F.col("question"))).alias("found"))
-    shared = q.select("query_id", "query", F.size("words").alias("n"), F.explode("words").alias("term")).join(d.select(F.col("faq_id").alias("doc_id"), "question", F.explode("found").alias("term")), "term")
-    pairs = shared.groupBy("query_id", "query", "doc_id", "question", "n").agg(F.count(F.lit(1)).alias("common")).where("common >= 0.6 * n")
-    return pairs.where(fuzzy.lengths_allow(F.col("query"), F.col("question"), least))
+def _fuzzy_pairs(asked, questions, least):
+    """(query_id, doc_id, score) of all pairs whose ratio is at least ``least``: only sound bounds, and each distinct question once a query."""
+    low = questions.where("question IS NOT NULL").select(F.col("faq_id").alias("doc_id"), F.lower("question").alias("low"))
+    q = asked.select(F.lower("query").alias("text")).distinct()
+    pairs = low.select("low").distinct().repartition(F.col("low")).crossJoin(F.broadcast(q)).where(fuzzy.lengths_allow(F.col("text"), F.col("low"), least))
+    near = pairs.withColumn("score", fuzzy.similarity(F.col("text"), F.col("low"), least)).where(F.col("score") >= least)
+    return asked.select("query_id", F.lower("query").alias("text")).join(near, "text").join(low, "low").select("query_id", "doc_id", "score").distinct()
 
 
 @query()
 def fuzzy_match(spark, folder):
-    """Questions with a Ratcliff-Obershelp ratio of 0.85 or more, among those with three fifths of the query's words."""
-    pairs = _fuzzy_pairs(spark, folder, 0.85).withColumn("score", fuzzy.similarity(F.lower("query"), F.lower("question"), 0.85))
-    return ranking.ranked(pairs.where("score >= 0.85")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    """Questions with a Ratcliff-Obershelp ratio of 0.85 or more."""
+    return ranking.ranked(_fuzzy_pairs(asked(spark, folder), table(spark, folder, "faq"), 0.85)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fuzzy, text
 from quern.operators import dense, dialogue, graph, procedures, ranking, rules, sparse
+from quern.plans import retrieval
 
 
 def rows(df, *columns):
@@ -109,6 +110,13 @@ def test_the_fuzzy_bounds_never_drop_a_similar_pair(a, b, least):
     assert fuzzy.ratio(a, b, least) == full or full < least
 
 
+def test_fuzzy_pairs_need_no_word_in_common(spark):
+    asked = spark.createDataFrame([(1, "activation charges"), (2, "Activation Charges"), (3, None)], "query_id long, query string")
+    faq = spark.createDataFrame([(7, "activations charged"), (8, "opening hours"), (9, None), (9, "ACTIVATIONS charged")], "faq_id long, question string")
+    score = SequenceMatcher(None, "activation charges", "activations charged").ratio()
+    assert sorted(tuple(r) for r in retrieval._fuzzy_pairs(asked, faq, 0.85).collect()) == [(q, d, score) for q in (1, 2) for d in (7, 9)]
+
+
 def test_entity_matches(spark):
     edges = spark.createDataFrame([(1, "R", "L", "Ngân hàng Mây ", 0.5), (1, "R", "L", "ngân hàng mây", 0.4), (2, "R", "L", "mây", 0.1), (3, "R", "L", None, 0.1), (4, "R", "L", "mâyx", 0.1), (5, "R", "L", "ab", 0.1)], "src long, rel_type string, label string, entity_name string, confidence double")
     asked = spark.createDataFrame([(9, "bank", "Mây"), (9, "bank", None), (9, "bank", "ab cd")], "query_id long, etype string, value string")
