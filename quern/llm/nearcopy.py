@@ -11,20 +11,27 @@ One tree over all records would make every record visit most of it. Two similar
 records share one of their rarest pairs (a record with n pairs must share
 ceil(threshold * n) of them, so one of its n - ceil(threshold * n) + 1 rarest),
 and so the first axis of the tree is the rare pair that a point is entered
-under. Points are spread over tasks by it; each task packs its points into
-R-trees by (pair, size, counts) and joins each tree with itself from the root
-down, a level at a time, dropping node pairs that are disjoint on the first axis
-or below the bound. Surviving pairs of points are verified on the sets of pairs.
+under. Axes are spread over cells, and a cell is a task's R-trees: each is
+packed by (axis, size, counts) and joined with itself from the root down, a
+level at a time, dropping node pairs that are disjoint on the first axis or
+below the bound. Long records fill their groups, so their points have more of
+them (``TIERS``), which surviving pairs are bounded by once more. What is left
+is verified on the sets of pairs.
+
+A record's point is sent once to each of its cells, however many of its axes lie
+there, and a batch of records goes to a cell as one compressed block, so what is
+shuffled is a small part of the texts' size.
 
 How rare a pair is, is read from a table of ``RARITY`` counters over all
 records; pairs with one counter count as one. Any fixed order of pairs gives
-the same result, so the counters' collisions cost time and lose nothing. A pair
-entered by more than ``LEAST_HOT`` records is cut into buckets, and each two of
-them are a task.
+the same result, so the counters' collisions cost time and lose nothing. An
+axis whose counter exceeds ``LEAST_HOT`` is cut into buckets, and each two of
+them are an axis of their own.
 
 Records with the same set are one class and enter once. Defined results: null
-counts as empty; records without word pairs (fewer than two words) are like
-nothing; repeated rows of one id are one; very long texts are taken whole.
+counts as empty; records of one word are like those of the same word only;
+records without a word are like nothing; repeated rows of one id are one, and of
+an id with several texts one of them counts; very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -42,11 +49,13 @@ from quern.llm.forms import consistent
 from quern.session import staged
 
 GROUPS = 64
-RARITY = 1 << 20
-LEAST_HOT = 4000
+#: Sizes up to which a record's point has 1, 4 and 16 times GROUPS coordinates; beyond, 64 times.
+TIERS = (200, 800, 3200)
+RARITY, PART = 1 << 22, 1 << 16
+LEAST_HOT = 20_000
 FANOUT = 16
-#: Points of one tree, which bounds a task's memory; node pairs looked at together.
-TREE_POINTS, FRONT = 40_000, 100_000
+#: Entries of one tree; node pairs looked at together; records of a cell, about, which bounds a task's memory.
+TREE_POINTS, FRONT, CELL_RECORDS = 40_000, 100_000, 200_000
 
 _words = re.compile(r"[^\W_]+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -58,23 +67,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_pairs(texts: list[str], known: dict[str, int]) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's adjacent word pairs."""
+def word_pairs(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of each text's adjacent word pairs, one text after the other; their number by text; and that of words."""
     words: list[str] = []
-    sizes = []
-    for text in texts:
+    sizes = np.zeros(len(texts), np.int64)
+    for n, text in enumerate(texts):
         found = _words.findall(text)
-        sizes.append(len(found))
+        sizes[n] = len(found)
         words += found
     for w in set(words).difference(known):
         known[w] = xxhash.xxh64_intdigest(w)
     ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    pairs = mixed(ids[:-1] * ODD + (ids[1:] ^ (ids[1:] >> np.uint64(17)))).view(np.int64) if len(ids) > 1 else np.zeros(0, np.int64)
-    ends = np.cumsum(sizes)
-    return [np.unique(pairs[e - n : e - 1]) if n > 1 else np.zeros(0, np.int64) for e, n in zip(ends.tolist(), sizes)]
+    if len(ids) < 2:
+        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64), sizes
+    pairs = mixed(ids[:-1] * ODD + (ids[1:] ^ (ids[1:] >> np.uint64(17)))).view(np.int64)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    inside = text[:-1] == text[1:]
+    pairs, text = pairs[inside], text[:-1][inside]
+    order = np.argsort(pairs)
+    order = order[np.argsort(text[order], kind="stable")]
+    pairs, text = pairs[order], text[order]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]) | (text[1:] != text[:-1])
+    return pairs[new], np.bincount(text[new], minlength=len(texts)), sizes
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+
+
+def _binaries(rows: list[bytes]) -> pa.Array:
+    return pa.array(rows, pa.binary())
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, fields) to (id, x, y, pairs): x and y are a fingerprint of the set, or of the word where there's only one."""
     known: dict[str, int] = {}
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
@@ -83,10 +110,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [consistent(" ".join(x or "" for x in row)).lower() for row in zip(*fields)]
             if len(known) > 300_000:
                 known.clear()
-            sets = word_pairs(texts, known)
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "pairs"])
+            flat, sizes, n_words = word_pairs(texts, known)
+            ends = np.cumsum(sizes)
+            keep = np.flatnonzero(n_words)
+            prints = np.zeros((len(keep), 2), np.int64)
+            for n, i in enumerate(keep.tolist()):
+                held = flat[ends[i] - sizes[i] : ends[i]].tobytes() if sizes[i] else _words.findall(texts[i])[0].encode()
+                prints[n] = np.frombuffer(xxhash.xxh128_digest(held, int(not sizes[i])), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(keep)), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), _lists(flat, sizes[keep])], names=["id", "x", "y", "pairs"]
+            )
 
 
 def shared_least(n: np.ndarray | int, threshold: float) -> np.ndarray | int:
@@ -94,57 +127,210 @@ def shared_least(n: np.ndarray | int, threshold: float) -> np.ndarray | int:
     return np.ceil(threshold * np.asarray(n) - 1e-9).astype(np.int64)
 
 
-def _points(threshold: float, rarity: np.ndarray):
-    """From (id, pairs) to a point under each of the rarest pairs: (pair, id, size, counts)."""
+def _places(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.view(np.uint64) % np.uint64(RARITY)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (pairs) to this task's counters, a row for each part of the table that has any: (part, places and counts)."""
+    table = np.zeros(RARITY, np.uint32)
+    for batch in batches:
+        table += np.bincount(_places(batch.column(0).flatten().to_numpy()), minlength=RARITY).astype(np.uint32)
+    parts, rows = [], []
+    for part, counts in enumerate(table.reshape(-1, PART)):
+        at = np.flatnonzero(counts)
+        if len(at):
+            parts.append(part)
+            rows.append(pa.compress(at.astype(np.uint16).tobytes() + counts[at].tobytes(), "zstd", asbytes=True))
+            rows[-1] = len(at).to_bytes(4, "little") + rows[-1]
+    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), _binaries(rows)], names=["part", "counters"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters of all tasks by part, as logarithms of one byte, which keep their order."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            n = int.from_bytes(row[:4], "little")
+            data = pa.decompress(row[4:], 6 * n, "zstd", asbytes=True)
+            table = held.setdefault(part, np.zeros(PART, np.int64))
+            table[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data, np.uint32, n, 2 * n)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), _binaries([short(t).tobytes() for t in held.values()])], names=["part", "counters"])
+
+
+def short(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: exact below 64, then eight steps a doubling."""
+    return np.where(counts < 64, counts, np.minimum(255, 64 + np.floor(8 * np.log2(np.maximum(counts, 64) / 64)))).astype(np.uint8)
+
+
+#: The greatest count that each byte stands for; the last one for all above.
+LONG = np.array([n if n < 64 else np.ceil(64 * 2 ** ((n - 63) / 8)) for n in range(256)])
+
+
+def rarities(sets: DataFrame) -> np.ndarray:
+    """The table of counters of all sets: RARITY bytes, whatever the data."""
+    parts = sets.select("pairs").mapInArrow(_counted, "part int, counters binary").repartition("part").mapInArrow(_summed, "part int, counters binary")
+    table = np.zeros(RARITY, np.uint8).reshape(-1, PART)
+    found = parts.toArrow()
+    for part, row in zip(found["part"].to_pylist(), found["counters"].to_pylist()):
+        table[part] = np.frombuffer(row, np.uint8)
+    return table.ravel()
+
+
+def tier_of(sizes: np.ndarray) -> np.ndarray:
+    return np.searchsorted(TIERS, sizes, "left")
+
+
+def _vectors(flat: np.ndarray, sizes: np.ndarray, tier: int) -> np.ndarray:
+    """Group counts of the sets, 255 at most: what is above is known by the size."""
+    width = GROUPS << (2 * tier)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    group = ((flat >> 7) & (width - 1)).astype(np.int64)
+    return np.minimum(np.bincount(row * width + group, minlength=len(sizes) * width), 255).astype(np.uint8).reshape(-1, width)
+
+
+def _folded(vectors: np.ndarray) -> np.ndarray:
+    """The counts of a quarter of the groups."""
+    quarter = vectors.shape[1] // 4
+    return np.minimum(vectors.reshape(len(vectors), 4, quarter).sum(1, dtype=np.uint16), 255).astype(np.uint8)
+
+
+def _blocks(threshold: float, rarity: np.ndarray, cells: int):
+    """From (id, pairs) to blocks (cell, raw size, block): the points of a batch's records that have an axis in the cell, and their axes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
                 lists = part.column(1)
-                sizes = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy()
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                sizes, flat = np.diff(offsets), lists.flatten().to_numpy()
+                ids = part.column(0).to_numpy()
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                counts = np.zeros((len(sizes), GROUPS), np.uint16)
-                np.add.at(counts, (row, ((flat >> 7) % GROUPS).astype(np.int64)), 1)
-                seen = rarity[(flat.view(np.uint64) % np.uint64(len(rarity))).astype(np.int64)]
-                order = np.lexsort((flat, seen, row))
+                seen = rarity[_places(flat)]
+                order = np.argsort(seen, kind="stable")  # of one counter, by the pair: sets are sorted
+                order = order[np.argsort(row[order], kind="stable")]
                 place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 rare = order[place < np.repeat(sizes - shared_least(sizes, threshold) + 1, sizes)]
                 rare = rare[seen[rare] > 1]  # a counter of one: no other record has the pair
-                of = row[rare]
-                vectors = np.ascontiguousarray(counts[of]).tobytes()
-                width = 2 * GROUPS
-                offsets = np.arange(len(of) + 1, dtype=np.int32) * width
-                binary = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets), pa.py_buffer(vectors)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[rare]), part.column(0).take(pa.array(of)), pa.array(sizes[of].astype(np.int32)), binary], names=["pair", "id", "size", "counts"]
-                )
+                of, axis = row[rare], flat[rare].view(np.uint64)
+                side = np.full(len(rare), 2, np.uint8)
+                buckets = np.ceil(LONG[seen[rare]] / LEAST_HOT).astype(np.int64)
+                if len(buckets) and buckets.max() > 1:
+                    own = (mixed(ids.view(np.uint64) * ODD)[of] % buckets.astype(np.uint64)).astype(np.int64)
+                    times = np.repeat(np.arange(len(of)), buckets)
+                    other = np.arange(len(times)) - np.repeat(np.cumsum(buckets) - buckets, buckets)
+                    own, of = own[times], of[times]
+                    low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+                    axis = np.where(buckets[times] > 1, mixed(axis[times] + ODD * (low * np.uint64(1 << 20) + high + np.uint64(1))), axis[times])
+                    side = np.where(own == other, 2, own > other).astype(np.uint8)
+                cell = (mixed(axis) % np.uint64(cells)).astype(np.int64)
+                tier = tier_of(sizes)
+                vectors = {int(t): _vectors(flat[np.repeat(tier == t, sizes)], sizes[tier == t], t) for t in np.unique(tier)}
+                within = np.zeros(len(sizes), np.int64)
+                for t in vectors:
+                    within[tier == t] = np.arange((tier == t).sum())
+                by = np.lexsort((axis, cell))
+                cuts = np.flatnonzero(np.diff(cell[by], prepend=-1, append=-1))
+                out: list[list] = [[], [], []]
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    entry = by[lo:hi]
+                    held, who = np.unique(of[entry], return_inverse=True)
+                    held = held[np.argsort(tier[held], kind="stable")]
+                    who = np.argsort(np.argsort(tier[np.unique(of[entry])], kind="stable"), kind="stable")[who]
+                    raw = np.array([len(held), len(entry)], np.int64).tobytes() + ids[held].tobytes() + sizes[held].tobytes() + axis[entry].tobytes() + who.astype(np.int32).tobytes() + side[entry].tobytes()
+                    raw += b"".join(v[within[held[tier[held] == t]]].tobytes() for t, v in sorted(vectors.items()))
+                    for column, x in zip(out, (int(cell[entry[0]]), len(raw), pa.compress(raw, "zstd", asbytes=True))):
+                        column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), _binaries(out[2])], names=["cell", "size", "block"])
 
     return run
 
 
+class Cell:
+    """Points of one cell's blocks: ids, sizes, counts at each tier, and entries (axis, point, side)."""
+
+    def __init__(self, blocks: list[bytes]):
+        ids, sizes, axes, points, sides = [], [], [], [], []
+        vectors: list[list[np.ndarray]] = [[] for _ in range(len(TIERS) + 1)]
+        count = 0
+        for raw in blocks:
+            n, m = np.frombuffer(raw, np.int64, 2).tolist()
+            at = 16
+            ids.append(np.frombuffer(raw, np.int64, n, at))
+            sizes.append(np.frombuffer(raw, np.int64, n, at + 8 * n))
+            at += 16 * n
+            axes.append(np.frombuffer(raw, np.uint64, m, at))
+            points.append(np.frombuffer(raw, np.int32, m, at + 8 * m).astype(np.int64) + count)
+            sides.append(np.frombuffer(raw, np.uint8, m, at + 12 * m))
+            at += 13 * m
+            have = np.bincount(tier_of(sizes[-1]), minlength=len(vectors))
+            for t, k in enumerate(have.tolist()):
+                width = GROUPS << (2 * t)
+                vectors[t].append(np.frombuffer(raw, np.uint8, k * width, at).reshape(k, width))
+                at += k * width
+            count += n
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.axis, self.point, self.side = np.concatenate(axes), np.concatenate(points), np.concatenate(sides)
+        self.tier = tier_of(self.sizes)
+        own = [np.concatenate(v) if v else np.zeros((0, GROUPS << (2 * t)), np.uint8) for t, v in enumerate(vectors)]
+        # counts[t]: of all points of tier t and above, folded; row[t] says where
+        self.counts, self.row = [], []
+        for t in range(len(own)):
+            table = np.zeros((int((self.tier >= t).sum()), GROUPS << (2 * t)), np.uint8)
+            row = np.cumsum(self.tier >= t) - 1
+            for higher in range(t, len(own)):
+                v = own[higher]
+                for _ in range(higher - t):
+                    v = _folded(v)
+                table[row[self.tier == higher]] = v
+            self.counts.append(table)
+            self.row.append(row)
+
+    def reach(self, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether the bound of two points, by the finest groups that both have, reaches the threshold."""
+        ok = np.ones(len(x), bool)
+        tier = np.minimum(self.tier[x], self.tier[y])
+        for t in range(1, len(self.counts)):
+            at = np.flatnonzero(tier == t)
+            for part in np.split(at, range(20_000, len(at), 20_000)):
+                a, b = self.counts[t][self.row[t][x[part]]], self.counts[t][self.row[t][y[part]]]
+                ok[part] = bound(a, b, self.sizes[x[part]], self.sizes[y[part]]) * (1 + threshold) >= threshold * (self.sizes[x[part]] + self.sizes[y[part]]) - 1e-9
+        return ok
+
+
+def bound(a: np.ndarray, b: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """How many pairs sets of s and t pairs can share at most; counts of 255 may stand for more, which the sizes tell."""
+    total = np.minimum(a, b).sum(1, dtype=np.uint32).astype(np.int64)
+    if len(a) and (a.max() == 255 or b.max() == 255):
+        total += np.minimum(s - a.sum(1, dtype=np.uint32), t - b.sum(1, dtype=np.uint32))
+    return np.minimum(total, np.minimum(s, t))
+
+
 class RTree:
-    """Points packed in order of (pair, size, counts); level 0 are the points themselves, the last level one root."""
+    """Points packed in order of (axis, size, counts); level 0 are the points themselves, the last level one root."""
 
-    def __init__(self, pair: np.ndarray, size: np.ndarray, counts: np.ndarray):
-        order = np.lexsort((*counts.T[:3], size, pair))
+    def __init__(self, axis: np.ndarray, size: np.ndarray, counts: np.ndarray):
+        order = np.lexsort((*counts.T[:3], size, axis))
         self.order = order
-        pair, size, counts = pair[order], size[order], counts[order].astype(np.int32)
-        self.levels = [(pair, pair, size, size, counts)]  # least and greatest pair, least and greatest size, greatest counts
+        axis, size, counts = axis[order], size[order], counts[order]
+        over = size - counts.sum(1, dtype=np.uint32)  # pairs above the counts' limit
+        self.levels = [(axis, axis, size, size, counts, over)]  # least and greatest axis, least and greatest size, greatest counts and rest
         while len(self.levels[-1][0]) > 1:
-            a, b, s, t, c = self.levels[-1]
+            a, b, s, t, c, o = self.levels[-1]
             edge = np.arange(0, len(a), FANOUT)
-            self.levels.append((a[edge], np.maximum.reduceat(b, edge), np.minimum.reduceat(s, edge), np.maximum.reduceat(t, edge), np.maximum.reduceat(c, edge)))
+            top = np.maximum.reduceat
+            self.levels.append((a[edge], top(b, edge), np.minimum.reduceat(s, edge), top(t, edge), top(c, edge), top(o, edge)))
 
     def close(self, level: int, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-        """Whether nodes x and y of a level can hold points entered under one pair whose bound reaches the threshold."""
-        a, b, s, t, c = self.levels[level]
+        """Whether nodes x and y of a level can hold points entered under one axis whose bound reaches the threshold."""
+        a, b, s, t, c, o = self.levels[level]
         ok = (a[x] <= b[y]) & (a[y] <= b[x]) & (t[x] >= threshold * s[y] - 1e-9) & (t[y] >= threshold * s[x] - 1e-9)
         at = np.flatnonzero(ok)
         if len(at):
             x, y = x[at], y[at]
-            overlap = np.minimum(np.minimum(c[x], c[y]).sum(1), np.minimum(t[x], t[y]))
+            overlap = np.minimum(c[x], c[y]).sum(1, dtype=np.uint32) + np.minimum(o[x], o[y])
+            overlap = np.minimum(overlap, np.minimum(t[x], t[y]))
             ok[at] = overlap * (1 + threshold) >= threshold * (s[x] + s[y]) - 1e-9
         return ok
 
@@ -173,93 +359,93 @@ class RTree:
             stack.append((level - 1, u[keep], v[keep]))
 
 
+def cell_candidates(cell: Cell, threshold: float) -> Iterator[np.ndarray]:
+    """Pairs of ids (two rows, the lesser id first) whose bound reaches the threshold."""
+    order = np.argsort(cell.axis, kind="stable")
+    axis = cell.axis[order]
+    edges = np.append(np.flatnonzero(np.diff(axis)) + 1, len(axis))
+    low, found, held = 0, [], 0
+    while low < len(axis):
+        high = int(edges[min(np.searchsorted(edges, low + TREE_POINTS), len(edges) - 1)])
+        entry = order[low:high]
+        point, side = cell.point[entry], cell.side[entry]
+        rank = np.cumsum(np.diff(axis[low:high], prepend=axis[low]) != 0)
+        for x, y in RTree(rank, cell.sizes[point], cell.counts[0][cell.row[0][point]]).joined(threshold):
+            ok = (point[x] != point[y]) & ((side[x] != side[y]) | (side[x] == 2))
+            x, y = point[x[ok]], point[y[ok]]
+            key = np.unique(np.minimum(x, y) * len(cell.ids) + np.maximum(x, y))
+            found.append(key)
+            held += len(key)
+            if held > 2_000_000:
+                found = [np.unique(np.concatenate(found))]
+                held = len(found[0])
+                if held > 1_000_000:
+                    yield _reaching(cell, found[0], threshold)
+                    found, held = [], 0
+        low = high
+    if found:
+        yield _reaching(cell, np.unique(np.concatenate(found)), threshold)
+
+
+def _reaching(cell: Cell, key: np.ndarray, threshold: float) -> np.ndarray:
+    x, y = key // len(cell.ids), key % len(cell.ids)
+    ok = cell.reach(x, y, threshold) & (cell.ids[x] != cell.ids[y])
+    a, b = cell.ids[x[ok]], cell.ids[y[ok]]
+    return np.stack([np.minimum(a, b), np.maximum(a, b)])
+
+
 def _candidates(threshold: float):
+    """From blocks, all of a cell one after another, to candidates (a, b)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = 0
+        held: list[bytes] = []
+        last = None
 
-        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = np.stack([table.column(c).to_numpy() for c in ("pair", "i", "j")])
-            rank = np.cumsum(np.any(np.diff(key, axis=1, prepend=key[:, :1] - 1) != 0, axis=0))
-            ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-            size = table.column("size").to_numpy().astype(np.int64)
-            counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint16).reshape(-1, GROUPS)
-            found = []
-            for x, y in RTree(rank, size, counts).joined(threshold):
-                ok = (ids[x] != ids[y]) & ((side[x] != side[y]) | (side[x] == 2))
-                found.append(np.unique(np.stack([np.minimum(ids[x], ids[y])[ok], np.maximum(ids[x], ids[y])[ok]]), axis=1))
-                if sum(f.shape[1] for f in found) > 1_000_000:
-                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0][0]), pa.array(found[0][1])], names=["a", "b"])
-                    found = []
-            if found:
-                out = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
-
-        def edge(batch: pa.RecordBatch) -> int:
-            """Where the last group of equal (pair, i, j) starts."""
-            key = np.stack([batch.column(c).to_numpy() for c in range(3)])
-            change = np.flatnonzero(np.any(np.diff(key, axis=1) != 0, axis=0))
-            return int(change[-1]) + 1 if len(change) else 0
+        def flush() -> Iterator[pa.RecordBatch]:
+            for a, b in cell_candidates(Cell(held), threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            cut = edge(batch) if count + batch.num_rows >= TREE_POINTS and batch.num_rows else 0
-            if cut:
-                yield from flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held, count = [], 0
-            held.append(batch.slice(cut))
-            count += batch.num_rows - cut
-        if count:
-            yield from flush(pa.Table.from_batches(held))
+            for cell, size, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and cell != last:
+                    yield from flush()
+                    held = []
+                last = cell
+                held.append(pa.decompress(block, size, "zstd", asbytes=True))
+        if held:
+            yield from flush()
 
     return run
 
 
 def near_copies(df: DataFrame, key: str, fields: list[str], threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) between classes of records with equal sets, a < b, and members (rep, id)."""
-    schema = "id long, pairs array<long>"
-    rows = df.select(F.col(key).cast("long").alias("id"), *[F.col(f).cast("string").alias(f"f{n}") for n, f in enumerate(fields)])
-    sets = staged(rows.mapInArrow(_sets, schema).where(F.size("pairs") > 0), "sets")
-    members = staged(sets.select("id", F.xxhash64("pairs").alias("x"), F.xxhash64(F.lit(17), "pairs").alias("y")).distinct(), "members")
-    reps = members.groupBy("x", "y").agg(F.min("id").alias("rep"))
-    members = members.join(reps, ["x", "y"]).select("rep", "id")
-    one = sets.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    one = staged(one, "classes")
-    counted = one.select(F.explode("pairs").alias("pair")).groupBy(F.pmod("pair", F.lit(RARITY)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
-    table = counted.toArrow()  # at most RARITY rows of two numbers, whatever the data
-    unsigned = _unsigned_places(table["at"].to_numpy(), table["n"].to_numpy())
-    rarity = spark.sparkContext.broadcast(unsigned)
-
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _points(threshold, rarity.value)(batches)
-
-    entered = one.select("id", "pairs").mapInArrow(points, "pair long, id long, size int, counts binary")
-    entered = staged(entered, "points")
-    load = entered.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    load = load.select("pair", F.ceil(F.col("n") / LEAST_HOT).cast("int").alias("buckets"))
-    bucket = F.pmod(F.xxhash64("id"), F.col("buckets")).cast("int")
-    spread = entered.join(load, "pair").withColumn("bucket", bucket).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
-    spread = spread.select(
-        "pair", F.least("bucket", "other").alias("i"), F.greatest("bucket", "other").alias("j"), "id", "size", "counts",
-        F.when(F.col("bucket") == F.col("other"), 2).otherwise((F.col("bucket") > F.col("other")).cast("int")).alias("side"),
-    )
-    ordered = spread.repartition("pair", "i", "j").sortWithinPartitions("pair", "i", "j")
-    candidates = ordered.mapInArrow(_candidates(threshold), "a long, b long").distinct()
-    left = one.select(F.col("id").alias("a"), F.col("pairs").alias("p"))
-    right = one.select(F.col("id").alias("b"), F.col("pairs").alias("q"))
-    both = candidates.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("p", "q")))
-    similarity = F.col("both") / (F.size("p") + F.size("q") - F.col("both"))
+    rows = df.select(F.col(key).cast("long").alias("id"), *[F.col(f).cast("string").alias(f"f{n}") for n, f in enumerate(fields)])
+    sets = staged(rows.mapInArrow(_sets, "id long, x long, y long, pairs array<long>"), "sets")
+    seen = sets.groupBy("id").agg(F.min(F.struct("x", "y")).alias("p")).select("id", "p.x", "p.y")
+    reps = staged(seen.groupBy("x", "y").agg(F.min("id").alias("rep")), "reps")
+    members = seen.join(reps, ["x", "y"]).select("rep", "id")
+    one = sets.join(reps.select("x", "y", F.col("rep").alias("id")), ["x", "y", "id"], "left_semi").where(F.size("pairs") > 0)
+    table = spark.sparkContext.broadcast(rarities(one))  # RARITY bytes
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(partitions, -(-32 * reps.count() // CELL_RECORDS))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _blocks(threshold, table.value, cells)(batches)
+
+    spread = one.select("id", "pairs").mapInArrow(blocks, "cell int, size long, block binary")
+    spread = spread.repartition(cells, "cell").sortWithinPartitions("cell")
+    candidates = staged(spread.mapInArrow(_candidates(threshold), "a long, b long").distinct(), "candidates")
+    ends = candidates.select(F.col("a").alias("id"), "a", "b").unionByName(candidates.select(F.col("b").alias("id"), "a", "b"))
+    # Both sets of a candidate meet by it; only records with a candidate are shuffled
+    held = one.select("id", "pairs").join(ends, "id").groupBy("a", "b").agg(F.collect_set("pairs").alias("sets")).where(F.size("sets") == 2)
+    p, q = F.col("sets")[0], F.col("sets")[1]
+    both = held.withColumn("both", F.size(F.array_intersect(p, q)))
+    similarity = F.col("both") / (F.size(p) + F.size(q) - F.col("both"))
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12), members
 
 
-def _unsigned_places(at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Counters by place; pmod of a signed number and the rest of its unsigned form agree, as RARITY is a power of two."""
-    table = np.zeros(RARITY, np.uint32)
-    table[at] = n
-    return table
-
-
 def near_pairs(df: DataFrame, key: str, fields: list[str], threshold: float = 0.7, names: tuple[str, str] = ("faq_id_a", "faq_id_b")) -> DataFrame:
     """Distinct pairs of ids at or above the threshold, the smaller id first, members of equal sets included."""
     links, members = near_copies(df, key, fields, threshold)

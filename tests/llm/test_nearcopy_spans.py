@@ -21,7 +21,8 @@ def edited(words, rng, n):
 def brute(texts, threshold):
     sets = {i: set(nearcopy.word_pairs([(t or "").lower()], {})[0].tolist()) for i, t in texts.items()}
     ids = sorted(sets)
-    return {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if (u := sets[a] | sets[b]) and len(sets[a] & sets[b]) / len(u) >= threshold}
+    same = lambda a, b: texts[a] and not sets[a] and not sets[b] and texts[a].lower() == (texts[b] or "").lower()
+    return {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if same(a, b) or (u := sets[a] | sets[b]) and len(sets[a] & sets[b]) / len(u) >= threshold}
 
 
 @pytest.fixture(scope="module")
@@ -35,14 +36,14 @@ def texts():
             n += 1
     for i in range(4):
         out[n + i] = out[0]
-    out |= {n + 10: None, n + 11: "", n + 12: "một", n + 13: " ".join(WORDS * 20)}
+    out |= {n + 10: None, n + 11: "", n + 12: "một", n + 13: " ".join(WORDS * 20), n + 14: "Một", n + 15: "hai", n + 16: " ".join(WORDS * 20 + ["cuối"])}
     return out
 
 
-@pytest.mark.parametrize("hot, tree", [(4000, 40_000), (3, 10)])
-def test_near_pairs_equal_brute_force(spark, texts, monkeypatch, hot, tree):
-    monkeypatch.setattr(nearcopy, "LEAST_HOT", hot)
-    monkeypatch.setattr(nearcopy, "TREE_POINTS", tree)
+@pytest.mark.parametrize("hot, tree, tiers, cell", [(20_000, 40_000, (200, 800, 3200), 200_000), (3, 10, (30, 50, 300), 50)])
+def test_near_pairs_equal_brute_force(spark, texts, monkeypatch, hot, tree, tiers, cell):
+    for name, value in (("LEAST_HOT", hot), ("TREE_POINTS", tree), ("TIERS", tiers), ("CELL_RECORDS", cell)):
+        monkeypatch.setattr(nearcopy, name, value)
     df = spark.createDataFrame([(i, t, None, 1) for i, t in texts.items()] + [(0, texts[0], None, 1)], "id long, question string, answer string, pairs int").repartition(3)
     got = {tuple(r) for r in nearcopy.near_pairs(df, "id", ["question", "answer"], 0.7).collect()}
     assert got == brute(texts, 0.7)
@@ -69,7 +70,7 @@ def test_the_tree_bound_drops_no_similar_points():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, rng.integers(5, 60))) for _ in range(150)]
     sets += [np.unique(np.concatenate([s[: max(3, len(s) - 2)], rng.integers(0, 300, 1)])) for s in sets[:60]]
-    counts = np.stack([np.bincount(s % nearcopy.GROUPS, minlength=nearcopy.GROUPS) for s in sets]).astype(np.uint16)
+    counts = np.stack([np.bincount(s % nearcopy.GROUPS, minlength=nearcopy.GROUPS) for s in sets])
     size = np.array([len(s) for s in sets])
     tree = nearcopy.RTree(np.zeros(len(sets), np.int64), size, counts)
     found = {(min(a, b), max(a, b)) for x, y in tree.joined(0.7) for a, b in zip(x.tolist(), y.tolist())}
@@ -80,6 +81,14 @@ def test_the_tree_bound_drops_no_similar_points():
                 assert (a, b) in found
 
 
+def test_counts_at_their_limit_stay_an_upper_bound():
+    a = np.array([[255, 3], [255, 0]], np.uint8)
+    assert nearcopy.bound(a[:1], a[1:], np.array([400]), np.array([300])).tolist() == [255 + min(400 - 258, 300 - 255)]
+    counts = np.array([0, 1, 63, 64, 65, 100, 5000, 10**7])
+    short = nearcopy.short(counts)
+    assert (np.diff(short.astype(int)) >= 0).all() and (nearcopy.LONG[short[:-1]] >= counts[:-1]).all()
+
+
 def test_backward_search_counts_and_finds():
     rng = random.Random(2)
     text = "".join(rng.choice("aabbccdd\0") for _ in range(3000)) + "\0"
