@@ -1,11 +1,18 @@
 """One consistent form for texts that look the same (queries p5_).
 
-Script sets are intersected over the letters of each token. A token whose
-letters share a script keeps its spelling: a word wholly in Cyrillic or Greek
-isn't touched, even where all its letters have Latin doubles (a whole-script
-confusable). A token whose sets have an empty intersection is mixed; where one
-of its scripts is Latin, each Cyrillic or Greek letter with a Latin double is
-resolved to that double, which is the only script all resolved letters share.
+A letter's script set is the script it is written in and, where it has a double
+there, Latin. A token is resolved by the intersection of its letters' sets and
+the scripts it is written in:
+
+* written in one script: the spelling is consistent and stays. Where Latin is in
+  the intersection too, the token is a ``whole`` confusable, which is reported;
+* written in several, Latin among them, and Latin in the intersection: Latin is
+  selected and every letter spelled in it (``mixed``);
+* written in several, Latin among them, but the intersection is empty: the
+  letters whose set holds Latin are spelled in it, the others have no double and
+  stay (``partial``);
+* written in several without Latin: the spelling stays (``foreign``).
+
 All other differences of form (width, ligatures, combining accents, spaces,
 characters that show nothing) are removed by normalisation.
 
@@ -43,6 +50,7 @@ _invisible = re.compile(f"[{INVISIBLE}]+")
 _foreign = re.compile("[Ͱ-ϿЀ-ԯἀ-῿]")
 _token = re.compile(r"(?:[^\W_]|[̀-ͯ])+")
 _spaces = re.compile("[   -   　]")
+_odd = re.compile("|".join(x.pattern for x in (_invisible, _foreign, _spaces)).replace("]+|[", "").replace("]|[", ""))
 
 
 @functools.lru_cache(4096)
@@ -61,38 +69,48 @@ def script_of(token: str) -> tuple[frozenset[str], frozenset[str]]:
     return frozenset(written), frozenset.intersection(*sets) if sets else frozenset()
 
 
-def whole_script_confusable(token: str) -> bool:
-    """Whether a token wholly in one other script could be read as Latin."""
-    written, shared = script_of(unicodedata.normalize("NFD", token))
-    return len(written) == 1 and "LATIN" not in written and "LATIN" in shared
+@functools.lru_cache(1 << 16)
+def resolved(token: str) -> tuple[str, str | None]:
+    """The consistent spelling of a token and what its script sets tell: None, or one of the kinds above."""
+    if not _foreign.search(token):
+        return token, None
+    parts = unicodedata.normalize("NFD", token)
+    written, shared = script_of(parts)
+    if len(written) < 2:
+        return token, "whole" if "LATIN" in shared and "LATIN" not in written else None
+    if "LATIN" not in written:
+        return token, "foreign"
+    spelled = "".join(LATIN_OF.get(ord(c), c) if "LATIN" in (scripts(c) or ()) else c for c in parts)
+    return unicodedata.normalize("NFC", spelled), "mixed" if "LATIN" in shared else "partial"
 
 
-def _resolve(match: re.Match) -> str:
-    token = match[0]
-    if token.isascii() or not _foreign.search(token):
-        return token
-    parts = unicodedata.normalize("NFD", token)
-    written, _ = script_of(parts)
-    if len(written) < 2 or "LATIN" not in written:
-        return token
-    return unicodedata.normalize("NFC", parts.translate(LATIN_OF))
+def whole_script_confusable(token: str) -> bool:
+    """Whether a token wholly in one other script could be read as Latin."""
+    return resolved(token)[1] == "whole"
 
 
 def consistent(text: str | None) -> str | None:
     """The consistent form of a text; the same text where it already has it."""
     if text is None or text.isascii():
         return text
-    if _invisible.search(text):
-        text = _invisible.sub("", text)
-    if not unicodedata.is_normalized("NFKC", text):
-        text = unicodedata.normalize("NFKC", text)
-    if _spaces.search(text):
-        text = _spaces.sub(" ", text)
+    odd = _odd.search(text)
+    if not odd and unicodedata.is_normalized("NFKC", text):
+        return text
+    text = unicodedata.normalize("NFKC", _invisible.sub("", text))
+    text = _spaces.sub(" ", text)
     if _foreign.search(text):
-        text = unicodedata.normalize("NFKC", _token.sub(_resolve, text))
+        text = unicodedata.normalize("NFKC", _token.sub(lambda m: resolved(m[0])[0], text))
     return text
 
 
+def lookalikes(text: str | None) -> list[str]:
+    """What the tokens of a text in normal form are (kinds of ``resolved``), once each, in order of the alphabet."""
+    if text is None or text.isascii() or not _foreign.search(text):
+        return []
+    text = _spaces.sub(" ", unicodedata.normalize("NFKC", _invisible.sub("", text)))
+    return sorted({kind for t in _token.findall(text) if (kind := resolved(t)[1])})
+
+
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 2000):
@@ -102,21 +120,22 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, column in enumerate(columns[1:], 1):
                 texts = column.to_pylist()
                 forms = [consistent(x) for x in texts]
-                out += [pa.array(forms, pa.string()), pa.array([a != b for a, b in zip(texts, forms)], pa.bool_())]
+                kinds = [lookalikes(x) for x in texts]
+                out += [pa.array(forms, pa.string()), pa.array([a != b for a, b in zip(texts, forms)], pa.bool_()), pa.array(kinds, pa.list_(pa.string()))]
                 out[k] = None
-            yield pa.RecordBatch.from_arrays([x for x in out if x is not None], names=[f"c{i}" for i in range(1 + 2 * (len(columns) - 1))])
+            yield pa.RecordBatch.from_arrays([x for x in out if x is not None], names=[f"c{i}" for i in range(1 + 3 * (len(columns) - 1))])
 
 
 def consistent_forms(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``key`` and, for each field, its consistent form and ``<field>_changed``.
+    """``key`` and, for each field, its consistent form, ``<field>_changed`` and ``<field>_lookalikes`` (kinds of words of look-alike letters).
 
     One narrow pass without a shuffle; repeated rows stay repeated.
     """
     schema = T.StructType([T.StructField("c0", df.schema[key].dataType)])
     for k, _ in enumerate(fields):
-        schema.add(f"c{1 + 2 * k}", T.StringType()).add(f"c{2 + 2 * k}", T.BooleanType())
+        schema.add(f"c{1 + 3 * k}", T.StringType()).add(f"c{2 + 3 * k}", T.BooleanType()).add(f"c{3 + 3 * k}", T.ArrayType(T.StringType()))
     done = df.select(key, *fields).mapInArrow(_forms, schema)
-    names = [key] + [x for f in fields for x in (f, f"{f}_changed")]
+    names = [key] + [x for f in fields for x in (f, f"{f}_changed", f"{f}_lookalikes")]
     return done.toDF(*names)
 
 

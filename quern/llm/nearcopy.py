@@ -14,9 +14,10 @@ and so the first axis of the tree is the rare pair that a point is entered
 under. Axes are spread over cells, and a cell is a task's R-trees: each is
 packed by (axis, size, counts) and joined with itself from the root down, a
 level at a time, dropping node pairs that are disjoint on the first axis or
-below the bound. Long records fill their groups, so their points have more of
-them (``TIERS``), which surviving pairs are bounded by once more. What is left
-is verified on the sets of pairs.
+below the bound. Pairs of points are first told apart by the parities of the
+counts of more groups: where they differ, so do the counts. Long records fill
+their groups, so they have more of them (``TIERS``), which surviving pairs are
+bounded by once more. What is left is verified on the sets of pairs.
 
 A record's point is sent once to each of its cells, however many of its axes lie
 there, and a batch of records goes to a cell as one compressed block, so what is
@@ -36,11 +37,11 @@ an id with several texts one of them counts; very long texts are taken whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,16 +49,19 @@ from pyspark.sql import functions as F
 from quern.llm.forms import consistent
 from quern.session import staged
 
-GROUPS = 64
-#: Sizes up to which a record's point has 1, 4 and 16 times GROUPS coordinates; beyond, 64 times.
-TIERS = (200, 800, 3200)
+#: Coordinates of the trees' points; a record is sent with 4 times as many, and from these sizes on with 16 and 64 times.
+GROUPS = 32
+TIERS = (400, 1600)
 RARITY, PART = 1 << 22, 1 << 16
+#: Bits that tell which records have a candidate; prints that a task remembers so as not to send a copy again.
+MARKS, SEEN = 1 << 22, 200_000
 LEAST_HOT = 20_000
 FANOUT = 16
 #: Entries of one tree; node pairs looked at together; records of a cell, about, which bounds a task's memory.
 TREE_POINTS, FRONT, CELL_RECORDS = 40_000, 100_000, 200_000
 
-_words = re.compile(r"[^\W_]+")
+#: What lies between words.
+BETWEEN = r"[^\p{L}\p{N}]+"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,21 +73,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_pairs(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sorted distinct hashes of each text's adjacent word pairs, one text after the other; their number by text; and that of words."""
-    words: list[str] = []
-    sizes = np.zeros(len(texts), np.int64)
-    for n, text in enumerate(texts):
-        found = _words.findall(text)
-        sizes[n] = len(found)
-        words += found
-    for w in set(words).difference(known):
+    words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(pa.array(texts, pa.large_string()), BETWEEN, " ")))
+    offsets = words.offsets.to_numpy().astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    here = coded.dictionary.to_pylist()
+    for w in set(here).difference(known):
         known[w] = xxhash.xxh64_intdigest(w)
-    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    none = here.index("") if "" in here else -1
+    ids = np.array([known[w] for w in here], np.uint64)[coded.indices.to_numpy()]
+    text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    if none >= 0:  # a text without words is split into an empty one
+        real = coded.indices.to_numpy() != none
+        ids, text = ids[real], text[real]
+    sizes = np.bincount(text, minlength=len(texts))
     if len(ids) < 2:
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64), sizes
     pairs = mixed(ids[:-1] * ODD + (ids[1:] ^ (ids[1:] >> np.uint64(17)))).view(np.int64)
-    text = np.repeat(np.arange(len(texts)), sizes)
     inside = text[:-1] == text[1:]
-    pairs, text = pairs[inside], text[:-1][inside]
+    pairs, text = pairs[inside], text[:-1][inside].astype(np.uint16 if len(texts) < 1 << 16 else np.int64)
     order = np.argsort(pairs)
     order = order[np.argsort(text[order], kind="stable")]
     pairs, text = pairs[order], text[order]
@@ -115,7 +122,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.flatnonzero(n_words)
             prints = np.zeros((len(keep), 2), np.int64)
             for n, i in enumerate(keep.tolist()):
-                held = flat[ends[i] - sizes[i] : ends[i]].tobytes() if sizes[i] else _words.findall(texts[i])[0].encode()
+                held = flat[ends[i] - sizes[i] : ends[i]].tobytes() if sizes[i] else "".join(c for c in texts[i] if c.isalnum()).encode()
                 prints[n] = np.frombuffer(xxhash.xxh128_digest(held, int(not sizes[i])), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(keep)), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), _lists(flat, sizes[keep])], names=["id", "x", "y", "pairs"]
@@ -178,7 +185,7 @@ def rarities(sets: DataFrame) -> np.ndarray:
 
 
 def tier_of(sizes: np.ndarray) -> np.ndarray:
-    return np.searchsorted(TIERS, sizes, "left")
+    return 1 + np.searchsorted(TIERS, sizes, "left")
 
 
 def _vectors(flat: np.ndarray, sizes: np.ndarray, tier: int) -> np.ndarray:
@@ -195,17 +202,34 @@ def _folded(vectors: np.ndarray) -> np.ndarray:
     return np.minimum(vectors.reshape(len(vectors), 4, quarter).sum(1, dtype=np.uint16), 255).astype(np.uint8)
 
 
+def once(batches: Iterator[pa.RecordBatch], pairs: int, wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (x, y, ..) that have pairs, of equal prints the first that this task sees, and those whose place in ``wanted`` is marked."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        x = batch.column(0).to_numpy()
+        keep = np.diff(batch.column(pairs).offsets.to_numpy()) > 0
+        if wanted is not None:
+            keep &= wanted[(x & (MARKS - 1)) >> 3] >> (x & 7).astype(np.uint8) & 1 == 1
+        for i, print_ in zip(np.flatnonzero(keep).tolist(), zip(x[keep].tolist(), batch.column(1).to_numpy()[keep].tolist())):
+            keep[i] = print_ not in seen
+            seen.add(print_)
+        if len(seen) > SEEN:
+            seen.clear()
+        if keep.any():
+            yield batch.filter(pa.array(keep))
+
+
 def _blocks(threshold: float, rarity: np.ndarray, cells: int):
-    """From (id, pairs) to blocks (cell, raw size, block): the points of a batch's records that have an axis in the cell, and their axes."""
+    """From (x, y, pairs) to blocks (cell, raw size, block): the points of a batch's records that have an axis in the cell, and their axes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in once(batches, 2):
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
-                lists = part.column(1)
+                lists = part.column(2)
                 offsets = lists.offsets.to_numpy().astype(np.int64)
                 sizes, flat = np.diff(offsets), lists.flatten().to_numpy()
-                ids = part.column(0).to_numpy()
+                x, y = part.column(0).to_numpy(), part.column(1).to_numpy()
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 seen = rarity[_places(flat)]
                 order = np.argsort(seen, kind="stable")  # of one counter, by the pair: sets are sorted
@@ -217,7 +241,7 @@ def _blocks(threshold: float, rarity: np.ndarray, cells: int):
                 side = np.full(len(rare), 2, np.uint8)
                 buckets = np.ceil(LONG[seen[rare]] / LEAST_HOT).astype(np.int64)
                 if len(buckets) and buckets.max() > 1:
-                    own = (mixed(ids.view(np.uint64) * ODD)[of] % buckets.astype(np.uint64)).astype(np.int64)
+                    own = (mixed(x.view(np.uint64) * ODD)[of] % buckets.astype(np.uint64)).astype(np.int64)
                     times = np.repeat(np.arange(len(of)), buckets)
                     other = np.arange(len(times)) - np.repeat(np.cumsum(buckets) - buckets, buckets)
                     own, of = own[times], of[times]
@@ -238,28 +262,35 @@ def _blocks(threshold: float, rarity: np.ndarray, cells: int):
                     held, who = np.unique(of[entry], return_inverse=True)
                     held = held[np.argsort(tier[held], kind="stable")]
                     who = np.argsort(np.argsort(tier[np.unique(of[entry])], kind="stable"), kind="stable")[who]
-                    raw = np.array([len(held), len(entry)], np.int64).tobytes() + ids[held].tobytes() + sizes[held].tobytes() + axis[entry].tobytes() + who.astype(np.int32).tobytes() + side[entry].tobytes()
+                    raw = np.array([len(held), len(entry)], np.int64).tobytes() + x[held].tobytes() + y[held].tobytes() + sizes[held].tobytes() + axis[entry].tobytes() + who.astype(np.int32).tobytes() + side[entry].tobytes()
                     raw += b"".join(v[within[held[tier[held] == t]]].tobytes() for t, v in sorted(vectors.items()))
-                    for column, x in zip(out, (int(cell[entry[0]]), len(raw), pa.compress(raw, "zstd", asbytes=True))):
-                        column.append(x)
+                    for column, value in zip(out, (int(cell[entry[0]]), len(raw), pa.compress(raw, "zstd", asbytes=True))):
+                        column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), _binaries(out[2])], names=["cell", "size", "block"])
 
     return run
 
 
+#: Parities of a record whose counts reach their limit.
+UNKNOWN = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
 class Cell:
-    """Points of one cell's blocks: ids, sizes, counts at each tier, and entries (axis, point, side)."""
+    """Points of one cell's blocks: prints, sizes, counts at each tier, and entries (axis, point, side).
+
+    A record that several tasks have sent is the first of its points.
+    """
 
     def __init__(self, blocks: list[bytes]):
-        ids, sizes, axes, points, sides = [], [], [], [], []
-        vectors: list[list[np.ndarray]] = [[] for _ in range(len(TIERS) + 1)]
+        prints, sizes, axes, points, sides = [], [], [], [], []
+        vectors: list[list[np.ndarray]] = [[] for _ in range(len(TIERS) + 2)]
         count = 0
         for raw in blocks:
             n, m = np.frombuffer(raw, np.int64, 2).tolist()
             at = 16
-            ids.append(np.frombuffer(raw, np.int64, n, at))
-            sizes.append(np.frombuffer(raw, np.int64, n, at + 8 * n))
-            at += 16 * n
+            prints.append(np.frombuffer(raw, np.int64, 2 * n, at).reshape(2, n))
+            sizes.append(np.frombuffer(raw, np.int64, n, at + 16 * n))
+            at += 24 * n
             axes.append(np.frombuffer(raw, np.uint64, m, at))
             points.append(np.frombuffer(raw, np.int32, m, at + 8 * m).astype(np.int64) + count)
             sides.append(np.frombuffer(raw, np.uint8, m, at + 12 * m))
@@ -270,8 +301,16 @@ class Cell:
                 vectors[t].append(np.frombuffer(raw, np.uint8, k * width, at).reshape(k, width))
                 at += k * width
             count += n
-        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.prints, self.sizes = np.concatenate(prints, axis=1), np.concatenate(sizes)
         self.axis, self.point, self.side = np.concatenate(axes), np.concatenate(points), np.concatenate(sides)
+        order = np.lexsort(self.prints)
+        again = np.zeros(count, bool)
+        again[1:] = (np.diff(self.prints[:, order], axis=1) == 0).all(0)
+        if again.any():
+            first = np.empty(count, np.int64)
+            first[order] = np.minimum.reduceat(order, np.flatnonzero(~again))[np.cumsum(~again) - 1]
+            entry = np.unique(np.stack([self.axis.view(np.int64), first[self.point], self.side.astype(np.int64)]), axis=1)
+            self.axis, self.point, self.side = entry[0].view(np.uint64), entry[1], entry[2].astype(np.uint8)
         self.tier = tier_of(self.sizes)
         own = [np.concatenate(v) if v else np.zeros((0, GROUPS << (2 * t)), np.uint8) for t, v in enumerate(vectors)]
         # counts[t]: of all points of tier t and above, folded; row[t] says where
@@ -286,6 +325,8 @@ class Cell:
                 table[row[self.tier == higher]] = v
             self.counts.append(table)
             self.row.append(row)
+        self.parity = np.packbits(self.counts[1] & 1, axis=1).view(np.uint64)
+        self.parity[(self.counts[1] == 255).any(1)] = UNKNOWN
 
     def reach(self, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
         """Whether the bound of two points, by the finest groups that both have, reaches the threshold."""
@@ -310,9 +351,10 @@ def bound(a: np.ndarray, b: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndar
 class RTree:
     """Points packed in order of (axis, size, counts); level 0 are the points themselves, the last level one root."""
 
-    def __init__(self, axis: np.ndarray, size: np.ndarray, counts: np.ndarray):
+    def __init__(self, axis: np.ndarray, size: np.ndarray, counts: np.ndarray, parity: np.ndarray | None = None):
         order = np.lexsort((*counts.T[:3], size, axis))
         self.order = order
+        self.parity = None if parity is None else [np.ascontiguousarray(p) for p in parity[order].T]
         axis, size, counts = axis[order], size[order], counts[order]
         over = size - counts.sum(1, dtype=np.uint32)  # pairs above the counts' limit
         self.levels = [(axis, axis, size, size, counts, over)]  # least and greatest axis, least and greatest size, greatest counts and rest
@@ -327,6 +369,13 @@ class RTree:
         a, b, s, t, c, o = self.levels[level]
         ok = (a[x] <= b[y]) & (a[y] <= b[x]) & (t[x] >= threshold * s[y] - 1e-9) & (t[y] >= threshold * s[x] - 1e-9)
         at = np.flatnonzero(ok)
+        if level == 0 and self.parity and len(at):
+            u, v = x[at], y[at]
+            unlike = sum(np.bitwise_count(p[u] ^ p[v]).astype(np.uint16) for p in self.parity)
+            unlike[(self.parity[0][u] == UNKNOWN) | (self.parity[0][v] == UNKNOWN)] = 0
+            far = (s[u] + s[v] - unlike) * ((1 + threshold) / 2) < threshold * (s[u] + s[v]) - 1e-9
+            ok[at[far]] = False
+            at = at[~far]
         if len(at):
             x, y = x[at], y[at]
             overlap = np.minimum(c[x], c[y]).sum(1, dtype=np.uint32) + np.minimum(o[x], o[y])
@@ -360,7 +409,7 @@ class RTree:
 
 
 def cell_candidates(cell: Cell, threshold: float) -> Iterator[np.ndarray]:
-    """Pairs of ids (two rows, the lesser id first) whose bound reaches the threshold."""
+    """Pairs of prints (rows ax, ay, bx, by, the lesser first) whose bound reaches the threshold."""
     order = np.argsort(cell.axis, kind="stable")
     axis = cell.axis[order]
     edges = np.append(np.flatnonzero(np.diff(axis)) + 1, len(axis))
@@ -370,10 +419,10 @@ def cell_candidates(cell: Cell, threshold: float) -> Iterator[np.ndarray]:
         entry = order[low:high]
         point, side = cell.point[entry], cell.side[entry]
         rank = np.cumsum(np.diff(axis[low:high], prepend=axis[low]) != 0)
-        for x, y in RTree(rank, cell.sizes[point], cell.counts[0][cell.row[0][point]]).joined(threshold):
+        for x, y in RTree(rank, cell.sizes[point], cell.counts[0][point], cell.parity[point]).joined(threshold):
             ok = (point[x] != point[y]) & ((side[x] != side[y]) | (side[x] == 2))
             x, y = point[x[ok]], point[y[ok]]
-            key = np.unique(np.minimum(x, y) * len(cell.ids) + np.maximum(x, y))
+            key = np.unique(np.minimum(x, y) * len(cell.sizes) + np.maximum(x, y))
             found.append(key)
             held += len(key)
             if held > 2_000_000:
@@ -388,22 +437,23 @@ def cell_candidates(cell: Cell, threshold: float) -> Iterator[np.ndarray]:
 
 
 def _reaching(cell: Cell, key: np.ndarray, threshold: float) -> np.ndarray:
-    x, y = key // len(cell.ids), key % len(cell.ids)
-    ok = cell.reach(x, y, threshold) & (cell.ids[x] != cell.ids[y])
-    a, b = cell.ids[x[ok]], cell.ids[y[ok]]
-    return np.stack([np.minimum(a, b), np.maximum(a, b)])
+    x, y = key // len(cell.sizes), key % len(cell.sizes)
+    ok = cell.reach(x, y, threshold)
+    a, b = cell.prints[:, x[ok]], cell.prints[:, y[ok]]
+    swap = (a[0] > b[0]) | (a[0] == b[0]) & (a[1] > b[1])
+    return np.concatenate([np.where(swap, b, a), np.where(swap, a, b)])
 
 
 def _candidates(threshold: float):
-    """From blocks, all of a cell one after another, to candidates (a, b)."""
+    """From blocks, all of a cell one after another, to candidates (ax, ay, bx, by)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         last = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for a, b in cell_candidates(Cell(held), threshold):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for found in cell_candidates(Cell(held), threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["ax", "ay", "bx", "by"])
 
         for batch in batches:
             for cell, size, block in zip(*(c.to_pylist() for c in batch.columns)):
@@ -418,32 +468,68 @@ def _candidates(threshold: float):
     return run
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (x) to this task's marks by part: (part, bits)."""
+    bits = np.zeros(MARKS, bool)
+    for batch in batches:
+        bits[batch.column(0).to_numpy() & (MARKS - 1)] = True
+    parts = bits.reshape(-1, PART)
+    some = np.flatnonzero(parts.any(1))
+    rows = [pa.compress(np.packbits(parts[i], bitorder="little").tobytes(), "zstd", asbytes=True) for i in some.tolist()]
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), _binaries(rows)], names=["part", "bits"])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            bits = np.frombuffer(pa.decompress(row, PART // 8, "zstd", asbytes=True), np.uint8)
+            held[part] = held[part] | bits if part in held else bits
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), _binaries([b.tobytes() for b in held.values()])], names=["part", "bits"])
+
+
+def marks(prints: DataFrame) -> np.ndarray:
+    """A bit for each remainder of the prints (x): MARKS bits, whatever the data. More prints mark more, and none is lost."""
+    table = np.zeros(MARKS // 8, np.uint8).reshape(-1, PART // 8)
+    found = prints.mapInArrow(_marked, "part int, bits binary").repartition("part").mapInArrow(_united, "part int, bits binary").toArrow()
+    for part, row in zip(found["part"].to_pylist(), found["bits"].to_pylist()):
+        table[part] = np.frombuffer(row, np.uint8)
+    return table.ravel()
+
+
 def near_copies(df: DataFrame, key: str, fields: list[str], threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b, similarity) between classes of records with equal sets, a < b, and members (rep, id)."""
+    """Links (a, b, similarity) between classes of records with equal sets, and members (rep, id); a and b are reps, a < b."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("id"), *[F.col(f).cast("string").alias(f"f{n}") for n, f in enumerate(fields)])
     sets = staged(rows.mapInArrow(_sets, "id long, x long, y long, pairs array<long>"), "sets")
     seen = sets.groupBy("id").agg(F.min(F.struct("x", "y")).alias("p")).select("id", "p.x", "p.y")
     reps = staged(seen.groupBy("x", "y").agg(F.min("id").alias("rep")), "reps")
     members = seen.join(reps, ["x", "y"]).select("rep", "id")
-    one = sets.join(reps.select("x", "y", F.col("rep").alias("id")), ["x", "y", "id"], "left_semi").where(F.size("pairs") > 0)
-    table = spark.sparkContext.broadcast(rarities(one))  # RARITY bytes
+    table = spark.sparkContext.broadcast(rarities(sets))  # RARITY bytes
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = max(partitions, -(-32 * reps.count() // CELL_RECORDS))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _blocks(threshold, table.value, cells)(batches)
 
-    spread = one.select("id", "pairs").mapInArrow(blocks, "cell int, size long, block binary")
+    prints = "ax long, ay long, bx long, by long"
+    spread = sets.select("x", "y", "pairs").mapInArrow(blocks, "cell int, size long, block binary")
     spread = spread.repartition(cells, "cell").sortWithinPartitions("cell")
-    candidates = staged(spread.mapInArrow(_candidates(threshold), "a long, b long").distinct(), "candidates")
-    ends = candidates.select(F.col("a").alias("id"), "a", "b").unionByName(candidates.select(F.col("b").alias("id"), "a", "b"))
-    # Both sets of a candidate meet by it; only records with a candidate are shuffled
-    held = one.select("id", "pairs").join(ends, "id").groupBy("a", "b").agg(F.collect_set("pairs").alias("sets")).where(F.size("sets") == 2)
-    p, q = F.col("sets")[0], F.col("sets")[1]
-    both = held.withColumn("both", F.size(F.array_intersect(p, q)))
-    similarity = F.col("both") / (F.size(p) + F.size(q) - F.col("both"))
-    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12), members
+    candidates = staged(spread.mapInArrow(_candidates(threshold), prints).distinct(), "candidates")
+    ends = candidates.select(F.col("ax").alias("x"), F.col("ay").alias("y"), "*").unionByName(candidates.select(F.col("bx").alias("x"), F.col("by").alias("y"), "*"))
+    bits = spark.sparkContext.broadcast(marks(ends.select("x")))  # MARKS bits
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return once(batches, 2, bits.value)
+
+    # Only the sets of records that have a candidate are shuffled, to it; both meet there
+    held = sets.select("x", "y", "pairs").mapInArrow(wanted, "x long, y long, pairs array<long>").groupBy("x", "y").agg(F.first("pairs").alias("pairs"))
+    both = held.join(ends, ["x", "y"]).groupBy("ax", "ay", "bx", "by").agg(F.collect_list("pairs").alias("sets")).withColumn("both", F.size(F.array_intersect(F.col("sets")[0], F.col("sets")[1])))
+    similarity = F.col("both") / (F.size(F.col("sets")[0]) + F.size(F.col("sets")[1]) - F.col("both"))
+    links = both.withColumn("similarity", similarity).where(F.col("similarity") >= threshold - 1e-12)
+    for end in ("a", "b"):
+        links = links.join(reps.select(F.col("x").alias(f"{end}x"), F.col("y").alias(f"{end}y"), F.col("rep").alias(end)), [f"{end}x", f"{end}y"])
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"), members
 
 
 def near_pairs(df: DataFrame, key: str, fields: list[str], threshold: float = 0.7, names: tuple[str, str] = ("faq_id_a", "faq_id_b")) -> DataFrame:

@@ -33,6 +33,20 @@ def test_scripts():
     assert forms.whole_script_confusable("сосо") and not forms.whole_script_confusable("Москва") and not forms.whole_script_confusable("coco")
 
 
+@pytest.mark.parametrize(
+    "token, spelling, kind",
+    [("сосо", "сосо", "whole"), ("Москва", "Москва", None), ("Vіеt", "Viet", "mixed"), ("cепter", "ceпter", "partial"), ("αе", "αе", "foreign"), ("bank", "bank", None), ("phí", "phí", None), ("Ηà", "Hà", "mixed")],
+)
+def test_tokens_are_resolved_by_the_intersection_of_script_sets(token, spelling, kind):
+    assert forms.resolved(token) == (spelling, kind)
+
+
+def test_lookalikes_are_reported(spark):
+    rows = [(1, "сосо и Москва", None), (2, "Vіеt cепter", "thẻ"), (3, "", "αе")]
+    got = {r["id"]: (r["a_lookalikes"], r["b_lookalikes"]) for r in forms.consistent_forms(spark.createDataFrame(rows, "id long, a string, b string"), "id", ["a", "b"]).collect()}
+    assert got == {1: (["whole"], []), 2: (["mixed", "partial"], []), 3: ([], ["foreign"])}
+
+
 Q = "Ngày 02/10/2024 tôi thanh toán hoá đơn trên máy Brisa, thẻ bị từ chối, vậy khoản 37.708.000 đồng có về ngân hàng không?"
 GOOD = "Bạn vào Thẻ của tôi, chọn Tra soát rồi bấm Đồng ý để tra soát giao dịch trong giờ hành chính."
 

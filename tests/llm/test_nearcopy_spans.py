@@ -40,7 +40,7 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("hot, tree, tiers, cell", [(20_000, 40_000, (200, 800, 3200), 200_000), (3, 10, (30, 50, 300), 50)])
+@pytest.mark.parametrize("hot, tree, tiers, cell", [(20_000, 40_000, (400, 1600), 200_000), (3, 10, (30, 50), 50)])
 def test_near_pairs_equal_brute_force(spark, texts, monkeypatch, hot, tree, tiers, cell):
     for name, value in (("LEAST_HOT", hot), ("TREE_POINTS", tree), ("TIERS", tiers), ("CELL_RECORDS", cell)):
         monkeypatch.setattr(nearcopy, name, value)
