@@ -11,7 +11,8 @@ One tree over all records would make every record visit most of it. Two similar
 records share one of their rarest pairs (a record with n pairs must share
 ceil(threshold * n) of them, so one of its n - ceil(threshold * n) + 1 rarest),
 and so the first axis of the tree is the rare pair that a point is entered
-under. Axes are spread over cells, and a cell is a task's R-trees: each is
+under. A record's pairs from that one on are the ``rest``: under the rarest pair
+that two records share, both have as many left as they have to share. Axes are spread over cells, and a cell is a task's R-trees: each is
 packed by (axis, size, counts) and joined with itself from the root down, a
 level at a time, dropping node pairs that are disjoint on the first axis or
 below the bound. Pairs of points are first told apart by the parities of the
@@ -235,8 +236,9 @@ def _blocks(threshold: float, rarity: np.ndarray, cells: int):
                 order = np.argsort(seen, kind="stable")  # of one counter, by the pair: sets are sorted
                 order = order[np.argsort(row[order], kind="stable")]
                 place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                rare = order[place < np.repeat(sizes - shared_least(sizes, threshold) + 1, sizes)]
-                rare = rare[seen[rare] > 1]  # a counter of one: no other record has the pair
+                # A counter of one: no other record has the pair
+                early = (place < np.repeat(sizes - shared_least(sizes, threshold) + 1, sizes)) & (seen[order] > 1)
+                rare, rest = order[early], (np.repeat(sizes, sizes) - place)[early]
                 of, axis = row[rare], flat[rare].view(np.uint64)
                 side = np.full(len(rare), 2, np.uint8)
                 buckets = np.ceil(LONG[seen[rare]] / LEAST_HOT).astype(np.int64)
@@ -244,7 +246,7 @@ def _blocks(threshold: float, rarity: np.ndarray, cells: int):
                     own = (mixed(x.view(np.uint64) * ODD)[of] % buckets.astype(np.uint64)).astype(np.int64)
                     times = np.repeat(np.arange(len(of)), buckets)
                     other = np.arange(len(times)) - np.repeat(np.cumsum(buckets) - buckets, buckets)
-                    own, of = own[times], of[times]
+                    own, of, rest = own[times], of[times], rest[times]
                     low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
                     axis = np.where(buckets[times] > 1, mixed(axis[times] + ODD * (low * np.uint64(1 << 20) + high + np.uint64(1))), axis[times])
                     side = np.where(own == other, 2, own > other).astype(np.uint8)
@@ -262,7 +264,7 @@ def _blocks(threshold: float, rarity: np.ndarray, cells: int):
                     held, who = np.unique(of[entry], return_inverse=True)
                     held = held[np.argsort(tier[held], kind="stable")]
                     who = np.argsort(np.argsort(tier[np.unique(of[entry])], kind="stable"), kind="stable")[who]
-                    raw = np.array([len(held), len(entry)], np.int64).tobytes() + x[held].tobytes() + y[held].tobytes() + sizes[held].tobytes() + axis[entry].tobytes() + who.astype(np.int32).tobytes() + side[entry].tobytes()
+                    raw = np.array([len(held), len(entry)], np.int64).tobytes() + x[held].tobytes() + y[held].tobytes() + sizes[held].tobytes() + axis[entry].tobytes() + who.astype(np.int32).tobytes() + rest[entry].astype(np.int32).tobytes() + side[entry].tobytes()
                     raw += b"".join(v[within[held[tier[held] == t]]].tobytes() for t, v in sorted(vectors.items()))
                     for column, value in zip(out, (int(cell[entry[0]]), len(raw), pa.compress(raw, "zstd", asbytes=True))):
                         column.append(value)
@@ -282,7 +284,7 @@ class Cell:
     """
 
     def __init__(self, blocks: list[bytes]):
-        prints, sizes, axes, points, sides = [], [], [], [], []
+        prints, sizes, axes, points, rests, sides = [], [], [], [], [], []
         vectors: list[list[np.ndarray]] = [[] for _ in range(len(TIERS) + 2)]
         count = 0
         for raw in blocks:
@@ -293,8 +295,9 @@ class Cell:
             at += 24 * n
             axes.append(np.frombuffer(raw, np.uint64, m, at))
             points.append(np.frombuffer(raw, np.int32, m, at + 8 * m).astype(np.int64) + count)
-            sides.append(np.frombuffer(raw, np.uint8, m, at + 12 * m))
-            at += 13 * m
+            rests.append(np.frombuffer(raw, np.int32, m, at + 12 * m))
+            sides.append(np.frombuffer(raw, np.uint8, m, at + 16 * m))
+            at += 17 * m
             have = np.bincount(tier_of(sizes[-1]), minlength=len(vectors))
             for t, k in enumerate(have.tolist()):
                 width = GROUPS << (2 * t)
@@ -302,15 +305,15 @@ class Cell:
                 at += k * width
             count += n
         self.prints, self.sizes = np.concatenate(prints, axis=1), np.concatenate(sizes)
-        self.axis, self.point, self.side = np.concatenate(axes), np.concatenate(points), np.concatenate(sides)
+        self.axis, self.point, self.rest, self.side = map(np.concatenate, (axes, points, rests, sides))
         order = np.lexsort(self.prints)
         again = np.zeros(count, bool)
         again[1:] = (np.diff(self.prints[:, order], axis=1) == 0).all(0)
         if again.any():
             first = np.empty(count, np.int64)
             first[order] = np.minimum.reduceat(order, np.flatnonzero(~again))[np.cumsum(~again) - 1]
-            entry = np.unique(np.stack([self.axis.view(np.int64), first[self.point], self.side.astype(np.int64)]), axis=1)
-            self.axis, self.point, self.side = entry[0].view(np.uint64), entry[1], entry[2].astype(np.uint8)
+            keep = np.flatnonzero(first[self.point] == self.point)
+            self.axis, self.point, self.rest, self.side = self.axis[keep], self.point[keep], self.rest[keep], self.side[keep]
         self.tier = tier_of(self.sizes)
         own = [np.concatenate(v) if v else np.zeros((0, GROUPS << (2 * t)), np.uint8) for t, v in enumerate(vectors)]
         # counts[t]: of all points of tier t and above, folded; row[t] says where
@@ -351,24 +354,28 @@ def bound(a: np.ndarray, b: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndar
 class RTree:
     """Points packed in order of (axis, size, counts); level 0 are the points themselves, the last level one root."""
 
-    def __init__(self, axis: np.ndarray, size: np.ndarray, counts: np.ndarray, parity: np.ndarray | None = None):
+    def __init__(self, axis: np.ndarray, size: np.ndarray, counts: np.ndarray, rest: np.ndarray | None = None, parity: np.ndarray | None = None):
         order = np.lexsort((*counts.T[:3], size, axis))
         self.order = order
         self.parity = None if parity is None else [np.ascontiguousarray(p) for p in parity[order].T]
         axis, size, counts = axis[order], size[order], counts[order]
         over = size - counts.sum(1, dtype=np.uint32)  # pairs above the counts' limit
-        self.levels = [(axis, axis, size, size, counts, over)]  # least and greatest axis, least and greatest size, greatest counts and rest
+        rest = size if rest is None else rest[order].astype(np.int64)
+        self.levels = [(axis, axis, size, rest, counts, over)]  # least and greatest axis, least size, greatest rest, counts and excess
         while len(self.levels[-1][0]) > 1:
-            a, b, s, t, c, o = self.levels[-1]
+            a, b, s, r, c, o = self.levels[-1]
             edge = np.arange(0, len(a), FANOUT)
             top = np.maximum.reduceat
-            self.levels.append((a[edge], top(b, edge), np.minimum.reduceat(s, edge), top(t, edge), top(c, edge), top(o, edge)))
+            self.levels.append((a[edge], top(b, edge), np.minimum.reduceat(s, edge), top(r, edge), top(c, edge), top(o, edge)))
 
     def close(self, level: int, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
         """Whether nodes x and y of a level can hold points entered under one axis whose bound reaches the threshold."""
-        a, b, s, t, c, o = self.levels[level]
-        ok = (a[x] <= b[y]) & (a[y] <= b[x]) & (t[x] >= threshold * s[y] - 1e-9) & (t[y] >= threshold * s[x] - 1e-9)
+        a, b, s, r, c, o = self.levels[level]
+        ok = a[x] == a[y] if level == 0 else (a[x] <= b[y]) & (a[y] <= b[x])
         at = np.flatnonzero(ok)
+        far = np.minimum(r[x[at]], r[y[at]]) * (1 + threshold) < threshold * (s[x[at]] + s[y[at]]) - 1e-9
+        ok[at[far]] = False
+        at = at[~far]
         if level == 0 and self.parity and len(at):
             u, v = x[at], y[at]
             unlike = sum(np.bitwise_count(p[u] ^ p[v]).astype(np.uint16) for p in self.parity)
@@ -379,7 +386,6 @@ class RTree:
         if len(at):
             x, y = x[at], y[at]
             overlap = np.minimum(c[x], c[y]).sum(1, dtype=np.uint32) + np.minimum(o[x], o[y])
-            overlap = np.minimum(overlap, np.minimum(t[x], t[y]))
             ok[at] = overlap * (1 + threshold) >= threshold * (s[x] + s[y]) - 1e-9
         return ok
 
@@ -419,7 +425,7 @@ def cell_candidates(cell: Cell, threshold: float) -> Iterator[np.ndarray]:
         entry = order[low:high]
         point, side = cell.point[entry], cell.side[entry]
         rank = np.cumsum(np.diff(axis[low:high], prepend=axis[low]) != 0)
-        for x, y in RTree(rank, cell.sizes[point], cell.counts[0][point], cell.parity[point]).joined(threshold):
+        for x, y in RTree(rank, cell.sizes[point], cell.counts[0][point], cell.rest[entry], cell.parity[point]).joined(threshold):
             ok = (point[x] != point[y]) & ((side[x] != side[y]) | (side[x] == 2))
             x, y = point[x[ok]], point[y[ok]]
             key = np.unique(np.minimum(x, y) * len(cell.sizes) + np.maximum(x, y))
