@@ -56,6 +56,8 @@ TIERS = (400, 1600)
 RARITY, PART = 1 << 22, 1 << 16
 #: Bits that tell which records have a candidate; prints that a task remembers so as not to send a copy again.
 MARKS, SEEN = 1 << 22, 200_000
+#: Records whose points are sent together.
+BATCH = 10_000
 LEAST_HOT = 20_000
 FANOUT = 16
 #: Entries of one tree; node pairs looked at together; records of a cell, about, which bounds a task's memory.
@@ -220,13 +222,25 @@ def once(batches: Iterator[pa.RecordBatch], pairs: int, wanted: np.ndarray | Non
             yield batch.filter(pa.array(keep))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many, or of some hundred pairs for each of so many; but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= 4000 * rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _blocks(threshold: float, rarity: np.ndarray, cells: int):
     """From (x, y, pairs) to blocks (cell, raw size, block): the points of a batch's records that have an axis in the cell, and their axes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in once(batches, 2):
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+        for batch in gathered(once(batches, 2), BATCH):
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 lists = part.column(2)
                 offsets = lists.offsets.to_numpy().astype(np.int64)
                 sizes, flat = np.diff(offsets), lists.flatten().to_numpy()
