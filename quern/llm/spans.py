@@ -1,18 +1,25 @@
 """Long exact spans shared between records (queries p8_).
 
 Streaming every document through an index of every other shard would cost the
-square of the number of shards, so documents first meet by content. Of each
-text, the k-grams are hashed and the least of each window of w starts is kept;
-with k + w - 1 = ``span`` every run of that length holds a kept k-gram, the same
-one in both texts. A k-gram kept in two different texts is shared, and its lead
-is the least text that holds it. All passages (a shared k-gram with what lies
-around it) of one lead form a shard of related text.
+square of the number of shards, so documents are first routed to the shards
+where they can have a match. Of each text, the k-grams are hashed and the least
+of each window of w starts is kept; with k + w - 1 = ``span`` every run of that
+length holds a kept k-gram, the same one in both texts. A k-gram kept in two
+different texts is shared, and its lead is the least text that holds it. All
+passages (a shared k-gram with what lies around it) of one lead form a shard of
+related text. Routing only says who is streamed where; matches are found by:
 
 A shard's passages are indexed as a compressed FM-index: bit vectors of a
-wavelet matrix over the Burrows-Wheeler transform, with block counts. Documents
-are streamed against it: backward search finds the suffix interval of each of
-their k-grams, the interval's suffixes are located, and each match is extended
-both ways; those of at least ``span`` characters are reported.
+wavelet matrix over the Burrows-Wheeler transform with block counts, every
+``RATE``-th suffix, and a bit for each suffix whose document isn't that of the
+one before. The passages are then streamed against it. Backward search runs to
+the left from every (span / 2)-th character and gives the matching statistic
+there: how long the text that ends there is also in another document, which is
+known by the bits of its suffix interval. A run of ``span`` characters holds a
+stretch between two of these ends, so where the statistic falls short of half a
+span nothing is shared; most ends of text that isn't shared fall out after a few
+steps. The intervals of the others are located by the sampled suffixes, the
+matches extended both ways, and those of at least ``span`` characters reported.
 
 Exact copies are joined into one class by fingerprint before that and return as
 members. The counts by k-gram are aggregated before they are shuffled. A shard
@@ -38,6 +45,8 @@ from quern.session import staged
 CHUNK_CHARS, SHARD_CHARS, INDEX_CHARS = 1_000_000, 1_000_000, 1_000_000
 #: Fingerprints that a task remembers so as not to hash a copy again.
 SEEN = 200_000
+#: Of so many suffixes of an index one is kept; occurrences located at a time.
+RATE, LOCATED = 8, 200_000
 
 ODD, STEP, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD
 MASK = (1 << 64) - 1
@@ -152,177 +161,209 @@ def _anchors(span: int, k: int, repeats: bool = False):
 
 
 def _passages(span: int, k: int):
-    """From (doc, text, [(lead, place)]) to passages (lead, doc, start, text, places in the passage)."""
+    """From (doc, text, [(lead, place)]) to passages (lead, doc, start, text)."""
     around = span - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for doc, text, grams in zip(*(c.to_pylist() for c in batch.columns)):
                 by_lead: dict[int, list[int]] = {}
                 for g in grams:
                     by_lead.setdefault(g["lead"], []).append(g["place"])
                 for lead, places in by_lead.items():
                     places.sort()
-                    start, end, own = None, 0, []
+                    start, end = None, 0
                     for p in [*places, None]:
                         if start is not None and (p is None or p - around > end):
-                            for column, x in zip(out, (lead, doc, start, text[start:end], [q - start for q in own])):
+                            for column, x in zip(out, (lead, doc, start, text[start:end])):
                                 column.append(x)
                             start = None
                         if p is not None:
-                            if start is None:
-                                start, own = max(0, p - around), []
-                            own.append(p)
+                            start = max(0, p - around) if start is None else start
                             end = min(len(text), p + span)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], batch.schema.field(0).type), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.int32()))],
-                names=["lead", "doc", "start", "passage", "places"],
+                [pa.array(out[0], pa.int64()), pa.array(out[1], batch.schema.field(0).type), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], names=["lead", "doc", "start", "passage"]
             )
 
     return run
 
 
+class Bits:
+    """A bit vector with block counts."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits.astype(np.uint8), bitorder="little")
+        self.words = np.zeros(len(bits) // 64 + 1, np.uint64)
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.counts = np.zeros(len(self.words) + 1, np.int32)
+        np.cumsum(np.bitwise_count(self.words), out=self.counts[1:])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many ones lie before each place."""
+        word = at >> 6
+        return self.counts[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 class WaveletMatrix:
-    """Bit vectors of a sequence with block counts: the rank of a symbol in a logarithmic number of steps."""
+    """Bit vectors of a sequence: the rank of a symbol, and the symbol at a place, in a logarithmic number of steps."""
 
     def __init__(self, sequence: np.ndarray, symbols: int):
-        self.levels = max(1, int(symbols - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
-        for level in range(self.levels - 1, -1, -1):
+        self.bits, self.zeros = [], []
+        for level in range(max(1, int(symbols - 1).bit_length()) - 1, -1, -1):
             bit = (sequence >> level) & 1
-            packed = np.packbits(bit.astype(np.uint8), bitorder="little")
-            words = np.zeros(len(sequence) // 64 + 1, np.uint64)
-            words.view(np.uint8)[: len(packed)] = packed
-            counts = np.zeros(len(words) + 1, np.int64)
-            np.cumsum(np.bitwise_count(words), out=counts[1:])
-            self.words.append(words)
-            self.counts.append(counts)
-            self.zeros.append(len(sequence) - int(counts[-1]))
+            self.bits.append(Bits(bit))
+            self.zeros.append(len(sequence) - int(self.bits[-1].counts[-1]))
             sequence = np.concatenate([sequence[bit == 0], sequence[bit == 1]])
         self.first = self._walk(np.arange(symbols), np.zeros(symbols, np.int64))
 
     def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for n, level in enumerate(range(self.levels - 1, -1, -1)):
-            word = at >> 6
-            below = self.words[n][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-            ones = self.counts[n][word] + np.bitwise_count(below)
-            at = np.where((symbol >> level) & 1, self.zeros[n] + ones, at - ones)
+        for n, (bits, zeros) in enumerate(zip(self.bits, self.zeros)):
+            ones = bits.rank(at)
+            at = np.where((symbol >> (len(self.bits) - 1 - n)) & 1, zeros + ones, at - ones)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each place."""
         return self._walk(symbol, at) - self.first[symbol]
 
+    def read(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and its rank there."""
+        symbol = np.zeros(len(at), np.int64)
+        for bits, zeros in zip(self.bits, self.zeros):
+            bit, ones = bits.get(at), bits.rank(at)
+            symbol = symbol << 1 | bit
+            at = np.where(bit, zeros + ones, at - ones)
+        return symbol, at - self.first[symbol]
+
+
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Places in order of their suffixes, by doubling; each separator (0, the last symbol of all too) is a symbol of its own, in order of place.
+
+    Only places that are still tied are sorted again.
+    """
+    n, width = len(symbols), int(symbols.max() + 1).bit_length()
+    ends = np.flatnonzero(symbols == 0)
+    ahead = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    held = 62 // width
+    key = np.zeros(n, np.int64)
+    for j in range(held):
+        key <<= width
+        key[: max(0, n - j)] |= np.where(ahead[: max(0, n - j)] >= j, symbols[j:] + 1, 0)
+    order = np.argsort(key, kind="stable")
+    new = np.diff(key[order], prepend=-1) != 0
+    new |= ahead[order] < held
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    while True:
+        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+        if not len(tied):
+            return order
+        place = order[tied]
+        key = rank[place] * (n + 1) + rank[place + held]
+        by = np.argsort(key, kind="stable")
+        place, key = place[by], key[by]
+        order[tied] = place
+        new[tied] = np.diff(key, prepend=-1) != 0
+        rank[place] = np.maximum.accumulate(np.where(new[tied], tied, 0))
+        held *= 2
+
 
 class FMIndex:
-    """Backward search for patterns of at most ``depth`` symbols: suffixes are sorted by so many.
+    """Backward search over texts that end with a separator, the symbol 0; ``docs`` tells whose a place is.
 
-    The sequence ends with its least symbol, a separator, which isn't searched for.
+    What is kept is a few bits a character: the wavelet matrix, the marks and
+    places of every RATE-th suffix, and where the document changes.
     """
 
-    def __init__(self, codes: np.ndarray, depth: int):
-        self.alphabet, symbols = np.unique(codes, return_inverse=True)
-        n, width = len(codes), max(1, int(len(self.alphabet)).bit_length())
-        self.symbols = symbols.astype(np.int64)
-        per = 62 // width
-        key = np.zeros(n, np.int64)
-        for j in range(per):
-            key <<= width
-            key[: max(0, n - j)] |= self.symbols[j:] + 1
-        held = per
-        while True:
-            order = np.argsort(key, kind="stable")
-            rank = np.zeros(n, np.int64)
-            new = np.diff(key[order], prepend=-1) != 0
-            rank[order] = np.cumsum(new)
-            if held >= depth or new.all():
+    def __init__(self, symbols: np.ndarray, docs: np.ndarray):
+        order = suffix_order(symbols)
+        self.size = len(symbols)
+        letters = int(symbols.max()) + 1
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=letters))])
+        self.matrix = WaveletMatrix(symbols[order - 1], letters)
+        kept = (order % RATE == 0) | (symbols[order - 1] == 0)  # the first of a text, too: separators aren't walked over
+        self.kept, self.places = Bits(kept), order[kept].astype(np.int32)
+        self.changes = Bits(np.diff(docs[order], prepend=docs[order[0]]) != 0)
+
+    def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix intervals after one more symbol to the left."""
+        return self.before[symbol] + self.matrix.rank(symbol, low), self.before[symbol] + self.matrix.rank(symbol, high)
+
+    def several(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether an interval has suffixes of more than one document."""
+        return (high > low) & (self.changes.rank(np.maximum(low + 1, high)) > self.changes.rank(np.minimum(low + 1, self.size)))
+
+    def statistics(self, symbols: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each end, how many symbols before it, ``most`` at the most, are in several documents; and the suffix interval of the last that are."""
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
+        length, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
+        for n in range(1, most + 1):
+            symbol = symbols[ends[live] - n]
+            lo, hi = self.step(symbol, low[live], high[live])
+            ok = (symbol > 0) & self.several(lo, hi)
+            live = live[ok]
+            if not len(live):
                 break
-            key = rank * (n + 1)
-            key[: n - held] += rank[held:]
-            held *= 2
-        self.suffixes = order
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(self.symbols, minlength=len(self.alphabet)))])
-        self.matrix = WaveletMatrix(self.symbols[order - 1], len(self.alphabet))
-
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix interval [low, high) of each row of symbols, from the last symbol to the first."""
-        low = np.zeros(len(patterns), np.int64)
-        high = np.full(len(patterns), len(self.symbols), np.int64)
-        for j in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[:, j]
-            low = self.before[symbol] + self.matrix.rank(symbol, low)
-            high = self.before[symbol] + self.matrix.rank(symbol, high)
-        return low, np.maximum(low, high)
-
-
-def shared_in(docs: np.ndarray, starts: np.ndarray, sides: np.ndarray, passages: list[str], places: list[np.ndarray], span: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Matches (doc, start, other doc, start there, length) of at least ``span`` characters between passages of different documents.
-
-    ``sides``: passages of side 0 and 1 are only compared with each other, those of side 2 with all.
+            low[live], high[live], length[live] = lo[ok], hi[ok], n
+        return length, low, high
+
+    def located(self, slots: np.ndarray) -> np.ndarray:
+        """The places of suffixes: to the left until one that is kept."""
+        places, live, steps = np.empty(len(slots), np.int64), np.arange(len(slots)), 0
+        while len(live):
+            done = self.kept.get(slots)
+            places[live[done]] = self.places[self.kept.rank(slots[done])] + steps
+            live, slots = live[~done], slots[~done]
+            symbol, rank = self.matrix.read(slots)
+            slots = self.before[symbol] + rank
+            steps += 1
+        return places
+
+
+def shared_in(docs: np.ndarray, starts: np.ndarray, sides: np.ndarray, passages: list[str], span: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Matches (doc, start, other doc, start there, length) of at least ``span`` characters between passages of different documents, doc < other doc.
+
+    ``sides``: passages of side 0 and 1 are only compared with each other, those
+    of side 2 with all. A match reaches at most ``span`` characters beyond where
+    it was found; longer ones come as several that overlap.
     """
     sizes = np.array([len(p) + 1 for p in passages])
     base = np.cumsum(sizes) - sizes
     codes = codes_of("\0".join(passages) + "\0").astype(np.int64) + 1
+    last = base + sizes - 1
+    codes[last] = 0
     own = np.repeat(np.arange(len(passages)), sizes)
-    codes[base + sizes - 1] = 0
-    index = FMIndex(codes, k)
-    at = np.concatenate([p + b for p, b in zip(places, base)])
-    pattern = _distinct(index.symbols, at, k)
+    _, symbols = np.unique(codes, return_inverse=True)
+    index = FMIndex(symbols, docs[own])
+    half = (span + 1) // 2
+    count = (sizes - 1) // half
+    ends = np.repeat(base - half * (np.cumsum(count) - count), count) + half * np.arange(1, count.sum() + 1)
+    length, low, high = index.statistics(symbols, ends, half)
+    found = np.flatnonzero(length >= half)
     apart = codes.copy()
-    apart[base + sizes - 1] = -1 - np.arange(len(passages))  # no two separators are equal
+    apart[last] = -1 - np.arange(len(passages))  # no two separators are equal
     pad = np.concatenate([np.full(span, -(1 << 40)), apart, np.full(span, -(1 << 41))])
-    wide = span - k
-    for part in range(0, len(pattern), 20_000):
-        low, high = index.search(pattern[part : part + 20_000])
-        many = high - low >= 2
-        for lo, hi in _groups(low[many], high[many]):
-            size = hi - lo
-            for a, b in _places(lo, size):
-                x, y = index.suffixes[a], index.suffixes[b]
-                p, q = own[x], own[y]
-                ok = docs[p] != docs[q]
-                ok &= (sides[p] != sides[q]) | (sides[p] == 2)
-                x, y, p, q = x[ok], y[ok], p[ok], q[ok]
-                if not len(x):
-                    continue
-                left = _run(pad, x + span - 1, y + span - 1, -1, wide)
-                right = _run(pad, x + span + k, y + span + k, 1, wide)
-                ok = left + k + right >= span
-                x, y, p, q, left, right = x[ok], y[ok], p[ok], q[ok], left[ok], right[ok]
-                yield docs[p], starts[p] + x - left - base[p], docs[q], starts[q] + y - left - base[q], left + k + right
-
-
-def _distinct(symbols: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Distinct rows of k symbols; told apart by their bytes."""
-    view = np.lib.stride_tricks.sliding_window_view(symbols.astype(np.uint16) if symbols.max() < 1 << 16 else symbols, k)
-    rows = {view[i].tobytes(): i for i in at.tolist()}
-    return np.lib.stride_tricks.sliding_window_view(symbols, k)[np.fromiter(rows.values(), np.int64, len(rows))]
-
-
-def _groups(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Intervals in groups of at most about two million pairs; a larger one alone."""
-    pairs = (high - low) * (high - low - 1) // 2
-    part = (np.cumsum(pairs) - pairs) // 2_000_000
-    for p in np.unique(part):
-        yield low[part == p], high[part == p]
-
-
-def _places(low: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places (a, b), a < b, within each interval, by their distance in the interval."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    count = 0
-    for distance in range(1, int(size.max()) if len(size) else 0):
-        keep = size > distance
-        lo, room = low[keep], size[keep] - distance
-        first = np.repeat(lo - (np.cumsum(room) - room), room) + np.arange(room.sum())
-        held.append((first, first + distance))
-        count += len(first)
-        if count > 200_000:
-            yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
-            held, count = [], 0
-    if held:
-        yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+    wide = span - half
+    size = high[found] - low[found]
+    part = (np.cumsum(size) - size) // LOCATED
+    for n in np.unique(part):
+        which = found[part == n]
+        many = high[which] - low[which]
+        slots = np.repeat(low[which] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        x, y = np.repeat(ends[which] - half, many), index.located(slots)
+        p, q = own[x], own[y]
+        ok = (docs[p] < docs[q]) & ((sides[p] != sides[q]) | (sides[p] == 2))
+        x, y, p, q = x[ok], y[ok], p[ok], q[ok]
+        left = _run(pad, x + span - 1, y + span - 1, -1, wide)
+        right = _run(pad, x + span + half, y + span + half, 1, wide)
+        ok = left + half + right >= span
+        x, y, p, q, left, right = x[ok], y[ok], p[ok], q[ok], left[ok], right[ok]
+        if len(x):
+            yield docs[p], starts[p] + x - left - base[p], docs[q], starts[q] + y - left - base[q], left + half + right
 
 
 def _run(codes: np.ndarray, x: np.ndarray, y: np.ndarray, step: int, most: int) -> np.ndarray:
@@ -337,30 +378,44 @@ def _run(codes: np.ndarray, x: np.ndarray, y: np.ndarray, step: int, most: int)
     return length
 
 
-def _matches(span: int, k: int):
+def longest(docs: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The spans (rows doc, start, end) that lie in no other of their document."""
+    order = np.lexsort((-end, start, docs))
+    docs, start, end = docs[order], start[order], end[order]
+    group = np.cumsum(np.diff(docs, prepend=docs[:1]) != 0)
+    reach = end + group * (int(end.max()) + 1)
+    keep = np.diff(np.maximum.accumulate(reach), prepend=-1) > 0
+    return np.stack([docs[keep], start[keep], end[keep]])
+
+
+def _matches(span: int, spans: bool):
+    """From passages, all of a shard one after another, to distinct links (doc, other), doc < other; with ``spans`` also to (doc, null, start, end)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], []]
         held, last = 0, None
-        kind = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            docs = np.array(rows[0], np.int64)
-            found = shared_in(docs, np.array(rows[1], np.int64), np.array(rows[2]), rows[3], [np.array(p, np.int64) for p in rows[4]], span, k)
-            for a, s, b, t, n in found:
-                swap = a > b
-                a, b, s, t = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, t, s), np.where(swap, s, t)
-                unique = np.unique(np.stack([a, b, s, t, n]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in unique], names=["doc_a", "doc_b", "start_a", "start_b", "length"])
+            links, known = np.zeros((2, 0), np.int64), np.zeros((3, 0), np.int64)
+            for a, s, b, t, n in shared_in(np.array(rows[0], np.int64), np.array(rows[1], np.int64), np.array(rows[2]), rows[3], span):
+                links = np.unique(np.concatenate([links, np.unique(np.stack([a, b]), axis=1)], axis=1), axis=1)
+                if spans:
+                    known = longest(*np.concatenate([known, np.stack([a, s, s + n]), np.stack([b, t, t + n])], axis=1))
+            none = lambda n: pa.nulls(n, pa.int64())
+            names = ["doc", "other", "start", "end"]
+            yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1]), none(links.shape[1]), none(links.shape[1])], names=names)
+            if spans:
+                yield pa.RecordBatch.from_arrays([pa.array(known[0]), none(known.shape[1]), pa.array(known[1]), pa.array(known[2])], names=names)
 
         for batch in batches:
             leads = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            for group, doc, start, side, passage, places in zip(leads, *(batch.column(i).to_pylist() for i in range(3, 8))):
+            for group, doc, start, side, passage in zip(leads, *(batch.column(i).to_pylist() for i in range(3, 7))):
                 if held >= INDEX_CHARS and group != last:
                     yield from flush()
-                    rows, held = [[], [], [], [], []], 0
+                    rows, held = [[], [], [], []], 0
                 last = group
                 # A document of the other side or group of the same task may meet it again: distinct() follows
-                for column, x in zip(rows, (doc, start, side, passage, places)):
+                for column, x in zip(rows, (doc, start, side, passage)):
                     column.append(x)
                 held += len(passage)
         if rows[0]:
@@ -372,9 +427,10 @@ def _matches(span: int, k: int):
 def shared_spans(df: DataFrame, key: str, text: str, span: int = 200, gram: int | None = None, repeats: bool = False) -> tuple[DataFrame, ...]:
     """Spans that different texts share, and the documents of each class of equal texts.
 
-    Returns matches (doc_a, doc_b, start_a, start_b, length) between the least
-    documents of the classes, doc_a < doc_b, and members (rep, doc) of texts of
-    at least ``span`` characters. ``key`` must be whole numbers.
+    Returns links (doc, other) between the least documents of the classes, doc <
+    other, and members (rep, doc) of texts of at least ``span`` characters. With
+    ``repeats`` there are also rows (doc, null, start, end) of the shared spans
+    of both sides. ``key`` must be whole numbers.
 
     Of places in one text with the same surroundings only the first is matched;
     with ``repeats`` the others come third, as (rep, place, again).
@@ -393,7 +449,7 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = 200, gram: int
     classes = members.join(reps, ["print", "check"]).select("doc", "rep")
     wanted = wanted.join(classes, "doc").groupBy("rep").agg(F.min_by("grams", "doc").alias("grams")).withColumnRenamed("rep", "doc")
     texts = docs.select("doc", "text").join(wanted, "doc").select("doc", "text", "grams")
-    passages = texts.mapInArrow(_passages(span, k), "lead long, doc long, start int, passage string, places array<int>")
+    passages = texts.mapInArrow(_passages(span, k), "lead long, doc long, start int, passage string")
     passages = staged(passages, "passages")
     large = passages.groupBy("lead").agg(F.sum(F.length("passage")).alias("chars")).where(F.col("chars") > SHARD_CHARS)
     large = large.select("lead", F.ceil(F.col("chars") / SHARD_CHARS).cast("int").alias("buckets"))
@@ -402,10 +458,10 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = 200, gram: int
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("buckets", F.lit(1)) - 1)))
     spread = spread.select(
         "lead", F.least("bucket", "other").alias("i"), F.greatest("bucket", "other").alias("j"), "doc", "start",
-        F.when(F.col("bucket") == F.col("other"), 2).otherwise((F.col("bucket") > F.col("other")).cast("int")).alias("side"), "passage", "places",
+        F.when(F.col("bucket") == F.col("other"), 2).otherwise((F.col("bucket") > F.col("other")).cast("int")).alias("side"), "passage",
     )
     sorted_ = spread.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
-    matches = sorted_.mapInArrow(_matches(span, k), "doc_a long, doc_b long, start_a long, start_b long, length long")
+    matches = sorted_.mapInArrow(_matches(span, repeats), "doc long, other long, start long, end long")
     if not repeats:
         return matches, classes
     others = grams.where("again IS NOT NULL").join(classes, "doc").select("rep", "place", F.explode("again").alias("again")).distinct()
@@ -415,7 +471,7 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = 200, gram: int
 def sharing_pairs(df: DataFrame, key: str, text: str, span: int = 200, names: tuple[str, str] = ("doc_id_a", "doc_id_b")) -> DataFrame:
     """Distinct pairs of documents that share a run of at least ``span`` characters, the smaller id first, members of classes included."""
     matches, members = shared_spans(df, key, text, span)
-    links = matches.select("doc_a", "doc_b").distinct()
+    links = matches.select(F.col("doc").alias("doc_a"), F.col("other").alias("doc_b")).distinct()
     a = members.select(F.col("rep").alias("doc_a"), F.col("doc").alias("x"))
     b = members.select(F.col("rep").alias("doc_b"), F.col("doc").alias("y"))
     across = links.join(a, "doc_a").join(b, "doc_b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -444,13 +500,12 @@ def shared_share(df: DataFrame, key: str, text: str, span: int = 200) -> DataFra
     """
     k = span // 2
     matches, members, repeats = shared_spans(df, key, text, span, k, repeats=True)
-    matches = staged(matches.distinct(), "matches")
-    sides = matches.select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("other"), F.col("start_a").alias("a"), (F.col("start_a") + F.col("length")).alias("b")).unionByName(
-        matches.select(F.col("doc_b").alias("rep"), F.col("doc_a").alias("other"), F.col("start_b").alias("a"), (F.col("start_b") + F.col("length")).alias("b"))
-    )
-    links = sides.groupBy("rep").agg(F.count_distinct("other").alias("links"))
+    matches = staged(matches, "matches")
+    pairs = matches.where("other IS NOT NULL").select(F.col("doc").alias("rep"), "other").distinct()
+    ends = pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("links")).unionByName(pairs.groupBy(F.col("other").alias("rep")).agg(F.count(F.lit(1)).alias("links")))
+    links = ends.groupBy("rep").agg(F.sum("links").alias("links"))
+    covered = matches.where("other IS NULL").groupBy(F.col("doc").alias("rep"), F.col("start").alias("a")).agg(F.max("end").alias("b"))
     before = Window.partitionBy("rep").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    covered = sides.groupBy("rep", "a").agg(F.max("b").alias("b"))
     covered = covered.unionByName(_on_repeats(covered, repeats, span, k)).groupBy("rep", "a").agg(F.max("b").alias("b")).withColumn("reached", F.coalesce(F.max("b").over(before), F.lit(0)))
     covered = covered.groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.greatest("a", "reached"))).alias("covered"))
     copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))

@@ -89,16 +89,43 @@ def test_counts_at_their_limit_stay_an_upper_bound():
     assert (np.diff(short.astype(int)) >= 0).all() and (nearcopy.LONG[short[:-1]] >= counts[:-1]).all()
 
 
-def test_backward_search_counts_and_finds():
+def test_suffixes_are_sorted_to_their_separators():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab", k=rng.randrange(0, 60))) for _ in range(60)] + ["abab" * 20] * 5
+    symbols = np.array([" ab".index(c) for t in texts for c in t + " "])
+    ends = np.flatnonzero(symbols == 0).tolist()
+    suffixes = [(symbols[i : e].tolist(), e) for n, e in enumerate(ends) for i in range(ends[n - 1] + 1 if n else 0, e + 1)]
+    # A separator is less than any letter, and one before the other in order of place
+    want = sorted(range(len(symbols)), key=lambda i: ([x for x in suffixes[i][0]] + [0, suffixes[i][1]]))
+    assert spans.suffix_order(symbols).tolist() == want
+
+
+def test_matching_statistics_and_located_suffixes(monkeypatch):
     rng = random.Random(2)
-    text = "".join(rng.choice("aabbccdd\0") for _ in range(3000)) + "\0"
-    index = spans.FMIndex(spans.codes_of(text).astype(np.int64), 6)
-    letters = {c: i for i, c in enumerate(sorted(set(text)))}
-    for n in (1, 3, 6):
-        words = [w for i in rng.sample(range(2990), 60) if "\0" not in (w := text[i : i + n])]
-        low, high = index.search(np.array([[letters[c] for c in w] for w in words]))
-        for w, lo, hi in zip(words, low.tolist(), high.tolist()):
-            assert sorted(index.suffixes[lo:hi].tolist()) == [i for i in range(len(text)) if text.startswith(w, i)]
+    common = "".join(rng.choices("abcd", k=40))
+    texts = ["".join(rng.choices("abcd", k=rng.randrange(0, 90))) + common[rng.randrange(0, 20) :] * rng.randrange(0, 2) for _ in range(40)]
+    text = "".join(t + "\0" for t in texts)
+    symbols, docs = np.array(["\0abcd".index(c) for c in text]), np.repeat(np.arange(40), [len(t) + 1 for t in texts])
+    index = spans.FMIndex(symbols, docs)
+    ends = np.array([i for i in range(len(text)) if i % 7 == 0 and i >= 30])
+    length, low, high = index.statistics(symbols, ends, 30)
+
+    def elsewhere(i, e):
+        return any(text[i:e] in t for d, t in enumerate(texts) if d != docs[i])
+
+    for e, n, lo, hi in zip(ends.tolist(), length.tolist(), low.tolist(), high.tolist()):
+        best = 0
+        while best < 30 and text[e - best - 1] != "\0" and docs[e - best - 1] == docs[e - 1] and elsewhere(e - best - 1, e):
+            best += 1
+        assert n == best
+        if n:
+            word = text[e - n : e]
+            assert sorted(index.located(np.arange(lo, hi)).tolist()) == [i for i in range(len(text)) if text.startswith(word, i)]
+
+
+def test_spans_within_others_are_dropped():
+    rows = np.array([[1, 0, 10], [1, 2, 8], [1, 2, 12], [2, 3, 4], [1, 0, 10], [2, 0, 2]]).T
+    assert spans.longest(*rows).T.tolist() == [[1, 0, 10], [1, 2, 12], [2, 0, 2], [2, 3, 4]]
 
 
 def shared(texts, span):
