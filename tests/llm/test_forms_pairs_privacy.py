@@ -124,3 +124,39 @@ def test_personal_table(spark):
     out = privacy.personal(df, "id", ["content", "memory"]).select("id", "field", "redacted").distinct().collect()
     assert sorted(map(tuple, out)) == [(1, "content", "gọi [PHONE]"), (2, "memory", "")]
     assert privacy.personal(df.limit(0), "id", ["content", "memory"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "Lo siento, no puedo responder a esa pregunta. Por favor contacte con la oficina.", "Desculpe, não posso responder a isso.", "Mi dispiace, non posso rispondere a questa domanda.", "Maaf, saya tidak dapat menjawab pertanyaan ini. Silakan hubungi cabang.",
+        "抱歉，我无法回答这个问题。请联系客服。", "申し訳ございませんが、お答えできません。", "죄송합니다. 답변해 드릴 수 없습니다.", "ขออภัย ไม่สามารถตอบคำถามนี้ได้", "Je ne peux pas répondre à cette question.", "Das kann ich leider nicht beantworten.", "К сожалению, не могу ответить.",
+    ],
+)
+def test_refusals_in_other_languages(answer):
+    assert "refusal" in pairs.found_kinds(Q, answer) and pairs.defects(Q, answer)[0] == "refusal"
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "您可以在银行卡页面选择查询交易，然后点击确认。", "カードのページで取引を選び、確認を押してください。", "카드 메뉴에서 거래 조회를 선택하고 확인을 누르세요.", "ไปที่บัตรของฉัน เลือกตรวจสอบ แล้วกดตกลง", "افتح بطاقتي ثم اختر التتبع واضغط موافق.", "Ανοίξτε την κάρτα μου και επιλέξτε έλεγχο.",
+        "Откройте карту, выберите проверку и нажмите согласен.", "Öffnen Sie die Karte, wählen Sie die Prüfung und drücken Sie auf Zustimmen, dann wird der Betrag geprüft.",
+    ],
+)
+def test_answers_in_another_script_or_language(answer):
+    assert "other_language" in pairs.found_kinds(Q, answer)
+
+
+def test_every_kind_is_given_in_the_order_of_the_rules():
+    assert pairs.found_kinds(Q, "Je ne peux pas répondre à cette question (voir")[:2] == ["truncated_answer", "refusal"]
+    assert pairs.defects(Q, "Je ne peux pas répondre à cette question (voir")[0] == "refusal"
+    assert pairs.found_kinds(Q, None) == ["empty_answer"]
+
+
+def test_copied_prefixes():
+    edited = Q.replace("hoá đơn", "hóa đơn dịch vụ").replace("vậy ", "")
+    assert pairs.defects(Q, edited) == ["copied_question"] and pairs.defects(Q, f"Bạn hỏi: {Q} Cảm ơn bạn")[0] == "copied_question"
+    assert "copied_question" not in pairs.defects(Q, f"{Q} {GOOD}")
+    shuffled = " ".join(sorted(Q.split()))
+    assert "copied_question" not in pairs.defects(Q, shuffled)
