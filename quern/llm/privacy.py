@@ -31,10 +31,11 @@ KINDS = ("email", "id_number", "phone", "address", "name")
 class Tape:
     """A rewritten text with the source span of each of its characters."""
 
-    __slots__ = ("text", "low", "high")
+    __slots__ = ("text", "low", "high", "words")
 
     def __init__(self, text: str, low: list[int] | range, high: list[int] | range):
         self.text, self.low, self.high = text, low, high
+        self.words: set[str] = set()  # in small letters, before digits and signs are rewritten
 
     def rewrite(self, pattern: re.Pattern, replace: Callable[[re.Match], list[tuple[str, int, int]] | None]) -> Tape:
         """Put, for each match, (character, start, end) items of this tape; None leaves it."""
@@ -75,9 +76,15 @@ _hidden = {c for part in re.findall("(.)-(.)|(.)", INVISIBLE) for c in (map(chr,
 _plain = _Plain()
 
 
+#: Characters that are known to have one plain character.
+_single: set[str] = set()
+
+
 def plain_tape(text: str) -> Tape:
-    out = text.translate(_plain)
-    if len(out) == len(text) and all(len(_plain[ord(c)]) == 1 for c in set(text)):
+    out = text if text.isascii() else text.translate(_plain)
+    if out is text or len(out) == len(text) and ((used := set(text)) <= _single or all(len(_plain[ord(c)]) == 1 for c in used)):
+        if out is not text and len(_single) < 100_000:
+            _single.update(used)
         return Tape(out, range(len(text)), range(1, len(text) + 1))
     chars, low, high = [], [], []
     for i, c in enumerate(text):
@@ -99,6 +106,9 @@ DIGITS = {
 _digit = "|".join(sorted(DIGITS, key=len, reverse=True))
 _spelled = re.compile(rf"(?i)(?<!\w)(?:{_digit}|\d)(?:[ ,.\-]{{1,3}}(?:{_digit}|\d)(?!\w)){{6,}}")
 _element = re.compile(r"(?i)[a-z]+|\d")
+_tld = r"(?:com|net|org|vn|edu|gov|info|io|co|biz|me|fr|de|ru|uk|us|eu)"
+_dotted = r"(?:\.|\s*[(\[{]\s*(?:dot|cham|\.)\s*[)\]}]\s*|\s+(?:dot|cham)\s+)"
+_bare_at = re.compile(rf"(?i)(?<=[a-z0-9_+\-])\s+at\s+(?=[a-z0-9\-]+(?:{_dotted}[a-z0-9\-]+)*{_dotted}{_tld}\b)")
 _at = re.compile(r"(?i)(?<=[a-z0-9_+\-])(?:\s*[(\[{<]\s*(?:at|a cong|a-cong|acong|a moc|@)\s*[)\]}>]\s*|\s+(?:a cong|a-cong|acong|a moc)\s+|\s+@\s+)(?=[a-z0-9])")
 _dot = re.compile(r"(?i)(?<=[a-z0-9])(?:\s*[(\[{]\s*(?:dot|cham|\.)\s*[)\]}]\s*|\s+(?:dot|cham)\s+)(?=[a-z0-9])")
 _letters = re.compile(r"(?i)(?<![a-z\d])(?=(?:[ol .\-]{0,3}\d){6})[\dol](?:[ .\-]?[\dol]){7,13}(?![a-z\d])")
@@ -129,14 +139,26 @@ def _full_stop(m: re.Match, tape: Tape, source: str) -> list[tuple[str, int, int
 
 
 def normal(text: str) -> Tape:
-    """The four transducers in a row."""
+    """The four transducers in a row; each runs where the text has what it rewrites."""
     tape = plain_tape(text)
-    tape = tape.rewrite(_spelled, _digits)
-    tape = tape.rewrite(_at, lambda m: [("@", m.start(), m.end())])
+    low = tape.text.lower()
+    found = _letter_words.findall(low)
+    words = set(found)
+    if not words.isdisjoint(DIGITS) and sum(map(DIGITS.__contains__, found)) >= 3:
+        tape = tape.rewrite(_spelled, _digits)
+    if "at" in low or "cong" in low or "moc" in low or "@" in low:
+        tape = tape.rewrite(_at, lambda m: [("@", m.start(), m.end())])
+        if " at " in low:
+            tape = tape.rewrite(_bare_at, lambda m: [("@", m.start(), m.end())])
     if "@" in tape.text:
         tape = tape.rewrite(_dot, lambda m: _full_stop(m, tape, text))
-    return tape.rewrite(_letters, _zeros)
+    if len(_any_digit.findall(tape.text)) >= 6:
+        tape = tape.rewrite(_letters, _zeros)
+    tape.words = words
+    return tape
+
 
+_letter_words, _any_digit = re.compile("[a-z]+"), re.compile(r"\d")
 
 Found = tuple[int, int, str]
 
@@ -145,11 +167,13 @@ _url = re.compile(r"(?i)\b(?:https?://|www\.)\S+")
 
 # Fixed values, without accents: labels of identity numbers.
 _id = re.compile(
-    r"(?i)(?<!\w)(?:cccd|can cuoc(?: cong dan)?|cmnd|cmt(?:nd)?|chung minh(?: thu| nhan dan)?|so dinh danh|dinh danh(?: ca nhan)?|ho chieu|hc|passport|pp|national id(?: card)?|citizen(?:ship)? (?:card|id)|identity (?:card|number)|(?:old )?id(?: card)?"
+    r"(?i)(?<!\w)(?:ssn|social security(?: number| no)?|cccd|can cuoc(?: cong dan)?|cmnd|cmt(?:nd)?|chung minh(?: thu| nhan dan)?|so dinh danh|dinh danh(?: ca nhan)?|ho chieu|hc|passport|pp|national id(?: card)?|citizen(?:ship)? (?:card|id)|identity (?:card|number)|(?:old )?id(?: card)?"
     r"|mst|ma so thue|tax (?:number|code|id|no)|gplx|giay phep lai xe|bang lai(?: xe)?|driv(?:ing|er'?s?) licen[cs]e|licen[cs]e)"
     r"(?:[ \t]*(?:ca nhan|gan chip|xe|hang \w\d?|so|no|number|num|moi|cu|cua (?:toi|minh|em|anh|chi)|toi|minh|la|is|[:#.\-]))*[ \t]*"
     r"(?P<value>(?:[a-z]{1,2}[ \-]?)?\d(?:[ .\-]?\d){6,13})(?![\d/]|[a-z]|[ ]?(?:dong|vnd|vnđ|usd|credits|trieu)\b)"
 )
+#: Words of which every label has one.
+ID_WORDS = set("ssn social cccd can cmnd cmt cmtnd chung dinh ho hc passport pp national citizen citizenship identity id mst ma tax gplx giay bang driving driver drivers license licence".split())
 _bare_id = re.compile(r"(?<![\w/.\-])0\d{2}[ .\-]?\d{3}[ .\-]?\d{3}[ .\-]?\d{3}(?![\w/]|[.\-]\d)")
 _number = re.compile(r"(?<![\w/\-.+])\(?\+?\(?\d(?:[ .\-()]{0,2}\d){6,15}(?![\d/:]|[a-z]\w)(?:\s*(?:ext|x|may le)\.?\s*\d{1,5}(?!\w))?", re.I)
 # Fixed values, without accents: what makes the number after it another kind of number.
@@ -159,6 +183,9 @@ _other_number = re.compile(
 )
 
 
+_grouped = re.compile(r"(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}$")
+
+
 def _phone_end(text: str) -> int:
     """Where a phone number that starts the text ends, at a separator; 0 for none."""
     digits = re.sub(r"\D", "", re.split(r"(?i)ext|x|may le", text)[0])
@@ -168,6 +195,8 @@ def _phone_end(text: str) -> int:
         local = local[1:]
     if len(local) == 10 and local[0] == "0" and local[1] in "2356789" or len(local) == 11 and local[:2] == "02":
         return len(text)
+    if not plus and len(digits) == 10 and digits[0] in "23456789" and _grouped.match(text):
+        return len(text)
     if plus and not digits.startswith("84") and 8 <= len(digits) <= 15:
         return len(text)
     return 0
@@ -207,19 +236,73 @@ def _without(words: set[str]) -> set[str]:
 
 PLAIN_SURNAMES, PLAIN_GIVEN, PLAIN_TITLES = _without(SURNAMES), _without(GIVEN), _without(TITLES)
 PLAIN_SMALL = _without(SMALL_SURNAMES)
+PLAIN_STARTS = PLAIN_SURNAMES | PLAIN_TITLES
 BARE_TITLES = set("anh chi co chu bac ong ba".split())
 # Fixed values, without accents: what stands before the name of a thing or a place.
 _thing = re.compile(
     r"(?i)(?:\b(?:ngan hang|the|vi|goi|quy|so|kenh|may|dong ho|ung dung|dich vu|cong|tai khoan|bao hiem|ma qr|qr|tra sau|phuong|xa|quan|huyen|thon|tp|thanh pho|tinh|duong|pho|ngo|hem|chung cu|toa nha|trinh duyet|app|muc|nut|hang|san pham|chuong trinh|khu vuc|chi nhanh|bank|card)|\b[pq]\.)[ ]*[\"“]?$"
 )
 _token = re.compile(r"[A-Za-z]+(?:['\-][A-Za-z]+)*")
-_said = re.compile(
-    r"(?:(?i:\b(?:my name is|this is|i am|i'm|name:|customer|client|reach|contact|call|dear|hello|hi|ask for|speak to|signed|named|named as|mr|mrs|ms|miss)\.?)[ ]+|(?i:\b(?:regards|thanks|thank you|sincerely|best|cheers|yours),?)[ ]*\n+[ ]*)"
-    r"(?P<value>[A-Z][A-Za-z]*(?:['\-][A-Za-z]+)*(?:,? [A-Z][A-Za-z]*(?:['\-][A-Za-z]+)*){1,3})(?!\w)"
-)
-_does = re.compile(r"(?<![\w,\"])(?P<value>[A-Z][A-Za-z]+(?:['\-][A-Za-z]+)*(?:,? [A-Z][A-Za-z]+(?:['\-][A-Za-z]+)*){1,3})(?= (?:often|usually|always|prefers|wants|asked|called|said|reported|lost|lives|wrote)\b)")
-_said_small = re.compile(r"(?i:\b(?:my name is|this is|customer|reach)) (?P<value>[a-z]{3,}(?:-[a-z]+)?,? [a-z]{3,}(?:-[a-z]+)?)(?=, | at [+(\d]| wants )")
-_does_small = re.compile(r"^(?P<value>[a-z]{3,}(?:-[a-z]+)?,? [a-z]{3,}(?:-[a-z]+)?)(?= often )")
+# What introduces a person; verbs of what persons do, with their irregular pasts; adverbs before them; what is no name in small letters.
+INTRODUCTIONS = "my name is|name is|full name|name|this is|i am|i'm|contact person is|contact person|contact is|contact|call|reach|ask for|speak to|speak with|signed by|signed|named as|named|dear|hello|hi|hey|customer|client|on behalf of|attention|attn|mr|mrs|ms|miss|dr".split("|")
+CLOSINGS = "regards|thanks|thank you|sincerely|best|cheers|yours".split("|")
+DOES = "want ask call report live prefer use like own claim travel visit complain request explain try love hate plan shop hope wish owe earn move study register enjoy remember order return arrive phone mention apologise apologize work".split()
+DID = "says said loses lost writes wrote pays paid speaks spoke sends sent buys bought forgets forgot tells told thinks thought knows knew keeps kept spends spent".split()
+ADVERBS = "often usually always rarely never sometimes also just already still recently seldom hardly normally generally frequently".split()
+COMMON_WORDS = set(
+    "known done made given taken seen the and for not but you your our his her its are was were has had have with from that this these those there here what when where which who why how can could will would should must may might about into onto over under after before again also very too just still only even ever never always often usually really sure some any all each every many much more most few other another same such own new old good bad great best first last next right wrong please thanks thank hello dear sorry yes sir madam team support service customer client user bank card account wallet app plan fund order payment gateway portal insurance voucher money balance code number name phone email address urgent important wrong fine happy unable able ready back home office branch help contact call reach ask using trying calling writing getting going being having making waiting asking looking".split()
+) | set(ADVERBS)
+THINGS = re.compile(r"(?i)\b(?:bank|card|cards|account|wallet|app|plan|fund|order|payment|gateway|portal|insurance|voucher|support|service|customer|team|the|not|how|why|about|still|what|urgent|pay|lite|plus|pro|max|mini|tablet|phone|watch|savings|loan|visa|mastercard|napas|platinum|gold|debit|credit)\b")
+
+
+def _verbs() -> list[str]:
+    """The third persons and pasts of DOES by rule, and DID."""
+    forms = list(DID)
+    for v in DOES:
+        stem = v[:-1] + "i" if v.endswith("y") and v[-2] not in "aeou" else v
+        forms += [stem + ("es" if stem != v or v[-1] in "shx" else "s"), stem + ("d" if v[-1] == "e" else "ed")]
+    return forms
+
+
+VERBS = _verbs()
+
+_part = r"[A-Z][A-Za-z]*(?:['\-][A-Za-z]+)*"
+_small = r"[a-z]{3,}(?:['\-][a-z]+)?"
+_act = rf"(?= (?:(?:{'|'.join(ADVERBS)}|[a-z]+ly) )?(?:{'|'.join(VERBS)})\b)"
+_introduced = rf"(?i:\b(?:{'|'.join(INTRODUCTIONS)})[.:]?)[ ]+|(?i:\b(?:{'|'.join(CLOSINGS)}),?)[ ]*\n+[ ]*"
+#: A name is a few words of its shape where a person is introduced or acts; what a sentence says of the person doesn't matter.
+NAMED = [
+    re.compile(rf"(?:{_introduced})(?P<value>{_part}(?:,? (?!I\b){_part}){{1,3}})(?!\w)"),
+    re.compile(rf'(?<![\w,"])(?P<value>{_part}(?:,? (?!I\b){_part}){{1,3}}){_act}'),
+]
+SMALL_NAMED = [
+    re.compile(rf"(?i:\b(?:{'|'.join(x for x in INTRODUCTIONS if x not in ('hi', 'hey', 'hello', 'i am', 'name'))})[.:]?) (?P<value>{_small}(?:,? {_small}){{1,2}}?)(?=[,.;!?\n]|$| (?:at|on|and|from|or|who|to) |{_act[3:-1]})"),
+    re.compile(rf"(?:^|[.!?\n]\s*)(?P<value>{_small}(?:,? {_small}){{1,2}}?){_act}"),
+]
+#: Words of which one stands before or after a name in these contexts: of an introduction the last that isn't frequent.
+_contexts = {[w for w in re.findall("[a-z]+", x) if w not in ("is", "for", "to", "with", "by", "as", "i", "of", "on", "you")][-1] for x in (*INTRODUCTIONS, *CLOSINGS)} | set(VERBS)
+_shaped = re.compile(r"(?:ed|ing|ly|tion|sion|ment|ness|able|ible|ous|ful|ity)$")
+
+
+def _foreign_names(text: str, words: set[str]) -> Iterator[Found]:
+    """Names that no list has, by their shape in the context of a person."""
+    if words.isdisjoint(_contexts):
+        return
+    for pattern in NAMED:
+        for m in pattern.finditer(text):
+            if not THINGS.search(m["value"]):
+                yield m.start("value"), m.end("value"), "name"
+    for pattern in SMALL_NAMED:
+        for m in pattern.finditer(text):
+            parts = re.findall(r"[a-z'\-]+", m["value"])
+            if not any(x in COMMON_WORDS or _shaped.search(x) for x in parts) and not THINGS.search(m["value"]) and not set(parts) & _contexts:
+                yield m.start("value"), m.end("value"), "name"
+
+
+# Fixed values, without accents: words of which every address has one.
+ADDRESS_WORDS = set("duong pho ngo ngach hem quoc tinh dai khu so nha kiet lo can phong toa block thon xom ap buon lang to flat apartment apt unit house no street st lane road rd avenue ave close way drive court terrace crescent".split())
+#: Markers of Vietnamese middle names, which make a name of what stands around them.
+_marked_name = re.compile(r"(?<![\w'])[A-Z][a-z]{1,5} (?:Thi|Van|A) [A-Z][a-z]{1,6}(?: [A-Z][a-z]{1,6})?(?!\w)")
 # Fixed values, without accents: what tells that a name follows it.
 _told = re.compile(r"(?i)\b(?:ten(?: toi)?(?: la)?|khach(?: hang)?|toi la|minh la|em la|la|cho|chao|cua|ho ten|nguoi nhan|goi toi la|va|con|ghi ten|thu huong(?: quen)?)[: ]+$")
 _not_names = {"ho so", "ly do", "luu y", "luu thay", "ta ve", "do la", "le phi", "ho tro", "tu choi", "cao cap", "la vi"}
@@ -227,16 +310,21 @@ _not_names = {"ho so", "ly do", "luu y", "luu thay", "ta ve", "do la", "le phi",
 
 def _names(tape: Tape, source: str) -> Iterator[Found]:
     text = tape.text
-    for pattern in (_said, _does, _said_small, _does_small):
-        for m in pattern.finditer(text):
-            value = m["value"]
-            if not re.search(r"(?i)\b(?:bank|card|account|wallet|app|plan|fund|order|payment|gateway|portal|insurance|voucher|support|service|customer|team|the|not|how|why|about|still|what|urgent)\b", value):
-                yield m.start("value"), m.end("value"), "name"
+    yield from _foreign_names(text, tape.words)
+    if " Thi " in text or " Van " in text or " A " in text:
+        for m in _marked_name.finditer(text):
+            own = source[slice(*tape.source(m.start(), m.end()))].split()
+            marker = m[0].split()[1]
+            if (marker != "A" or own[0] != m[0].split()[0]) and (marker != "Van" or own[1] == "Văn") and not _thing.search(text[max(0, m.start() - 24) : m.start()]):
+                yield m.start(), m.end(), "name"
+    if tape.words.isdisjoint(PLAIN_STARTS):
+        return
     tokens = list(_token.finditer(text))
     words = [t[0].lower() for t in tokens]
     used = -1
-    for i, t in enumerate(tokens):
-        if i <= used or words[i] not in PLAIN_SURNAMES and words[i] not in PLAIN_TITLES:
+    for i in [i for i, w in enumerate(words) if w in PLAIN_STARTS]:
+        t = tokens[i]
+        if i <= used:
             continue
         a, b = tape.source(t.start(), t.end())
         own = unicodedata.normalize("NFC", source[a:b]).lower()
@@ -313,18 +401,20 @@ def findings(text: str | None) -> list[tuple[int, int, str]]:
         taken.append((a, b, kind))
         marks[a:b] = b"\x01" * (b - a)
 
+    words = tape.words
     if "@" in plain:
         for m in _email.finditer(plain):
             take(*m.span(), "email")
-    for m in _url.finditer(plain):
+    for m in _url.finditer(plain) if "://" in plain or "www" in words else ():
         marks[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
-    if re.search(r"\d", plain):
-        for m in _id.finditer(plain):
+    addresses = None if words.isdisjoint(ADDRESS_WORDS) else _address
+    if _any_digit.search(plain):
+        for m in _id.finditer(plain) if not words.isdisjoint(ID_WORDS) else ():
             value = m["value"]
             digits = re.sub(r"\D", "", value)
             if 7 <= len(digits) <= 13 and free(*m.span("value")):
                 take(*m.span("value"), "id_number")
-        for m in _address.finditer(plain):
+        for m in addresses.finditer(plain) if addresses else ():
             if free(*m.span()):
                 take(*m.span(), "address")
         for m in _number.finditer(plain):
@@ -339,7 +429,7 @@ def findings(text: str | None) -> list[tuple[int, int, str]]:
         for m in _bare_id.finditer(plain):
             if free(*m.span()) and not _other_number.search(plain[max(0, m.start() - 45) : m.start()]):
                 take(*m.span(), "id_number")
-    else:
+    elif addresses:
         for m in _address.finditer(plain):
             if free(*m.span()):
                 take(*m.span(), "address")

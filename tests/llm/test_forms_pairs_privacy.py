@@ -160,3 +160,35 @@ def test_copied_prefixes():
     assert "copied_question" not in pairs.defects(Q, f"{Q} {GOOD}")
     shuffled = " ".join(sorted(Q.split()))
     assert "copied_question" not in pairs.defects(Q, shuffled)
+
+
+# Sentences and names that the rules weren't written on; what is found is measured, see README
+HELD_OUT = [
+    ("Could you transfer it to Ingrid Halvorsen instead?", ["Ingrid Halvorsen"]), ("I spoke to Mateusz Wisniewski yesterday about the refund.", ["Mateusz Wisniewski"]), ("Kind regards,\nAmara Okonkwo", ["Amara Okonkwo"]), ("Hi Priya Raghunathan, your refund is on its way.", ["Priya Raghunathan"]),
+    ("Yusuf Demirci travels to Hue every month.", ["Yusuf Demirci"]), ("The card belongs to Freja Lindqvist.", ["Freja Lindqvist"]), ("Miss Chiara Bellandi complained about the fee.", ["Chiara Bellandi"]), ("my name is tomas novak", ["tomas novak"]),
+    ("sofia petrova usually shops online", ["sofia petrova"]), ("On behalf of Declan O'Sullivan, I request a new PIN.", ["Declan O'Sullivan"]), ("Please reach Keiko Yamashita before noon.", ["Keiko Yamashita"]), ("Leila Haddad mentioned the wrong amount.", ["Leila Haddad"]),
+    ("Signed by Bram van Houten", ["Bram van Houten"]), ("Our neighbour Gustavo Pereira saw it too.", ["Gustavo Pereira"]), ("This is Nadia Benali, I need help.", ["Nadia Benali"]), ("Dear Ms. Eilidh MacGregor,\nthank you.", ["Eilidh MacGregor"]),
+    ("Olga Smirnova has never paid late.", ["Olga Smirnova"]), ("contact person: Rashid Khan", ["Rashid Khan"]), ("Người nhận: Phan Thị Kim Ngân", ["Phan Thị Kim Ngân"]), ("Em là Trần Quốc Bảo ạ", ["Trần Quốc Bảo"]),
+    ("Gửi cho chị Hạnh giúp em", ["chị Hạnh"]), ("Chủ tài khoản là Vàng Thị Mỷ", ["Vàng Thị Mỷ"]), ("Bạn tôi, Đặng Hữu Phước, cũng bị lỗi", ["Đặng Hữu Phước"]), ("Mình tên Lê Minh Khôi", ["Lê Minh Khôi"]),
+    ("The Mossbank wallet often fails.", []), ("Thanks for the quick answer.", []), ("Contact Support Team about it.", []), ("Open My Cards and choose Block Card.", []), ("I am in District Seven now.", []), ("Hello, is anyone there?", []), ("Ngân hàng Phương Đông báo lỗi", []), ("Tôi ở Quận Tân Bình", []), ("this is not working, please help", []), ("Monday Morning Report usually arrives late", []),
+]
+
+
+def test_held_out_names():
+    wanted = found = wrong = 0
+    for text, names in HELD_OUT:
+        got = {text[a:b] for a, b, kind in privacy.findings(text) if kind == "name"}
+        wanted, found, wrong = wanted + len(names), found + len(got & set(names)), wrong + len(got - set(names))
+    print(f"names wanted {wanted}, found {found}, wrong {wrong}")
+    assert found >= 0.6 * wanted and wrong <= 3
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("Maria Garcia rarely pays by card.", ["name"]), ("maria garcia rarely pays by card", ["name"]), ("my contact is john smith", ["name"]), ("My contact is Zhang Wei.", ["name"]), ("ask for Oluwaseun Adeyemi", ["name"]), ("Tôi là Sùng A Páo", ["name"]), ("khách Lò Thị Mai hỏi phí", ["name"]),
+        ("mail foo at bar dot com", ["email"]), ("meet me at noon dot", []), ("call 415-555-2671", ["phone"]), ("SSN 123-45-6789", ["id_number"]), ("the customer often pays", []), ("my name is already known.", []), ("visa platinum usually works", []), ("Call me on Monday", []),
+    ],
+)
+def test_mentions_without_a_list(text, kinds):
+    assert [k for _, _, k in privacy.findings(text)] == kinds
