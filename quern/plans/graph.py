@@ -47,17 +47,32 @@ def graph_merge_edges(spark, folder):
     return G.merged_edges(edges, ["src", "rel_type", "label", "name"], "added_at").select("src", "rel_type", "label", "name", F.round("confidence", 6).alias("confidence"))
 
 
-_LOADS = "(SELECT concat_ws('|', source, sheet_name, row_id) AS node, question, intent, row_number() OVER (PARTITION BY source, sheet_name, row_id ORDER BY faq_id) AS nth FROM faq WHERE source IS NOT NULL AND sheet_name IS NOT NULL AND row_id IS NOT NULL)"
+@query("""SELECT concat_ws('|', source, sheet_name, row_id) AS node, last(question ORDER BY faq_id) FILTER (question IS NOT NULL) AS question, last(intent ORDER BY faq_id) FILTER (intent IS NOT NULL) AS intent, count(*) AS loads
+  FROM faq WHERE source IS NOT NULL AND sheet_name IS NOT NULL AND row_id IS NOT NULL GROUP BY source, sheet_name, row_id""")
+def graph_upsert_nodes(spark, folder):
+    """All loads of a node merged, property by property, in the order they came."""
+    rows = table(spark, folder, "faq").where("source IS NOT NULL AND sheet_name IS NOT NULL AND row_id IS NOT NULL")
+    loads = rows.select(F.concat_ws("|", "source", "sheet_name", F.col("row_id").cast("string")).alias("node"), "question", "intent", "faq_id")
+    return G.folded_nodes(loads, "node", "faq_id").join(loads.groupBy("node").agg(F.count(F.lit(1)).alias("loads")), "node")
 
 
-@query(f"""WITH old AS (SELECT * FROM {_LOADS} WHERE nth = 1), new AS (SELECT * FROM {_LOADS} WHERE nth = 2)
-  SELECT coalesce(b.node, a.node) AS node, coalesce(b.question, a.question) AS question, coalesce(b.intent, a.intent) AS intent FROM old a FULL JOIN new b ON a.node = b.node""")
-def graph_upsert_nodes(spark, folder):
-    """Rows loaded a second time merged into those of the first, property by property."""
+@query("""SELECT concat_ws('|', source, sheet_name, row_id) AS node, faq_id, count(*) OVER (PARTITION BY source, sheet_name, row_id) AS nodes FROM faq WHERE source IS NOT NULL AND sheet_name IS NOT NULL AND row_id IS NOT NULL""")
+def graph_create_nodes(spark, folder):
+    """The form that creates: each load is a node of its own."""
     rows = table(spark, folder, "faq").where("source IS NOT NULL AND sheet_name IS NOT NULL AND row_id IS NOT NULL")
-    nth = F.row_number().over(Window.partitionBy("source", "sheet_name", "row_id").orderBy("faq_id"))
-    loads = rows.select(F.concat_ws("|", "source", "sheet_name", F.col("row_id").cast("string")).alias("node"), "question", "intent", nth.alias("nth"))
-    return G.upserted_nodes(loads.where("nth = 1").drop("nth"), loads.where("nth = 2").drop("nth"), "node")
+    made = rows.select(F.concat_ws("|", "source", "sheet_name", F.col("row_id").cast("string")).alias("node"), "faq_id")
+    return made.join(made.groupBy("node").agg(F.count(F.lit(1)).alias("nodes")), "node")
+
+
+@query("""WITH n AS (SELECT DISTINCT label, lower(trim(entity_name)) AS name FROM faq_edge WHERE trim(entity_name) <> ''), e AS (SELECT DISTINCT turn_no, conv_id, topic FROM chat_turn WHERE topic IS NOT NULL)
+  SELECT DISTINCT conv_id, turn_no, f.faq_id, lower(trim(e.topic)) AS name FROM e JOIN chat_turn t USING (conv_id, turn_no) JOIN faq f ON f.faq_id = t.faq_id JOIN n ON n.label = 'Action' AND n.name = lower(trim(e.topic))""")
+def graph_relate_by_property(spark, folder):
+    """An edge from the document a turn was answered by to the action it is about, both ends found by a property."""
+    turns = table(spark, folder, "chat_turn").where("topic IS NOT NULL AND faq_id IS NOT NULL").select("conv_id", "turn_no", F.col("faq_id").cast("string").alias("document"), G.name_key(F.col("topic")).alias("action")).distinct()
+    actions = _edges(spark, folder).where("trim(entity_name) <> ''").select("label", G.name_key(F.col("entity_name")).alias("name")).distinct().withColumn("id", F.concat_ws(":", "label", "name"))
+    documents = table(spark, folder, "faq").select(F.lit("FAQ").alias("label"), F.col("faq_id").cast("string").alias("name"), F.col("faq_id").cast("string").alias("id"))
+    edges = G.resolved_edges(turns, actions.unionByName(documents, allowMissingColumns=True), {"document": ("FAQ", "name"), "action": ("Action", "name")})
+    return edges.select("conv_id", "turn_no", F.col("document_id").cast("long").alias("faq_id"), F.col("action").alias("name")).distinct()
 
 
 _E = "(SELECT query_id, etype, lower(trim(value)) AS value FROM (SELECT DISTINCT conv_id * 1000 + turn_no AS query_id, m.key AS etype, unnest(m.value) AS value FROM (SELECT conv_id, turn_no, unnest(map_entries(entities)) AS m FROM chat_turn WHERE entities IS NOT NULL AND conv_id % 20 = 0)) WHERE trim(value) <> '')"
@@ -66,10 +81,13 @@ MATCH = f"""(SELECT DISTINCT query_id, etype, src AS doc_id, rel_type, label, na
   OR length(value) >= 3 AND contains(' ' || name || ' ', ' ' || value || ' ') OR length(name) >= 3 AND contains(' ' || value || ' ', ' ' || name || ' '))"""
 
 
-def _matches(spark, folder):
+def _turn_entities(spark, folder):
     turns = table(spark, folder, "chat_turn").where("entities IS NOT NULL AND conv_id % 20 = 0")
-    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn_no")).alias("query_id"), F.explode(F.map_entries("entities")).alias("m")).select("query_id", F.col("m.key").alias("etype"), F.explode("m.value").alias("value"))
-    return G.entity_matches(_edges(spark, folder), rows)
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn_no")).alias("query_id"), F.explode(F.map_entries("entities")).alias("m")).select("query_id", F.col("m.key").alias("etype"), F.explode("m.value").alias("value"))
+
+
+def _matches(spark, folder):
+    return G.entity_matches(_edges(spark, folder), _turn_entities(spark, folder))
 
 
 @query(f"SELECT * FROM {MATCH}")
@@ -78,38 +96,66 @@ def graph_entity_match(spark, folder):
     return _matches(spark, folder)
 
 
-WEIGHTS = [("DESCRIBES_ERROR", 1.5), ("ABOUT", 1.5), ("MENTIONS_BANK", 1.5), ("MENTIONS_SERVICE", 1.5), ("SUGGESTS_ACTION", 1.2), ("USES_FEATURE", 1.3)]
-BONUSES = {"service": 2.0, "bank": 1.5, "error": 4.0, "action": 1.8}
-_w = "CASE " + " ".join(f"WHEN bool_or(rel_type = '{r}') THEN {w}" for r, w in WEIGHTS) + " ELSE 1.0 END"
-_b = " + ".join(f"CASE WHEN bool_or(etype = '{e}') THEN {p} ELSE 0 END" for e, p in BONUSES.items())
+_w = "CASE " + " ".join(f"WHEN bool_or(rel_type = '{r}') THEN {w}" for r, w in G.RELATION_WEIGHTS) + " ELSE 1.0 END"
+_said = "(SELECT DISTINCT query_id, lower(etype) AS etype, value FROM (SELECT conv_id * 1000 + turn_no AS query_id, m.key AS etype, unnest(m.value) AS value FROM (SELECT conv_id, turn_no, unnest(map_entries(entities)) AS m FROM chat_turn WHERE entities IS NOT NULL AND conv_id % 20 = 0)) WHERE trim(value) <> '')"
+_types = sorted({t for t in G.BONUSES})
+_asked_lists = ", ".join(f"coalesce(list(DISTINCT value) FILTER (etype = '{t}'), []) AS q_{t}" for t in _types)
+_held_lists = ", ".join(f"coalesce(list(DISTINCT entity_name) FILTER (rel_type = '{G.RELATIONS[t]}'), []) AS d_{t}" for t in _types)
+
+
+def _within_sql(t: str, markers: list[str] = ()) -> str:
+    either = " OR ".join(["contains(lower(x), lower(y))", "contains(lower(y), lower(x))", *[f"contains(lower(x), '{m}') AND contains(lower(y), '{m}')" for m in markers]])
+    return f"len(list_filter(q_{t}, lambda x: len(list_filter(d_{t}, lambda y: {either})) > 0)) > 0"
+
 
+_BONUS_SQL = f"""CASE WHEN list_has_any(q_service, d_service) THEN 2.0 WHEN len(q_service) > 0 AND len(d_service) > 0 THEN -1.0 ELSE 0.3 END AS bonus_service,
+  CASE WHEN list_has_any(q_bank, d_bank) THEN 1.5 WHEN len(q_bank) > 0 AND len(d_bank) > 0 THEN -0.8 ELSE 0.2 END AS bonus_bank,
+  CASE WHEN len(d_error) > 0 AND len(q_error) = 0 THEN -2.0 WHEN list_has_any(q_error, d_error) THEN 4.0 WHEN {_within_sql('error', G.ALIKE_ERRORS)} THEN 3.0 ELSE 0.0 END AS bonus_error,
+  CASE WHEN list_has_any(q_action, d_action) THEN 1.8 ELSE 0.0 END AS bonus_action, CASE WHEN len(q_fee) > 0 AND len(d_fee) > 0 THEN 2.0 ELSE 0.0 END AS bonus_fee,
+  CASE WHEN list_has_any(q_status, d_status) THEN 1.5 ELSE 0.0 END AS bonus_status, CASE WHEN len(q_limit) > 0 AND len(d_limit) > 0 THEN 1.5 ELSE 0.0 END AS bonus_limit,
+  CASE WHEN {_within_sql('feature')} THEN 2.5 WHEN len(q_feature) > 0 AND len(d_feature) > 0 THEN -0.5 ELSE 0.0 END AS bonus_feature, CASE WHEN {_within_sql('topic')} THEN 2.0 ELSE 0.0 END AS bonus_topic"""
+_sum = " + ".join(f"bonus_{t}" for t in G.BONUSES)
+_shown_bonuses = ", ".join(f"bonus_{t}::DOUBLE AS bonus_{t}" for t in G.BONUSES)
 
-@query(f"""WITH s AS (SELECT query_id, doc_id, CAST(count(DISTINCT name) * {_w} + 0.5 * count(DISTINCT CASE WHEN exact THEN name END) + {_b} AS DOUBLE) AS score FROM {MATCH} GROUP BY ALL)
-  SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score, rank FROM ({sql_ranked('s', 10)})""")
+
+@query(f"""WITH said AS {_said}, m AS (SELECT DISTINCT query_id, n.src AS doc_id, rel_type, label, lower(trim(entity_name)) AS name, entity_name AS raw FROM faq_edge n JOIN {_E} e ON lower(trim(n.entity_name)) = e.value
+    OR length(e.value) >= 3 AND contains(' ' || lower(trim(n.entity_name)) || ' ', ' ' || e.value || ' ') OR length(trim(n.entity_name)) >= 3 AND contains(' ' || e.value || ' ', ' ' || lower(trim(n.entity_name)) || ' ') WHERE trim(n.entity_name) <> ''),
+  a AS (SELECT query_id, doc_id, CAST(count(DISTINCT (label, name)) AS INT) AS entities, {_w} AS weight, list(DISTINCT raw) AS raws FROM m GROUP BY ALL), q AS (SELECT query_id, list(DISTINCT value) AS said, {_asked_lists} FROM said GROUP BY query_id),
+  d AS (SELECT src AS doc_id, {_held_lists} FROM faq_edge WHERE trim(entity_name) <> '' GROUP BY src),
+  b AS (SELECT a.query_id, a.doc_id, entities, CAST(len(list_intersect(raws, said)) AS INT) AS exact, weight::DOUBLE AS weight, {_BONUS_SQL} FROM a JOIN q USING (query_id) JOIN d USING (doc_id)),
+  s AS (SELECT *, entities * weight + 0.5 * exact + {_sum} AS score FROM b)
+  SELECT query_id, doc_id, entities, exact, weight, {_shown_bonuses}, round(score, 6) AS raw, round(CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END, 6) AS score, rank FROM ({sql_ranked('s', 10)})""")
 def graph_entity_score(spark, folder):
-    """Documents by matched entities, relation weight and bonuses."""
-    return G.entity_scores(_matches(spark, folder), WEIGHTS, BONUSES, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    """The ten best documents of each turn of every 20th conversation, by matched entities, relation weight, names as written, and the bonus of each entity type."""
+    hits = G.entity_scores(_edges(spark, folder), _turn_entities(spark, folder), 10)
+    return hits.withColumns({c: F.round(c, 6) for c in ("raw", "score")})
 
 
-@query("""WITH n AS (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE trim(entity_name) <> ''), r AS (SELECT name FROM n GROUP BY name HAVING count(*) <= 20), m AS (SELECT src, name FROM n JOIN r USING (name)),
+@query("""WITH m AS (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE trim(entity_name) <> ''),
   s AS (SELECT a.src AS query_id, b.src AS doc_id, count(*)::DOUBLE AS score FROM m a JOIN m b USING (name) WHERE a.src <> b.src AND a.src % 20 = 0 GROUP BY ALL)
   SELECT query_id, doc_id, CAST(score AS BIGINT) AS shared FROM (""" + sql_ranked("s", 3) + ")")
 def graph_similar(spark, folder):
-    """The three documents that share most rare entities with every 20th."""
+    """The three documents that share most entities with every 20th, frequent entities included."""
     edges = _edges(spark, folder)
     seeds = edges.where("src % 20 = 0").select(F.col("src").alias("doc_id")).distinct()
-    near = G.shared_neighbours(edges, seeds, 20).select(F.col("seed").alias("query_id"), F.col("src").alias("doc_id"), F.col("shared").cast("double").alias("score"), "shared")
-    return ranked(near, k=3).select("query_id", "doc_id", "shared")
+    return G.most_shared(edges, seeds, 3).select(F.col("seed").alias("query_id"), F.col("src").alias("doc_id"), "shared")
 
 
-@query("""WITH m AS (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE trim(entity_name) <> ''),
-  s AS (SELECT a.src AS query_id, b.src AS doc_id, count(*)::DOUBLE AS score FROM m a JOIN m b USING (name) WHERE a.src <> b.src AND a.src % 20 = 0 GROUP BY ALL)
-  SELECT query_id, doc_id, CAST(score AS BIGINT) AS shared FROM (""" + sql_ranked("s", 3) + ")")
-def graph_similar_all(spark, folder):
-    """The three documents that share most entities with every 20th, frequent entities included."""
+@query("""WITH m AS (SELECT src, list_sort(list(DISTINCT lower(trim(entity_name)))) AS names FROM faq_edge WHERE trim(entity_name) <> '' GROUP BY src),
+  s AS (SELECT a.src AS query_id, b.src AS doc_id, len(list_intersect(a.names, b.names)) / len(list_distinct(a.names || b.names)) AS score FROM m a JOIN m b ON list_has_any(a.names, b.names) WHERE a.src <> b.src AND a.src % 20 = 0)
+  SELECT query_id, doc_id, round(score, 6) AS similarity, rank FROM (""" + sql_ranked("(SELECT * FROM s WHERE score > 0.8)", 10) + ")")
+def graph_similar_above(spark, folder):
+    """Of every 20th document the ten most similar above 0.8, by shared entities over all."""
     edges = _edges(spark, folder)
     seeds = edges.where("src % 20 = 0").select(F.col("src").alias("doc_id")).distinct()
-    return G.most_shared(edges, seeds, 3).select(F.col("seed").alias("query_id"), F.col("src").alias("doc_id"), "shared")
+    return G.similar_above(edges, seeds, 0.8, 10).select(F.col("seed").alias("query_id"), F.col("src").alias("doc_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("""SELECT DISTINCT lower(trim(e.entity_name)) AS topic, f.faq_id, f.question FROM faq_edge e JOIN faq f ON f.faq_id = e.src WHERE e.rel_type = 'ABOUT' AND trim(e.entity_name) <> ''""")
+def graph_topic_documents(spark, folder):
+    """The documents about each topic."""
+    about = _edges(spark, folder).where("rel_type = 'ABOUT' AND trim(entity_name) <> ''").select(G.name_key(F.col("entity_name")).alias("topic"), F.col("src").alias("faq_id")).distinct()
+    return about.join(table(spark, folder, "faq").select("faq_id", "question"), "faq_id").distinct()
 
 
 @query("""SELECT a.name AS action, b.name AS bank, count(*) AS n FROM (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE rel_type = 'SUGGESTS_ACTION' AND entity_name IS NOT NULL) a
@@ -129,16 +175,21 @@ def graph_error_solutions(spark, folder):
     return both.groupBy("error").agg(F.array_join(F.array_sort(F.collect_set("action")), "; ").alias("actions"))
 
 
-@query("""SELECT faq_id, coalesce(services, '') AS services, coalesce(banks, '') AS banks, coalesce(n, 0) AS n FROM faq LEFT JOIN (SELECT src, array_to_string(list_sort(list(DISTINCT lower(trim(entity_name))) FILTER (rel_type = 'MENTIONS_SERVICE' AND entity_name IS NOT NULL)), '; ') AS services,
-  array_to_string(list_sort(list(DISTINCT lower(trim(entity_name))) FILTER (rel_type = 'MENTIONS_BANK' AND entity_name IS NOT NULL)), '; ') AS banks, count(DISTINCT (rel_type, lower(trim(entity_name)))) FILTER (entity_name IS NOT NULL) AS n FROM faq_edge GROUP BY src) e ON e.src = faq.faq_id""")
+_of = lambda r: f"coalesce(array_to_string(list_sort(list(DISTINCT lower(trim(entity_name))) FILTER (rel_type = '{r}' AND trim(entity_name) <> '')), '; '), '')"
+
+
+@query(f"""WITH e AS (SELECT src, {', '.join(f"{_of(r)} AS \"{t}\"" for t, r in G.RELATIONS.items())}, count(DISTINCT (rel_type, lower(trim(entity_name)))) FILTER (trim(entity_name) <> '') AS n FROM faq_edge GROUP BY src),
+  x AS (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE rel_type = 'DESCRIBES_ERROR' AND trim(entity_name) <> ''), y AS (SELECT DISTINCT src, lower(trim(entity_name)) AS name FROM faq_edge WHERE rel_type = 'SUGGESTS_ACTION' AND trim(entity_name) <> ''),
+  o AS (SELECT x.name AS error, list_distinct(list(y.name)) AS actions FROM x JOIN y USING (src) GROUP BY x.name), alt AS (SELECT src, array_to_string(list_sort(list_distinct(flatten(list(actions)))), '; ') AS alternatives FROM x JOIN o ON o.error = x.name GROUP BY src)
+  SELECT faq_id, {', '.join(f"coalesce(\"{t}\", '') AS \"{t}\"" for t in G.RELATIONS)}, coalesce(n, 0) AS n, coalesce(alternatives, '') AS alternatives FROM faq LEFT JOIN e ON e.src = faq_id LEFT JOIN alt ON alt.src = faq_id""")
 def graph_context(spark, folder):
-    """Entities of each document collected by relation in one pass, and joined once."""
-    name = G.name_key(F.col("entity_name"))
-    of = lambda r: F.array_join(F.array_sort(F.collect_set(F.when(F.col("rel_type") == r, name))), "; ")
-    found = _edges(spark, folder).groupBy("src").agg(of("MENTIONS_SERVICE").alias("services"), of("MENTIONS_BANK").alias("banks"), F.count_distinct("rel_type", name).alias("n"))
+    """Entities of each document collected by each of the fifteen relations in one pass, and the actions that its errors are answered with elsewhere, joined once."""
+    edges = _edges(spark, folder)
+    found, alternatives = G.collected(edges), G.alternative_actions(edges)
     faq = table(spark, folder, "faq").select("faq_id")
-    joined = faq.join(found, faq["faq_id"] == found["src"], "left")
-    return joined.select("faq_id", F.coalesce("services", F.lit("")).alias("services"), F.coalesce("banks", F.lit("")).alias("banks"), F.coalesce("n", F.lit(0)).alias("n"))
+    rows = faq.join(found.withColumnRenamed("src", "faq_id"), "faq_id", "left").join(alternatives.withColumnRenamed("src", "faq_id"), "faq_id", "left")
+    joined = lambda c: F.coalesce(F.array_join(c, "; "), F.lit("")).alias(c)
+    return rows.select("faq_id", *[joined(t) for t in G.RELATIONS], F.coalesce("n", F.lit(0)).alias("n"), joined("alternatives"))
 
 
 LINES = """(SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS number, l_partkey FROM lineitem)"""
@@ -150,14 +201,14 @@ def _lines(spark, folder):
 
 
 @query(f"""WITH RECURSIVE l AS (SELECT l_orderkey * 100 + number AS a, l_orderkey * 100 + number + 1 AS b FROM {LINES} x WHERE EXISTS (SELECT 1 FROM {LINES} y WHERE y.l_orderkey = x.l_orderkey AND y.number = x.number + 1)),
-  w AS (SELECT o_orderkey * 100 + 1 AS start, o_orderkey * 100 + 1 AS node, 0 AS depth FROM orders UNION ALL SELECT start, b, depth + 1 FROM w JOIN l ON l.a = w.node WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM w GROUP BY ALL""")
+  w AS (SELECT o_orderkey * 100 + 1 AS start, o_orderkey * 100 + 1 AS node, 0 AS depth FROM orders UNION ALL SELECT start, b, depth + 1 FROM w JOIN l ON l.a = w.node) SELECT start, node, min(depth) AS depth FROM w GROUP BY ALL""")
 def graph_recursive_path(spark, folder):
-    """Steps reached within four, from each order's first."""
+    """All steps that are reached from each order's first, however many."""
     lines = _lines(spark, folder)
-    here = lines.select((F.col("parent_id") * 100 + F.col("number")).alias("a"))
-    edges = here.join(here.select((F.col("a") - 1).alias("a"), F.col("a").alias("b")), "a")
+    here = lines.select((F.col("parent_id") * 100 + F.col("number")).alias("b"), F.lag("number").over(Window.partitionBy("parent_id").orderBy("number")).alias("before"), "parent_id")
+    edges = here.where("before IS NOT NULL").select((F.col("parent_id") * 100 + F.col("before")).alias("a"), "b")
     starts = table(spark, folder, "orders").select((F.col("o_orderkey") * 100 + 1).alias("start"))
-    return G.paths(edges, starts, 4)
+    return G.paths(edges, starts)
 
 
 @query(f"SELECT l_orderkey AS parent_id, number, l_partkey AS text, total FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS total FROM {LINES}) WHERE number = 2")

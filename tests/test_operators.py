@@ -127,7 +127,7 @@ def test_entity_matches(spark):
 def test_paths_have_least_depths_and_end_in_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 1)], "a long, b long")
     starts = spark.createDataFrame([(1,)], "start long")
-    assert rows(graph.paths(edges, starts, 6), "node", "depth") == [(1, 0), (2, 1), (3, 1)]
+    assert rows(graph.paths(edges, starts), "node", "depth") == [(1, 0), (2, 1), (3, 1)]
 
 
 def test_most_shared_counts_frequent_entities(spark):
@@ -193,3 +193,68 @@ def test_restored_words_keep_one_closing_mark(spark):
     df = spark.createDataFrame([("Phi bao nhieu?",), ("Phí bao nhieu?",), (None,), ("",)], "t string")
     out = df.select(text.restored(F.col("t"), {"phi": "phí", "nhieu": "nhiêu"}, "[àáíêđ]").alias("x"))
     assert [r["x"] for r in out.collect()] == ["phí bao nhiêu?", "Phí bao nhieu?", None, ""]
+
+
+def _plain_entity_scores(edges, entities, k):
+    """The scores read off their definition, query by query and document by document."""
+    key = lambda x: x.strip().lower()
+    docs, asked = {}, {}
+    for src, rel, label, name in edges:
+        if name and name.strip():
+            docs.setdefault(src, set()).add((rel, label, name))
+    for q, etype, value in entities:
+        if value and value.strip():
+            asked.setdefault(q, set()).add((etype.lower(), value))
+    inside = lambda a, b: len(a) >= 3 and f" {a} " in f" {b} "
+    out = set()
+    for q, said in asked.items():
+        values, scores = {key(v) for _, v in said}, []
+        for d, held in docs.items():
+            met = [(r, la, n) for r, la, n in held if any(key(n) == v or inside(v, key(n)) or inside(key(n), v) for v in values)]
+            if not met:
+                continue
+            own = lambda t: {v for e, v in said if e == t}  # noqa: E731, B023
+            has = lambda t: {n for r, _, n in held if r == graph.RELATIONS[t]}  # noqa: E731, B023
+            near = lambda t, marks=(): any(a.lower() in b.lower() or b.lower() in a.lower() or any(m in a.lower() and m in b.lower() for m in marks) for a in own(t) for b in has(t))  # noqa: E731, B023
+            rels = {r for r, _, _ in met}
+            score = len({(la, key(n)) for _, la, n in met}) * next((w for r, w in graph.RELATION_WEIGHTS if r in rels), 1.0) + 0.5 * len({n for _, _, n in met} & {v for _, v in said})
+            score += 2.0 if own("service") & has("service") else -1.0 if own("service") and has("service") else 0.3
+            score += 1.5 if own("bank") & has("bank") else -0.8 if own("bank") and has("bank") else 0.2
+            score += -2.0 if has("error") and not own("error") else 4.0 if own("error") & has("error") else 3.0 if near("error", graph.ALIKE_ERRORS) else 0.0
+            score += 1.8 * bool(own("action") & has("action")) + 2.0 * bool(own("fee") and has("fee")) + 1.5 * bool(own("status") & has("status")) + 1.5 * bool(own("limit") and has("limit"))
+            score += 2.5 if near("feature") else -0.5 if own("feature") and has("feature") else 0.0
+            score += 2.0 * near("topic")
+            scores.append((-round(score, 9), d))
+        out |= {(q, d, -s) for s, d in sorted(scores)[:k]}
+    return out
+
+
+def test_entity_scores_of_all_types_equal_their_definition(spark):
+    import random
+
+    rng = random.Random(8)
+    names = ["ví Sao", "Ví Sao", "sao", "thẻ Mây ", "thẻ", "giao dịch thất bại", "nạp tiền thất bại", "chưa nhận mã", "nạp tiền", "phí nạp tiền", "hạn mức", " ", None, "liên kết ngân hàng", "ngân hàng"]
+    edges = [(d, r, t.title(), rng.choice(names)) for d in range(60) for t, r in rng.sample(sorted(graph.RELATIONS.items()), 4)]
+    edges += [(100 + d, r, la, n) for d in range(40) for s, r, la, n in edges if s == 3]
+    entities = [(q, rng.choice([t, t.title()]), rng.choice(names)) for q in range(25) for t in rng.sample(sorted(graph.RELATIONS), rng.randrange(1, 5))] + [(99, "bank", n) for q, t, n in [(0, "", None)]]
+    entities += [(200 + q, e, v) for q in range(5) for n, e, v in entities if n == 2]
+    got = graph.entity_scores(spark.createDataFrame(edges, "src long, rel_type string, label string, entity_name string").repartition(3), spark.createDataFrame(entities, "query_id long, etype string, value string"), 7)
+    assert {(r["query_id"], r["doc_id"], round(r["raw"], 9)) for r in got.collect()} == _plain_entity_scores(edges, entities, 7)
+
+
+def test_long_chains_and_branches_are_followed_to_their_end(spark):
+    edges = [(i, i + 1) for i in range(37)] + [(5, 100), (100, 101), (200, 200)]
+    got = graph.paths(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(0,), (35,), (200,), (999,)], "start long")).collect()
+    want = {(0, i, i) for i in range(38)} | {(0, 100, 6), (0, 101, 7), (35, 35, 0), (35, 36, 1), (35, 37, 2), (200, 200, 0), (999, 999, 0)}
+    assert {tuple(r) for r in got} == want
+
+
+def test_all_loads_of_a_node_are_folded(spark):
+    loads = spark.createDataFrame([("a", 1, "x", None), ("a", 2, None, "p"), ("a", 3, "y", None), ("b", 1, None, None)], "node string, nth int, q string, i string")
+    assert rows(graph.folded_nodes(loads, "node", "nth"), "node", "q", "i") == [("a", "y", "p"), ("b", None, None)]
+
+
+def test_edges_are_resolved_by_property(spark):
+    nodes = spark.createDataFrame([(1, "A", "x"), (2, "A", "y"), (3, "B", "x"), (4, "B", "x")], "id long, label string, name string")
+    edges = spark.createDataFrame([("x", "x"), ("y", "z"), (None, "x")], "a string, b string")
+    assert rows(graph.resolved_edges(edges, nodes, {"a": ("A", "name"), "b": ("B", "name")}), "a_id", "b_id") == [(1, 3), (1, 4)]
