@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,16 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def composed(text: Column) -> Column:
+    """Unicode's composed form. Only texts with combining marks reach Python; others have no letter to compose."""
+
+    @F.pandas_udf("string")
+    def nfc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    return F.coalesce(nfc(F.when(text.rlike(r"\p{M}"), text)), text)
+
+
 def content_words(text: Column, stop: list[str], shortest: int = 1) -> Column:
     """Words without stop words and words shorter than ``shortest``."""
     stops = F.array(*[F.lit(w) for w in stop]) if stop else F.array().cast("array<string>")

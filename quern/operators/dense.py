@@ -1,28 +1,17 @@
-"""Nearest vectors, exactly, by block products.
-
-Queries and corpus are packed into blocks of rows and the blocks spread over a
-grid with about as many cells as there are shuffle partitions. A query block
-goes to all cells of its row, a corpus block to all of its column, so each two
-meet once, by equality of the cell, as one matrix product that keeps only the k
-best of each query. What is shuffled is the blocks, the root of the number of
-partitions times, and k rows a query and block; a task holds two blocks at a
-time. Null vectors and vectors of another
-length than the query's are left out; a zero vector has cosine 0.
+"""Nearest vectors, exactly, by products of blocks (``operators.blocks``).
+
+Null vectors and vectors of another length than the query's are left out; a zero
+vector has cosine 0.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.ranking import ranked
-
-BLOCK = 1024
+from quern.operators.blocks import products
 
 
 def unit(df: DataFrame, vector: str) -> DataFrame:
@@ -32,70 +21,33 @@ def unit(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("norm", norm).withColumn(vector, F.when(F.col("norm") > 0, F.transform(wide, lambda x: x / F.col("norm"))).otherwise(wide))
 
 
-def _blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
-    """Rows of about BLOCK vectors, packed within partitions: no shuffle and no global order."""
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list[int] = []
-        rows: list[np.ndarray] = []
+def _likeness(metric: str):
+    def score(q: dict, d: dict) -> np.ndarray:
+        out = np.full((len(q["ids"]), len(d["ids"])), -np.inf)
+        for width in np.unique(q["sizes"]):
+            pick, held = q["sizes"] == width, d["sizes"] == width
+            if not held.any():
+                continue
+            x = q["vector"][np.repeat(pick, q["sizes"])].reshape(-1, width)
+            y = d["vector"][np.repeat(held, d["sizes"])].reshape(-1, width)
+            if metric == "cosine":
+                lengths = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
+                value = np.divide(x @ y.T, lengths, out=np.zeros_like(lengths), where=lengths > 0)
+            else:
+                value = 1 / (1 + np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+            out[np.ix_(pick, held)] = value
+        return out
 
-        def out() -> pd.DataFrame:
-            sizes = [len(r) for r in rows]
-            return pd.DataFrame({f"{name}_ids": [ids], f"{name}_sizes": [sizes], f"{name}_data": [np.concatenate(rows).tolist()]})
-
-        for frame in frames:
-            for i, v in zip(frame["key"], frame["vector"]):
-                ids.append(int(i))
-                rows.append(np.asarray(v, float))
-                if len(ids) == BLOCK:
-                    yield out()
-                    ids, rows = [], []
-        if ids:
-            yield out()
-
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vector").isNotNull() & (F.size("vector") > 0))
-    return rows.mapInPandas(pack, f"{name}_ids array<long>, {name}_sizes array<int>, {name}_data array<double>")
+    return score
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", query_key: str = "query_id") -> DataFrame:
     """hits(query_id, doc_id, method, score, rank): cosine, or 1 / (1 + squared distance) for ``l2``."""
     if metric not in ("cosine", "l2"):
         raise ValueError(metric)
-
-    def product(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                q_ids, d_ids = np.asarray(row.q_ids), np.asarray(row.d_ids)
-                q_sizes, d_sizes = np.asarray(row.q_sizes), np.asarray(row.d_sizes)
-                parts = []
-                for width in np.unique(q_sizes):
-                    pick, held = q_sizes == width, d_sizes == width
-                    if not held.any():
-                        continue
-                    q = np.asarray(row.q_data)[np.repeat(pick, q_sizes)].reshape(-1, width)
-                    d = np.asarray(row.d_data)[np.repeat(held, d_sizes)].reshape(-1, width)
-                    if metric == "cosine":
-                        lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)
-                        score = np.divide(q @ d.T, lengths, out=np.zeros_like(lengths), where=lengths > 0)
-                    else:
-                        squared = np.maximum((q * q).sum(1)[:, None] + (d * d).sum(1) - 2 * q @ d.T, 0)
-                        score = 1 / (1 + squared)
-                    ids = d_ids[held]
-                    order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                    n = order.shape[1]
-                    parts.append(pd.DataFrame({"query_id": np.repeat(q_ids[pick], n), "doc_id": ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()}))
-                if parts:
-                    yield pd.concat(parts)
-
-    q = _blocks(queries.select(F.col(query_key).alias("q_key"), vector), "q_key", vector, "q")
-    d = _blocks(corpus, key, vector, "d")
-    side = math.isqrt(max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1)) + 1
-    others = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
-    q = q.withColumn("row", F.pmod(F.xxhash64("q_ids"), F.lit(side)).cast("int")).withColumn("column", others)
-    d = d.withColumn("column", F.pmod(F.xxhash64("d_ids"), F.lit(side)).cast("int")).withColumn("row", others)
-    met = d.join(q, ["row", "column"]).select("q_ids", "q_sizes", "q_data", "d_ids", "d_sizes", "d_data")
-    found = met.mapInPandas(product, "query_id long, doc_id long, score double")
-    return ranked(found, k=k).withColumn("method", F.lit(metric)).select("query_id", "doc_id", "method", "score", "rank")
+    wide = lambda df, key: df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vector").isNotNull() & (F.size("vector") > 0))
+    hits = products(wide(queries, query_key), wide(corpus, key), k, _likeness(metric), positive=False)
+    return hits.withColumn("method", F.lit(metric)).select("query_id", "doc_id", "method", "score", "rank")
 
 
 def relevance_gate(hits: DataFrame, threshold: float) -> DataFrame:

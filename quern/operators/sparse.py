@@ -1,28 +1,32 @@
 """Lexical retrieval: BM25 and keyword counts.
 
-The index is three tables: postings(doc_id, term, tf), lengths(doc_id, dl) and
-terms(term, df, idf); a corpus of any size is built by two aggregations with
-partial sums. A query batch reaches only the postings of its terms. Frequent
-terms are the skew: postings and query terms meet by term, and the adaptive
-join splits a hot one. Null and empty texts have no postings and count with
-length 0; terms repeated in a query count each time.
+Texts are cut into words in composed form, without ``STOP_WORDS``. What is kept
+of a corpus is its words as 64-bit hashes, one list a document, written once,
+and the weight of each term. A batch of queries meets the corpus as products of
+blocks (``operators.blocks``), so no row is made for a query and a document that
+share a frequent word. Null and empty texts have no words and count with length
+0; terms repeated in a query count each time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import content_words
+from quern.functions.text import composed, content_words
+from quern.operators import blocks
 from quern.operators.ranking import max_normalised, ranked
 from quern.session import staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+# Words that BM25 leaves out.
+STOP_WORDS = "của và các có được cho từ với trong là đề một này đó những thì bị hay hoặc vì nếu mà khi".split()
 
 
-def postings(docs: DataFrame, key: str, text: str, stop: list[str] = (), shortest: int = 1) -> tuple[DataFrame, DataFrame]:
+def postings(docs: DataFrame, key: str, text: str, stop: list[str] = STOP_WORDS, shortest: int = 1) -> tuple[DataFrame, DataFrame]:
     """postings(doc_id, term, tf) and lengths(doc_id, dl), the index' two tables, written once for its several readers."""
-    cut = docs.select(F.col(key).alias("doc_id"), content_words(F.col(text), list(stop), shortest).alias("words"))
+    cut = docs.select(F.col(key).alias("doc_id"), content_words(composed(F.col(text)), list(stop), shortest).alias("words"))
     lengths = staged(cut.select("doc_id", F.size("words").cast("long").alias("dl")), "lengths")
     return staged(cut.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings"), lengths
 
@@ -36,30 +40,60 @@ def term_weights(post: DataFrame, lengths: DataFrame) -> tuple[DataFrame, tuple[
     return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf")), (n, average, mean)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int, query_text: str = "query", stop: list[str] = (), shortest: int = 1) -> DataFrame:
-    """hits(query_id, doc_id, method, score, rank): the k best, and of these the positive ones."""
-    post, lengths = postings(docs, key, text, stop, shortest)
-    weights, (_, average, _) = term_weights(post, lengths)
-    asked = queries.select("query_id", F.explode(content_words(F.col(query_text), list(stop), shortest)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = post.join(asked.select("term").distinct(), "term", "left_semi").join(weights, "term").join(lengths, "doc_id")
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(average or 1.0)))
-    wanted = wanted.select("term", "doc_id", part.alias("part"))
-    scored = asked.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("part")).alias("score"))
-    return ranked(scored, k=k).where("score > 0").withColumn("method", F.lit("bm25")).select("query_id", "doc_id", "method", "score", "rank")
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def keyword_scores(queries: DataFrame, docs: DataFrame, key: str, title: str, body: str, k: int, query_text: str = "query", stop: list[str] = (), shortest: int = 2) -> DataFrame:
-    """Twice the query's distinct words in the title plus once those in the body, by the best of the query.
+class Index:
+    """A corpus to ask several batches of queries: its words, its size, and the terms' weights."""
 
-    Words meet by equality through the documents' word sets, so there's no
-    comparison of every query with every document.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(content_words(F.col(query_text), list(stop), shortest))).alias("term"))
-    in_title = docs.select(F.col(key).alias("doc_id"), F.explode(F.array_distinct(content_words(F.col(title), [], 1))).alias("term"), F.lit(2).alias("points"))
-    in_body = docs.select(F.col(key).alias("doc_id"), F.explode(F.array_distinct(content_words(F.col(body), [], 1))).alias("term"), F.lit(1).alias("points"))
-    scored = asked.join(in_title.unionByName(in_body), "term").groupBy("query_id", "doc_id").agg(F.sum("points").cast("double").alias("score"))
-    return max_normalised(ranked(scored, k=k)).withColumn("method", F.lit("keyword")).select("query_id", "doc_id", "method", "score", "rank")
+    def __init__(self, docs: DataFrame, key: str, text: str, stop: list[str] = STOP_WORDS, shortest: int = 1):
+        self.stop, self.shortest = list(stop), shortest
+        words = docs.select(F.col(key).cast("long").alias("key"), hashed(content_words(composed(F.col(text)), self.stop, shortest)).alias("terms"))
+        self.words = staged(words, "words")
+        counted = self.words.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        self.n, self.average = self.words.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("terms")), F.lit(0.0))).first()
+        raw = counted.withColumn("raw", F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        raw = staged(raw, "terms")
+        self.mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+        self.weights = raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * self.mean)).otherwise(F.col("raw")).alias("idf"))
+
+    def top(self, queries: DataFrame, k: int, query_text: str = "query") -> DataFrame:
+        """hits(query_id, doc_id, method, score, rank): the k best, and of these the positive ones."""
+        terms = hashed(content_words(composed(F.col(query_text)), self.stop, self.shortest))
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+        asked = asked.join(self.weights, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("w"))).alias("t"))
+        asked = asked.select("query_id", F.transform("t", lambda x: x["term"]).alias("terms"), F.transform("t", lambda x: x["w"]).alias("weights"))
+        average = self.average or 1.0
+
+        def score(q: dict, d: dict) -> np.ndarray:
+            row = np.repeat(np.arange(len(d["ids"])), d["sizes"])
+            order = np.lexsort((d["terms"], row))
+            row, term = row[order], d["terms"][order]
+            new = np.flatnonzero(np.r_[len(row) > 0, (np.diff(row) != 0) | (np.diff(term) != 0)]) if len(row) else np.zeros(0, np.int64)
+            tf = np.diff(np.r_[new, len(row)])
+            row, term = row[new], term[new]
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * d["sizes"][row] / average))
+            return blocks.sparse_product(q, {"ids": d["ids"], "sizes": np.bincount(row, minlength=len(d["ids"])), "terms": term, "weights": part})
+
+        hits = blocks.products(asked, self.words, k, score, positive=True)
+        return hits.withColumn("method", F.lit("bm25")).select("query_id", "doc_id", "method", "score", "rank")
+
+
+def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int, query_text: str = "query", stop: list[str] = STOP_WORDS, shortest: int = 1) -> DataFrame:
+    """hits(query_id, doc_id, method, score, rank) of one batch; several share an ``Index``."""
+    return Index(docs, key, text, stop, shortest).top(queries, k, query_text)
+
+
+def keyword_scores(queries: DataFrame, docs: DataFrame, key: str, title: str, body: str, k: int, query_text: str = "query", stop: list[str] = (), shortest: int = 2) -> DataFrame:
+    """Twice the query's distinct words in the title plus once those in the body, by the best of the query."""
+    words = lambda c, s, n: hashed(F.array_distinct(content_words(F.col(c), list(s), n)))
+    ones = lambda c, n: F.transform(c, lambda _: F.lit(float(n)))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), words(query_text, stop, shortest).alias("terms")).distinct().withColumn("weights", ones("terms", 1))
+    held = docs.select(F.col(key).cast("long").alias("key"), words(title, (), 1).alias("t"), words(body, (), 1).alias("b"))
+    held = held.select("key", F.concat("t", "b").alias("terms"), F.concat(ones("t", 2), ones("b", 1)).alias("weights"))
+    hits = blocks.products(asked, held, k, blocks.sparse_product, positive=True)
+    return max_normalised(hits).withColumn("method", F.lit("keyword")).select("query_id", "doc_id", "method", "score", "rank")
 
 
 def memory_search(queries: DataFrame, items: DataFrame, k: int, query_text: str = "query", text: str = "text") -> DataFrame:

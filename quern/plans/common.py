@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.sparse import STOP_WORDS
+
 W = r"[\p{L}\p{N}_]+"
 
 
@@ -46,16 +48,16 @@ def sql_cosine(queries: str, k: int) -> str:
       FROM (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score FROM {queries} q, embeddings d WHERE d.embedding IS NOT NULL AND q.embedding IS NOT NULL)) WHERE rank <= {k}"""
 
 
-def sql_bm25(queries: str, docs: str, k: int, stop: list[str] | None = None) -> str:
-    """CTEs from ``b_tok`` to ``b_hits`` for queries(query_id, query) and docs(doc_id, text)."""
-    keep = f"list_filter(%s, lambda w: NOT list_contains({sql_list(stop)}, w))" if stop else "%s"
-    return f"""b_tok AS (SELECT doc_id, {keep % sql_words('text')} AS words FROM {docs}),
+def sql_bm25(queries: str, docs: str, k: int) -> str:
+    """CTEs from ``b_tok`` to ``b_hits`` for queries(query_id, query) and docs(doc_id, text): composed form, without stop words."""
+    keep = f"list_filter(%s, lambda w: NOT list_contains({sql_list(STOP_WORDS)}, w))"
+    return f"""b_tok AS (SELECT doc_id, {keep % sql_words("nfc_normalize(text)")} AS words FROM {docs}),
     b_len AS (SELECT doc_id, len(words) AS dl FROM b_tok),
     b_post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM b_tok) GROUP BY ALL),
     b_size AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM b_len),
     b_raw AS (SELECT term, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM b_post, b_size GROUP BY term, n),
     b_idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM b_raw) ELSE raw END AS idf FROM b_raw),
-    b_q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({keep % sql_words('query')}) AS term FROM {queries}) GROUP BY ALL),
+    b_q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({keep % sql_words("nfc_normalize(query)")}) AS term FROM {queries}) GROUP BY ALL),
     b_score AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
       FROM b_q JOIN b_post USING (term) JOIN b_idf USING (term) JOIN b_len USING (doc_id), b_size GROUP BY ALL),
     b_hits AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b_score) WHERE rank <= {k} AND score > 0)"""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions import fuzzy
 from quern.functions.text import first_topic, words
 from quern.operators import dense, ranking, sparse
-from quern.plans.common import FAQ_TEXT, asked, faq_text, sql_any, sql_bm25, sql_cosine, sql_ranked, sql_words, table
+from quern.operators.alike import alike
+from quern.plans.common import FAQ_TEXT, asked, faq_text, sql_any, sql_bm25, sql_cosine, sql_list, sql_ranked, sql_words, table
 from quern.session import staged
 
 QUERIES, ORACLES = {}, {}
@@ -125,7 +126,7 @@ def bm25_capped(spark, folder):
     return hits.select("query_id", "doc_id", F.round(F.least(F.col("score") / 10, F.lit(1.0)), 6).alias("score"))
 
 
-@query(f"""WITH old AS (SELECT * FROM {FAQ_TEXT} WHERE faq_id % 2 = 0), t AS (SELECT faq_id AS doc_id, unnest({sql_words('text')}) AS term FROM {FAQ_TEXT})
+@query(f"""WITH old AS (SELECT * FROM {FAQ_TEXT} WHERE faq_id % 2 = 0), t AS (SELECT faq_id AS doc_id, unnest(list_filter({sql_words('nfc_normalize(text)')}, lambda w: NOT list_contains({sql_list(sparse.STOP_WORDS)}, w))) AS term FROM {FAQ_TEXT})
   SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term""")
 def bm25_incremental(spark, folder):
     """Document frequencies of an old index with those of new rows added; equal to a rebuild."""
@@ -165,12 +166,10 @@ def keyword_fallback(spark, folder):
 
 
 def _fuzzy_pairs(asked, questions, least):
-    """(query_id, doc_id, score) of all pairs whose ratio is at least ``least``: only sound bounds, and each distinct question once a query."""
-    low = questions.where("question IS NOT NULL").select(F.col("faq_id").alias("doc_id"), F.lower("question").alias("low"))
-    q = asked.select(F.lower("query").alias("text")).distinct()
-    pairs = low.select("low").distinct().repartition(F.col("low")).crossJoin(F.broadcast(q)).where(fuzzy.lengths_allow(F.col("text"), F.col("low"), least))
-    near = pairs.withColumn("score", fuzzy.similarity(F.col("text"), F.col("low"), least)).where(F.col("score") >= least)
-    return asked.select("query_id", F.lower("query").alias("text")).join(near, "text").join(low, "low").select("query_id", "doc_id", "score").distinct()
+    """(query_id, doc_id, score) of all pairs whose ratio is at least ``least``; each distinct question is compared once a distinct query."""
+    low = questions.where("question IS NOT NULL").select(F.col("faq_id").alias("doc_id"), F.lower("question").alias("other"))
+    q = asked.select("query_id", F.lower("query").alias("text"))
+    return q.join(alike(q, low, least), "text").join(low, "other").select("query_id", "doc_id", "score").distinct()
 
 
 @query()

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.functions import fuzzy, text
-from quern.operators import dense, dialogue, graph, procedures, ranking, rules, sparse
+from quern.operators import alike, blocks, dense, dialogue, graph, procedures, ranking, rules, sparse
 from quern.plans import retrieval
 
 
@@ -62,7 +62,7 @@ def test_first_branch_and_append(spark):
 
 
 def test_nearest_matches_a_plain_loop_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(dense, "BLOCK", 3)
+    monkeypatch.setattr(blocks, "ROWS", 4)
     data = [(i, [math.sin(i * j + 1) for j in range(5)], "x") for i in range(20)] + [(20, None, "x"), (21, [0.0] * 5, "x"), (22, [1.0, 2.0], "x"), (3, [math.sin(3 * j + 1) for j in range(5)], "x")]
     df = spark.createDataFrame(data, "id long, v array<float>, score string").repartition(3)
     vectors = {i: v for i, v, _ in data if v}
@@ -103,6 +103,33 @@ def test_keyword_scores_weigh_the_title_twice(spark):
     assert rows(sparse.keyword_scores(q, docs, "id", "t", "b", 5), "doc_id", "score") == [(1, 1.0), (2, 0.5)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcde é🙂", max_size=12), min_size=1, max_size=5), st.lists(st.text("abcde é🙂", max_size=12), min_size=1, max_size=5), st.sampled_from([0.3, 0.6, 0.85, 1.0]))
+def test_count_bounds_never_drop_a_similar_pair(x, y, least):
+    kept = set(zip(*(c.tolist() for c in alike.possible(x, y, least))))
+    assert {(i, j) for i, a in enumerate(x) for j, b in enumerate(y) if SequenceMatcher(None, a, b).ratio() >= least} <= kept
+
+
+def test_block_products_equal_plain_sums(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(blocks, "ROWS", 4)
+    monkeypatch.setattr(blocks, "COLUMNS", 3)
+    rng = random.Random(1)
+    side = lambda n: [(i, [rng.randrange(12) for _ in range(rng.randrange(0, 9))]) for i in range(n)]
+    q, d = [(i, sorted(set(t))) for i, t in side(11)], side(30)
+    weigh = lambda rows_: [(i, t, [round(rng.random(), 3) for _ in t]) for i, t in rows_]
+    q, d = weigh(q), weigh(d)
+    want = set()
+    for i, t, w in q:
+        scores = [(-round(sum(a * b for x, a in zip(t, w) for y, b in zip(u, v) if x == y), 9), j) for j, u, v in d]
+        want |= {(i, j, -s) for s, j in sorted(scores)[:5] if s < 0}
+    df = lambda rows_: spark.createDataFrame(rows_, "key long, terms array<long>, weights array<double>").repartition(3)
+    got = blocks.products(df(q), df(d), 5, blocks.sparse_product, positive=True).collect()
+    assert {(r["query_id"], r["doc_id"], round(r["score"], 9)) for r in got} == want
+    assert blocks.products(df(q), df(d).limit(0), 5, blocks.sparse_product, positive=True).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abcd ", max_size=12), st.text("abcd ", max_size=12), st.sampled_from([0.3, 0.6, 0.85]))
 def test_the_fuzzy_bounds_never_drop_a_similar_pair(a, b, least):
