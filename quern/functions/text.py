@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -55,6 +55,21 @@ def hits(text: Column, terms: list[str]) -> Column:
     return out
 
 
+def terms_in(text: Column, terms: list[str], any_: bool) -> Column:
+    """Whether one of the terms is in the lower-case text, or how many are; a term that begins with ~ is a regular expression."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = [low.rlike(t[1:]) if t.startswith("~") else low.contains(t) for t in terms]
+    if any_:
+        out = F.lit(False)
+        for f in found:
+            out = out | f
+        return out
+    out = F.lit(0)
+    for f in found:
+        out = out + f.cast("int")
+    return out
+
+
 def whole_word(text: Column, terms: list[str]) -> Column:
     """Whether one of the terms stands in the text between characters that aren't letters or digits."""
     return F.lower(F.coalesce(text, F.lit(""))).rlike(r"(^|[^\p{L}\p{N}_])(" + "|".join(terms) + r")($|[^\p{L}\p{N}_])")
@@ -75,6 +90,21 @@ def object_span(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+# The letters of Vietnamese with accents, and without.
+ACCENTED = "àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ"
+BARE = "aaaaaaaaaaaaaaaaadeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyy"
+
+
+def restoration(df: DataFrame, text: str) -> DataFrame:
+    """(bare, word): for each word without accents the most frequent word of the corpus that it may stand for, of equals the greater."""
+    words = df.select(F.explode(words_of(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy(F.translate("word", ACCENTED, BARE).alias("bare")).agg(F.max_by("word", F.struct("n", "word")).alias("word"))
+
+
+def words_of(column: str) -> Column:
+    return words(F.col(column))
+
+
 def restored(text: Column, table: dict[str, str], marked: str) -> Column:
     """Words typed without accents put back by a table, only where the text has no marked letter.
 

@@ -1,7 +1,9 @@
 """Rule packs: data that is compiled into column expressions, and into SQL for comparison.
 
 A pack is read in one projection whatever its size; texts are never joined with
-rules. Null texts match nothing.
+rules. A term is looked for as it is in the lower-case text; one that begins with
+``~`` is a regular expression, of the part that Java's and RE2's have in common.
+Null texts match nothing.
 """
 
 from __future__ import annotations
@@ -11,15 +13,24 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import has_any, hits
+from quern.functions.text import terms_in
 
 
 def _quoted(term: str) -> str:
     return "'" + term.replace("'", "''") + "'"
 
 
+def has_any(text: Column, terms: list[str]) -> Column:
+    return terms_in(text, terms, any_=True)
+
+
+def hits(text: Column, terms: list[str]) -> Column:
+    return terms_in(text, terms, any_=False)
+
+
 def _sql_hits(terms: list[str]) -> str:
-    return "(" + " + ".join(f"CAST(contains(lower(coalesce(text, '')), {_quoted(t)}) AS INT)" for t in terms) + ")"
+    low = "lower(coalesce(text, ''))"
+    return "(" + " + ".join(f"CAST(regexp_matches({low}, {_quoted(t[1:])}) AS INT)" if t.startswith("~") else f"CAST(contains({low}, {_quoted(t)}) AS INT)" for t in terms) + ")"
 
 
 @dataclass(frozen=True)
@@ -52,19 +63,25 @@ class IntentPack:
         for i in self.intents:
             raw = (hits(text, i.patterns) + 0.5 * hits(text, i.keywords)) * i.weight
             scores.append(F.when(raw > 0, raw + (11 - i.priority) * 0.1).otherwise(0.0))
-        best = F.greatest(*scores)
-        intent = F.when(best <= 0, F.lit(self.fallback))
-        confidence = F.when(best <= 0, F.lit(self.fallback_confidence))
-        for i, s in zip(self.intents, scores):
-            most = (len(i.patterns) + 0.5 * len(i.keywords)) * i.weight + (11 - i.priority) * 0.1
-            share = F.least(best / most, F.lit(1.0))
-            name = i.name
-            named = F.lit(name)
-            if self.override and self.override[0] == name:
-                named = F.when(has_any(text, self.override[2]), self.override[1]).otherwise(name)
-            intent = intent.when(s == best, named)
-            confidence = confidence.when(s == best, F.greatest(share, F.lit(self.floors.get(name, 0.0))))
-        return {"intent": intent, "confidence": confidence}
+        named = [F.lit(i.name) for i in self.intents]
+        if self.override:
+            at = [i.name for i in self.intents].index(self.override[0])
+            named[at] = F.when(has_any(text, self.override[2]), self.override[1]).otherwise(self.override[0])
+        most = [(len(i.patterns) + 0.5 * len(i.keywords)) * i.weight + (11 - i.priority) * 0.1 for i in self.intents]
+        floor = [self.floors.get(i.name, 0.0) for i in self.intents]
+
+        def chosen(s: Column) -> Column:
+            """The first of the greatest; scores are a lambda's variable, so each is computed once."""
+            best = F.array_max(s)
+            at = F.array_position(s, best).cast("int")
+            of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), at)
+            share = F.greatest(F.least(best / of(most), F.lit(1.0)), of(floor))
+            return F.struct(
+                F.when(best <= 0, F.lit(self.fallback)).otherwise(F.element_at(F.array(*named), at)).alias("intent"), F.when(best <= 0, F.lit(self.fallback_confidence)).otherwise(share).alias("confidence")
+            )
+
+        one = F.transform(F.array(F.array(*scores)), chosen)[0]
+        return {"intent": one["intent"], "confidence": one["confidence"]}
 
     def sql(self, source: str) -> str:
         """The same over a subquery with (id, text)."""
@@ -105,6 +122,23 @@ class EntityPack:
         return " UNION ALL ".join(parts)
 
 
+def corrected(found: Column, rules: list[tuple[str, str, str, str, str | None]]) -> Column:
+    """Entities (etype, value) of a text with some put right: (type, value, other type, other value, new value) puts the new value where the text has the other, and leaves the entity out for None."""
+
+    def has(etype: str, value: str) -> Column:
+        return F.exists(found, lambda y: (y["etype"] == etype) & (y["value"] == value))
+
+    def put(x: Column) -> Column:
+        value = x["value"]
+        case = None
+        for t, v, u, w, new in rules:
+            there = (x["etype"] == t) & (value == v) & has(u, w)
+            case = F.when(there, F.lit(new)) if case is None else case.when(there, F.lit(new))
+        return F.struct(x["etype"].alias("etype"), (value if case is None else case.otherwise(value)).alias("value"))
+
+    return F.filter(F.transform(found, put), lambda x: x["value"].isNotNull())
+
+
 def merged_entities(first: DataFrame, second: DataFrame) -> DataFrame:
     """Entities (query_id, etype, value) of both; of ``second`` those that no value of the type in ``first`` contains."""
     held = first.select("query_id", "etype", F.col("value").alias("longer")).distinct()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.operators import rules
 from quern.plans.common import sql_any, sql_hits, sql_list, sql_words, table
-from quern.plans.retrieval import STOP
+from quern.operators.sparse import STOP_WORDS
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,16 +35,28 @@ def tokenize_counts(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
 
 
-@query(f"SELECT faq_id, array_to_string(list_filter({sql_words('question')}, lambda w: NOT list_contains({sql_list(STOP)}, w) AND length(w) >= 3), ' ') AS kept FROM faq")
+# The words that each of four uses leaves out.
+STOPS = {
+    "bm25": STOP_WORDS,
+    "relevance": "tôi bạn là có thể được để và hoặc hay này đó như thế nào gì sao làm muốn cần của cho với từ đến trong bao nhiêu ở đâu mà khi nếu thì vì do bởi nhưng còn vẫn".split(),
+    "keyword": "tôi bạn là có thể được để và hoặc hay này đó như thế nào gì sao làm muốn cần của cho với từ đến trong ngoài trên dưới khi nếu thì mà vì do bởi nhưng còn vẫn đang sẽ đã rồi chưa không phải những".split(),
+    "guard": "tôi bạn là có thể được để và hoặc hay này đó như thế nào gì sao làm muốn cần của cho với từ đến trong bao nhiêu ở đâu".split(),
+}
+SHORTEST = {"bm25": 1, "relevance": 2, "keyword": 2, "guard": 3}
+_kept = ", ".join(f"array_to_string(list_filter({sql_words('question')}, lambda w: NOT list_contains({sql_list(STOPS[n])}, w) AND length(w) >= {SHORTEST[n]}), ' ') AS {n}" for n in STOPS)
+
+
+@query(f"SELECT faq_id, {_kept} FROM faq")
 def stopword_filter(spark, folder):
-    """Words that are neither stop words nor shorter than three characters."""
-    return table(spark, folder, "faq").select("faq_id", F.array_join(X.content_words(F.col("question"), STOP, 3), " ").alias("kept"))
+    """What each use keeps of a question: without its stop words, and words of its least length."""
+    kept = [F.array_join(X.content_words(F.col("question"), STOPS[n], SHORTEST[n]), " ").alias(n) for n in STOPS]
+    return table(spark, folder, "faq").select("faq_id", *kept)
 
 
-@query(f"SELECT faq_id, array_to_string(list_sort(list_distinct({sql_words('question')})), ' ') AS distinct_words FROM faq")
+@query(f"SELECT faq_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS distinct_words FROM (SELECT faq_id, {sql_words('question')} AS l FROM faq)")
 def ordered_dedup(spark, folder):
-    """Distinct words, in order for the comparison."""
-    return table(spark, folder, "faq").select("faq_id", F.array_join(F.array_sort(F.array_distinct(X.words(F.col("question")))), " ").alias("distinct_words"))
+    """Distinct words in the order of their first occurrence."""
+    return table(spark, folder, "faq").select("faq_id", F.array_join(F.array_distinct(X.words(F.col("question"))), " ").alias("distinct_words"))
 
 
 RESTORE = {"ngan": "ngân", "hang": "hàng", "khong": "không", "duoc": "được", "tien": "tiền", "the": "thẻ", "phi": "phí", "chuyen": "chuyển", "tai": "tài", "khoan": "khoản", "bao": "bao", "nhieu": "nhiêu", "toi": "tôi", "may": "máy", "loi": "lỗi"}
@@ -60,6 +72,21 @@ def restore_diacritics(spark, folder):
     return table(spark, folder, "intent_query").select("query_id", X.restored(F.col("query"), RESTORE, MARKED).alias("restored"))
 
 
+_learned = f"""(SELECT bare, arg_max(word, (n, word)) AS word FROM (SELECT word, translate(word, '{X.ACCENTED}', '{X.BARE}') AS bare, count(*) AS n FROM (SELECT unnest({sql_words('question')}) AS word FROM faq WHERE regexp_matches(lower(question), '{MARKED}')) GROUP BY word) GROUP BY bare)"""
+
+
+@query(f"""WITH t AS {_learned}, w AS (SELECT conv_id, turn_no, ingested_at, user_query, n, w FROM (SELECT conv_id, turn_no, ingested_at, user_query, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS w FROM (SELECT *, {sql_words('user_query')} AS l FROM chat_turn WHERE user_query IS NOT NULL AND NOT regexp_matches(lower(user_query), '{MARKED}'))))
+  SELECT DISTINCT conv_id, turn_no, restored FROM (SELECT conv_id, turn_no, ingested_at, string_agg(coalesce(t.word, w), ' ' ORDER BY n) AS restored FROM w LEFT JOIN t ON t.bare = w.w GROUP BY ALL)""")
+def restore_from_corpus(spark, folder):
+    """Accents put back by a table of the corpus' own words: for each word without accents the most frequent one that it may stand for; texts with accents are left out."""
+    faq = table(spark, folder, "faq").where(F.lower("question").rlike(MARKED))
+    learned = X.restoration(faq, "question")
+    turns = table(spark, folder, "chat_turn").where(F.col("user_query").isNotNull() & ~F.lower("user_query").rlike(MARKED)).select("conv_id", "turn_no", "user_query").distinct()
+    words = turns.select("conv_id", "turn_no", "user_query", F.posexplode(X.words(F.col("user_query"))).alias("n", "bare")).join(learned, "bare", "left")
+    rows = words.groupBy("conv_id", "turn_no", "user_query").agg(F.array_sort(F.collect_list(F.struct("n", F.coalesce("word", "bare").alias("w")))).alias("l"))
+    return rows.select("conv_id", "turn_no", F.array_join(F.transform("l", lambda x: x["w"]), " ").alias("restored")).distinct()
+
+
 @query("SELECT DISTINCT memory_id, sha256(coalesce(content, '')) AS content_id, left(content, 100) AS short, length(content) AS n FROM memory")
 def content_hash(spark, folder):
     """A stable id of the content and its first hundred characters."""
@@ -145,17 +172,18 @@ def score_arithmetic(spark, folder):
 
 INTENTS = rules.IntentPack(
     [
-        rules.Intent("FEE", 1, 1.2, ["phí", "bao nhiêu tiền"], ["mức phí", "mất phí", "fee", "cost", "charge"]),
-        rules.Intent("LIMIT", 2, 1.2, ["hạn mức", "tối đa"], ["quá", "mỗi ngày", "limit", "at most"]),
-        rules.Intent("TIME", 3, 1.1, ["mất bao lâu", "bao giờ", "how long"], ["thời gian", "khi nào", "when", "ngày nữa"]),
-        rules.Intent("TROUBLESHOOT", 4, 1.0, ["phải làm sao", "what now", "bị lỗi", "không được"], ["lỗi", "error", "tự thoát", "fails", "bị từ chối", "declined"]),
-        rules.Intent("STATUS_CHECK", 5, 1.0, ["trạng thái", "status"], ["ở đâu", "tra cứu", "đã nhận", "has arrived"]),
-        rules.Intent("REQUIREMENT", 6, 1.0, ["cần gì", "giấy tờ gì", "which papers", "cần căn cước", "cần hộ chiếu"], ["điều kiện", "yêu cầu", "papers", "giấy", "đơn đề nghị"]),
-        rules.Intent("WHY", 7, 1.0, ["vì sao", "tại sao", "why"], ["lý do", "nguyên nhân", "reason"]),
-        rules.Intent("HOW_TO", 8, 0.9, ["làm thế nào", "how can i", "how do i"], ["cách", "hướng dẫn", "các bước", "steps"]),
-        rules.Intent("INFO_REQUEST", 9, 0.5, ["là gì", "nghĩa là gì", "what does"], ["thông tin", "information", "có cần"]),
+        rules.Intent("FEE", 1, 1.2, ["phí", "bao nhiêu tiền", "~(mất|tốn|chịu|thu) phí", "~(fee|charge|cost)s? (is|for|of|to)", "~phí .{0,80}(là )?bao nhiêu", "~what is the fee"], ["mức phí", "biểu phí", "miễn phí", "fee", "cost", "charge"]),
+        rules.Intent("LIMIT", 2, 1.2, ["hạn mức", "tối đa", "~(quá|trên|dưới) [0-9.,]+ ?(đồng|vnd)", "~(at most|more than|up to) [0-9.,]+", "~hạn mức .{0,80}bao nhiêu"], ["quá", "mỗi ngày", "mỗi lần", "tối thiểu", "giới hạn", "limit", "at most"]),
+        rules.Intent("TIME", 3, 1.1, ["mất bao lâu", "bao giờ", "how long", "~(bao lâu|khi nào) (thì|mới|nữa)?", "~[0-9]+ ngày nữa"], ["thời gian", "khi nào", "when", "ngày nữa", "trong vòng"]),
+        rules.Intent("TROUBLESHOOT", 4, 1.0, ["phải làm sao", "what now", "bị lỗi", "không được", "~nhưng .{0,80}(lỗi|không|chưa|treo)", "~but .{0,80}(error|fails|pending|taken)", "~(err|lx|s|e)-?[0-9]{3,5}"], ["lỗi", "error", "tự thoát", "fails", "bị từ chối", "declined", "treo"]),
+        rules.Intent("STATUS_CHECK", 5, 1.0, ["trạng thái", "status", "~(xem|tra cứu|kiểm tra) .{0,40}(lệnh|giao dịch)", "~where (do|can) i see"], ["ở đâu", "tra cứu", "đã nhận", "has arrived"]),
+        rules.Intent("REQUIREMENT", 6, 1.0, ["cần gì", "giấy tờ gì", "which papers", "cần căn cước", "cần hộ chiếu", "~cần .{0,40} gì để", "~(do|does) .{0,40} need"], ["điều kiện", "yêu cầu", "papers", "giấy", "đơn đề nghị"]),
+        rules.Intent("WHY", 7, 1.0, ["vì sao", "tại sao", "why", "~^(vì|tại) sao", "~why (does|do|is|was)"], ["lý do", "nguyên nhân", "reason"]),
+        rules.Intent("HOW_TO", 8, 0.9, ["làm thế nào", "how can i", "how do i", "~làm (thế nào|sao|cách nào) để", "~có thể .{0,80} không"], ["cách", "hướng dẫn", "các bước", "steps"]),
+        rules.Intent("COMPARISON", 9, 0.8, ["so sánh", "khác nhau", "~khác (gì|thế nào) (với|so)", "~(compare|difference between)"], ["hơn", "so với", "versus", "better"]),
+        rules.Intent("INFO_REQUEST", 10, 0.5, ["là gì", "nghĩa là gì", "what does", "~what (is|are|does)"], ["thông tin", "information", "có cần"]),
     ],
-    fallback="INFO_REQUEST", fallback_confidence=0.3, override=("TROUBLESHOOT", "TIME", ["bao lâu", "how long"]), floors={"FEE": 0.6, "LIMIT": 0.6, "TIME": 0.6},
+    fallback="INFO_REQUEST", fallback_confidence=0.3, override=("TROUBLESHOOT", "TIME", ["bao lâu", "how long", "~khi nào .{0,40}nhận"]), floors={"FEE": 0.6, "LIMIT": 0.6, "TIME": 0.6},
 )
 CLASSIFIED = INTENTS.sql("SELECT query_id AS id, query AS text FROM intent_query")
 
@@ -192,11 +220,23 @@ def intent_kinds(spark, folder):
 
 
 ENTITIES = rules.EntityPack({
-    "Service": [("ví", ["ví ", "wallet"]), ("thẻ", ["thẻ ", "card"]), ("gói", ["gói ", "plan"]), ("quỹ", ["quỹ ", "fund"]), ("sổ", ["sổ ", "savings"]), ("ứng dụng", ["ứng dụng", "app"])],
-    "Action": [("chuyển tiền", ["chuyển tiền", "send money"]), ("nạp tiền", ["nạp tiền", "top up"]), ("rút tiền", ["rút tiền", "withdraw"]), ("in sao kê", ["sao kê", "statement"]), ("đổi mật khẩu", ["mật khẩu", "password"])],
-    "Error": [("số dư không đủ", ["số dư không đủ", "balance was too low"]), ("tự thoát", ["tự thoát", "closes by itself"]), ("bị từ chối", ["bị từ chối", "declined"]), ("mã lỗi", ["err-", "mã lỗi", "error"])],
-    "Document": [("hộ chiếu", ["hộ chiếu", "passport"]), ("căn cước", ["căn cước", "citizen card"]), ("hợp đồng", ["hợp đồng", "contract"]), ("biên lai", ["biên lai", "receipt"])],
-    "Fee": [("phí", ["phí ", "fee"])], "Limit": [("hạn mức", ["hạn mức", "limit", "tối đa"])], "TimeFrame": [("thời gian", ["bao lâu", "how long", "ngày nữa", "thời gian"])],
+    "Error": [("số dư không đủ", ["số dư không đủ", "balance was too low"]), ("tự thoát", ["tự thoát", "closes by itself"]), ("bị từ chối", ["bị từ chối", "declined"]), ("mã lỗi", ["err-", "mã lỗi", "error", "~(^|[^a-z0-9])(err|lx|s|e)-?[0-9]{3,5}($|[^0-9])"]), ("treo", ["đang xử lý", "hangs in pending"]),
+              ("không nhận được", ["~(không|chưa) (nhận|thấy) (được )?(mã|tiền|biên lai)", "has not arrived"]), ("hiển thị sai", ["hiển thị sai", "wrong balance"]), ("đã bị trừ", ["đã bị trừ", "money was taken"])],
+    "Topic": [("liên ngân hàng", ["~chuyển .{0,60}ngân hàng", "~send .{0,60} bank"]), ("thanh toán", ["thanh toán", "pay a bill", "payment"]), ("vay", ["khoản vay", "loan"]), ("tiết kiệm", ["tiết kiệm", "savings"]), ("điểm thưởng", ["điểm thưởng", "points"]), ("định danh", ["định danh", "xác thực", "verify my papers"])],
+    "Action": [("chuyển tiền", ["chuyển tiền", "send money"]), ("nạp tiền", ["nạp tiền", "top up"]), ("rút tiền", ["rút tiền", "withdraw"]), ("in sao kê", ["in sao kê", "print a statement"]), ("đổi mật khẩu", ["đổi mật khẩu", "~(reset|change) (the |my )?password"]), ("khoá thẻ", ["~kho[áa] thẻ|khóa thẻ", "freeze the card"]),
+               ("liên kết thẻ", ["liên kết thẻ", "link a card"]), ("huỷ lệnh", ["~hu[ỷy] lệnh|hủy lệnh", "cancel"]), ("tra soát", ["tra soát", "trace"]), ("đăng ký vân tay", ["đăng ký vân tay", "enrol a fingerprint"])],
+    "Status": [("thành công", ["thành công", "completed"]), ("đang xử lý", ["đang xử lý", "pending"]), ("thất bại", ["thất bại", "failed", "fails"]), ("bị trả lại", ["bị trả lại", "was returned"]), ("hết hạn", ["hết hạn", "expired"])],
+    "Fee": [("phí", ["~(^|[^a-zà-ỹđ])phí($|[^a-zà-ỹđ])", "~(^|[^a-z])fees?($|[^a-z])"]), ("miễn phí", ["miễn phí", "free of charge"])],
+    "Limit": [("hạn mức", ["hạn mức", "limit", "tối đa", "at most"]), ("số tiền", ["~quá [0-9.,]+ ?(đồng|vnd)", "~more than [0-9.,]+ credits"])],
+    "Requirement": [("điều kiện", ["điều kiện", "~cần .{0,40} gì", "which papers"]), ("độ tuổi", ["dưới 18 tuổi", "~under [0-9]+"]), ("chưa nộp", ["~(khi|nếu) chưa nộp", "without handing in"])],
+    "Feature": [("quét mã", ["quét mã", "scan a qr"]), ("hoàn tiền", ["hoàn tiền", "cashback"]), ("trả góp", ["trả góp", "installments"]), ("chia tiền", ["chia tiền", "split a bill"]), ("quà tặng", ["quà tặng", "gift"])],
+    "UIElement": [("lịch sử giao dịch", ["lịch sử giao dịch", "history"]), ("cài đặt", ["cài đặt", "settings"]), ("thông báo", ["thông báo", "notifications"]), ("thẻ của tôi", ["thẻ của tôi", "my cards"])],
+    "TimeFrame": [("thời gian", ["bao lâu", "how long", "thời gian"]), ("ngày", ["~[0-9]{1,3} ngày nữa", "~in [0-9]{1,3} days"]), ("giờ", ["~lúc [0-9]{1,2}:[0-9]{2}", "~at [0-9]{1,2}:[0-9]{2}"])],
+    "Document": [("hộ chiếu", ["hộ chiếu", "passport"]), ("căn cước", ["căn cước", "citizen card"]), ("hợp đồng", ["hợp đồng", "contract"]), ("biên lai", ["biên lai", "receipt"]), ("hoá đơn mua hàng", ["hoá đơn mua hàng", "invoice"]), ("uỷ quyền", ["~(giấy|đơn) (u[ỷy]|ủy) quyền", "authorisation"]), ("sao kê", ["~sao kê (ba|sáu|[0-9]+) tháng", "bank statement"])],
+    "AccountType": [("doanh nghiệp", ["doanh nghiệp", "business customers"]), ("sinh viên", ["sinh viên", "students"]), ("hội viên", ["~hội viên hạng [a-zà-ỹđ]+", "members"]), ("chủ cửa hàng", ["chủ cửa hàng", "shop owners"]), ("phổ thông", ["phổ thông", "basic customers"])],
+    "ContactChannel": [("tổng đài", ["tổng đài", "hotline"]), ("chi nhánh", ["chi nhánh", "branch"]), ("giao dịch viên", ["giao dịch viên", "quầy giao dịch", "counter"]), ("trợ lý", ["trợ lý ảo", "in-app chat"]), ("bộ phận", ["~bộ phận (tra soát|chăm sóc)", "support team"])],
+    "Service": [("ví", ["~(^|[^a-zà-ỹđ])ví ", "wallet"]), ("thẻ", ["~(^|[^a-zà-ỹđ])thẻ ", "card"]), ("gói", ["gói ", "plan"]), ("quỹ", ["quỹ ", "fund"]), ("sổ", ["sổ ", "savings"]), ("ứng dụng", ["ứng dụng", "~(^|[^a-z])app($|[^a-z])"]), ("tài khoản", ["tài khoản", "account"]), ("bảo hiểm", ["bảo hiểm", "insurance"])],
+    "Bank": [("ngân hàng", ["~ngân hàng [a-zà-ỹđ]+ [a-zà-ỹđ]+", "~[a-z]+ bank"])],
 })
 FOUND = ENTITIES.sql("SELECT query_id AS id, query AS text FROM intent_query")
 
@@ -242,17 +282,28 @@ def entity_validate(spark, folder):
     return rows.select("conv_id", "turn_no", "etype", "value", (literal | ((X.overlap(F.col("query"), F.col("value")) > 0) & ~F.col("etype").isin("bank", "error"))).alias("valid")).distinct()
 
 
-@query(f"""WITH f AS ({FOUND}), g AS (SELECT id, count(*) AS n, max(CAST(etype = 'Error' AS INT)) AS e, max(CAST(etype = 'Action' AS INT)) AS a, max(CAST(etype = 'Service' AS INT)) AS s FROM f GROUP BY id)
-  SELECT query_id, round(coalesce(0.4 * e + 0.3 * a + 0.2 * s + CASE WHEN n >= 3 THEN 0.1 ELSE 0 END, 0), 6)::DOUBLE AS confidence, CASE WHEN n IS NULL THEN 'no_entities' WHEN 0.4 * e + 0.3 * a + 0.2 * s < 0.2999 THEN 'low_confidence' WHEN n > 5 THEN 'ambiguous' ELSE 'rules' END AS route
-  FROM intent_query LEFT JOIN g ON g.id = query_id""")
+CORRECTIONS = [("Error", "bị từ chối", "Status", "thất bại", "thất bại"), ("Status", "thành công", "Error", "treo", "đang xử lý"), ("Topic", "vay", "Action", "rút tiền", None)]
+_corrected = "CASE " + " ".join(f"WHEN etype = '{t}' AND value = '{v}' AND EXISTS (SELECT 1 FROM f g WHERE g.id = f.id AND g.etype = '{u}' AND g.value = '{w}') THEN " + (f"'{n}'" if n else "NULL") for t, v, u, w, n in CORRECTIONS) + " ELSE value END"
+
+
+@query(f"WITH f AS ({FOUND}) SELECT DISTINCT * FROM (SELECT id AS query_id, etype, {_corrected} AS value FROM f) WHERE value IS NOT NULL")
+def entity_correct(spark, folder):
+    """Q8: entities corrected by the others of their question: one value put for another, or left out."""
+    rows = table(spark, folder, "intent_query").withColumn("found", ENTITIES.column(F.col("query")))
+    return rows.select("query_id", F.explode(rules.corrected(F.col("found"), CORRECTIONS)).alias("e")).select("query_id", "e.etype", "e.value").distinct()
+
+
+@query(f"""WITH f AS ({FOUND}), g AS (SELECT id, count(*) AS n, max(CAST(etype = 'Error' AS INT)) AS e, max(CAST(etype = 'Topic' AS INT)) AS t, max(CAST(etype = 'Service' AS INT)) AS s, count(DISTINCT etype) AS kinds FROM f GROUP BY id),
+  c AS (SELECT query_id, query, coalesce(n, 0) AS n, coalesce(kinds, 0) AS kinds, coalesce(0.4 * e + 0.3 * t + 0.2 * s, 0) + CASE WHEN coalesce(n, 0) >= 3 THEN 0.1 ELSE 0 END AS confidence FROM intent_query LEFT JOIN g ON g.id = query_id)
+  SELECT query_id, round(confidence, 6)::DOUBLE AS confidence, CASE WHEN n = 0 THEN 'no_entities' WHEN confidence < 0.2999 THEN 'low_confidence' WHEN len({sql_words('query')}) > 25 AND kinds < 3 THEN 'long_query' WHEN n > 8 THEN 'ambiguous' ELSE 'rules' END AS route FROM c""")
 def entity_confidence(spark, folder):
-    """Q9, Q10: how much the entities tell, and which way the question goes."""
+    """Q9, Q10: how much the entities tell (error, topic, service, three or more), and the first of four reasons not to rely on rules."""
     has = lambda e: F.exists(F.col("found"), lambda x: x["etype"] == e).cast("double")
     rows = table(spark, folder, "intent_query").withColumn("found", ENTITIES.column(F.col("query"))).withColumn("n", F.size("found"))
-    part = 0.4 * has("Error") + 0.3 * has("Action") + 0.2 * has("Service")
-    rows = rows.withColumn("part", part)
-    route = F.when(F.col("n") == 0, "no_entities").when(F.col("part") < 0.2999, "low_confidence").when(F.col("n") > 5, "ambiguous").otherwise("rules")
-    return rows.select("query_id", F.round(F.col("part") + F.when(F.col("n") >= 3, 0.1).otherwise(0.0), 6).alias("confidence"), route.alias("route"))
+    rows = rows.withColumn("confidence", 0.4 * has("Error") + 0.3 * has("Topic") + 0.2 * has("Service") + F.when(F.col("n") >= 3, 0.1).otherwise(0.0))
+    kinds = F.size(F.array_distinct(F.transform("found", lambda x: x["etype"])))
+    route = F.when(F.col("n") == 0, "no_entities").when(F.col("confidence") < 0.2999, "low_confidence").when((F.size(X.words(F.col("query"))) > 25) & (kinds < 3), "long_query").when(F.col("n") > 8, "ambiguous").otherwise("rules")
+    return rows.select("query_id", F.round("confidence", 6).alias("confidence"), route.alias("route"))
 
 
 @query(f"""WITH c AS ({CLASSIFIED}), f AS (SELECT id, max(CAST(etype = 'Fee' AS INT)) AS fee, max(CAST(etype = 'Limit' AS INT)) AS lim, max(CAST(etype = 'Error' AS INT)) AS err FROM ({FOUND}) GROUP BY id)
