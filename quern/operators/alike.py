@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +58,43 @@ def _blocks(df: DataFrame, name: str) -> DataFrame:
     return df.mapInArrow(pack, f"{name} array<string>")
 
 
+def _met(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Blocks of distinct texts (texts, others), each two once."""
+    q = _blocks(queries.select("text").where("text IS NOT NULL").distinct(), "texts")
+    d = _blocks(corpus.select("other").where("other IS NOT NULL").distinct(), "others")
+    side = math.isqrt(max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1)) + 1
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    q = q.withColumn("row", place("texts")).withColumn("column", every)
+    d = d.withColumn("column", place("others")).withColumn("row", every)
+    return d.join(q, ["row", "column"]).select("texts", "others")
+
+
+def containing(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(text, other) of distinct texts of ``queries`` (text) that are part of one of ``corpus`` (other); null and empty texts are part of none.
+
+    The texts of a block are found in one pass over each of the others.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                known = ahocorasick.Automaton()
+                for text in x:
+                    if text:
+                        known.add_word(text, text)
+                out: list[list[str]] = [[], []]
+                if len(known):
+                    known.make_automaton()
+                    for other in y:
+                        for text in {t for _, t in known.iter(other)}:
+                            out[0].append(text)
+                            out[1].append(other)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], names=["text", "other"])
+
+    return _met(queries, corpus).mapInArrow(search, "text string, other string")
+
+
 def alike(queries: DataFrame, corpus: DataFrame, least: float) -> DataFrame:
     """(text, other, score) of distinct texts of ``queries`` (text) and ``corpus`` (other), null left out, with a ratio of at least ``least``."""
     if not 0 < least <= 1:
@@ -73,11 +111,4 @@ def alike(queries: DataFrame, corpus: DataFrame, least: float) -> DataFrame:
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["text", "other", "score"])
 
-    q = _blocks(queries.select("text").where("text IS NOT NULL").distinct(), "texts")
-    d = _blocks(corpus.select("other").where("other IS NOT NULL").distinct(), "others")
-    side = math.isqrt(max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1)) + 1
-    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
-    q = q.withColumn("row", place("texts")).withColumn("column", every)
-    d = d.withColumn("column", place("others")).withColumn("row", every)
-    return d.join(q, ["row", "column"]).select("texts", "others").mapInArrow(compare, "text string, other string, score double")
+    return _met(queries, corpus).mapInArrow(compare, "text string, other string, score double")

@@ -69,13 +69,41 @@ def best_process(rows: DataFrame, required: dict[str, list[str]], optional: dict
 
 
 def best_case(hits: DataFrame, cases: DataFrame, text: str) -> DataFrame:
-    """The best case of each (query, doc): 20 a feature, 25 a status value, 3 a keyword in the query, a point for the first case; ties to the first.
+    """The best case of each (query, doc): 20 a feature, 25 a status value, 3 a keyword in the query; where that is nothing, 10 for its name and 10 for its method; a point for the first case; ties to the first.
 
-    ``hits`` (query_id, doc_id, text), ``cases`` (doc_id, case_id, features, statuses, keywords).
+    ``hits`` (query_id, doc_id, text), ``cases`` (doc_id, case_id, name, method, features, statuses, keywords).
     """
     low = F.lower(F.col(text))
     count = lambda c: F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.contains(low, F.lower(t))))
+    there = lambda c: F.coalesce(F.contains(low, F.lower(F.col(c))), F.lit(False)).cast("int")
     first = F.min("case_id").over(Window.partitionBy("query_id", "doc_id"))
-    scored = hits.join(cases, "doc_id").withColumn("score", 20 * count("features") + 25 * count("statuses") + 3 * count("keywords") + (F.col("case_id") == first).cast("int"))
+    found = 20 * count("features") + 25 * count("statuses") + 3 * count("keywords")
+    scored = hits.join(cases, "doc_id").withColumn("found", found)
+    fallback = F.when(F.col("found") == 0, 10 * there("name") + 10 * there("method")).otherwise(0)
+    scored = scored.withColumn("score", F.col("found") + fallback + (F.col("case_id") == first).cast("int"))
     w = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "case_id")
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("query_id", "doc_id", "case_id", "score")
+
+
+def cases_found(hits: DataFrame, cases: DataFrame, text: str, least: int = 5) -> DataFrame:
+    """(query_id, doc_id, case_id, score, confidence): the best case of a query's own document, 10 a status value in the query and 2 a word in common with its description; above ``least``, with a confidence of score / 20, 1 at most."""
+    low = F.lower(F.col(text))
+    words = lambda c: F.filter(F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+")), lambda w: w != "")
+    statuses = F.size(F.filter(F.coalesce("statuses", F.array().cast("array<string>")), lambda t: F.contains(low, F.lower(t))))
+    scored = hits.join(cases, "doc_id").withColumn("score", 10 * statuses + 2 * F.size(F.array_intersect(words(F.col(text)), words(F.col("description")))))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "case_id")
+    best = scored.where(F.col("score") > least).withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    return best.select("query_id", "doc_id", "case_id", "score", F.least(F.col("score") / 20, F.lit(1.0)).alias("confidence"))
+
+
+def weighed_section(sections: DataFrame, key: str, words: list[tuple[str, int]], least: int = 3) -> DataFrame:
+    """(key, section, score): the section whose text has most of the words, for texts of several sections; at least ``least`` points, ties to the first.
+
+    ``sections`` (key, section, title, body, and arrays of words), ``words``: which array, and what each of its words counts.
+    """
+    text = F.lower(F.concat_ws(" ", "title", "body"))
+    score = F.lit(0)
+    for column, points in words:
+        score = score + points * F.size(F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda w: F.contains(text, w)))
+    rows = sections.withColumn("score", score).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(key))).where(F.col("_all") > 1).where(F.col("score") >= least)
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "section"))).where("_n = 1").select(key, "section", F.col("score").cast("long").alias("score"))

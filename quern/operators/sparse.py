@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import composed, content_words
 from quern.operators import blocks
+from quern.operators.alike import containing
 from quern.operators.ranking import max_normalised, ranked
 from quern.session import staged
 
@@ -85,17 +86,46 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int, query
     return Index(docs, key, text, stop, shortest).top(queries, k, query_text)
 
 
-def keyword_scores(queries: DataFrame, docs: DataFrame, key: str, title: str, body: str, k: int, query_text: str = "query", stop: list[str] = (), shortest: int = 2) -> DataFrame:
-    """Twice the query's distinct words in the title plus once those in the body, by the best of the query."""
-    words = lambda c, s, n: hashed(F.array_distinct(content_words(F.col(c), list(s), n)))
-    ones = lambda c, n: F.transform(c, lambda _: F.lit(float(n)))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), words(query_text, stop, shortest).alias("terms")).distinct().withColumn("weights", ones("terms", 1))
-    held = docs.select(F.col(key).cast("long").alias("key"), words(title, (), 1).alias("t"), words(body, (), 1).alias("b"))
-    held = held.select("key", F.concat("t", "b").alias("terms"), F.concat(ones("t", 2), ones("b", 1)).alias("weights"))
-    hits = blocks.products(asked, held, k, blocks.sparse_product, positive=True)
+def keyword_scores(queries: DataFrame, docs: DataFrame, key: str, title: str, body: str, k: int, query_text: str = "query", stop: list[str] = (), shortest: int = 2, compounds: list[str] = ()) -> DataFrame:
+    """Twice the query's keywords that are in the title plus once those in the body, by the best of the query.
+
+    Keywords are the distinct words, and those of ``compounds`` (terms of
+    several words) that the query has; they count wherever the lower-case text
+    contains them, within a word too. Within a word is found by the vocabulary:
+    a keyword is in a text where it is in one of its words, so keywords are looked
+    for in the distinct words, and these meet documents by equality.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    held = lambda c: F.filter(F.array(*[F.when(low(c).contains(t), F.lit(t)) for t in compounds]), lambda x: x.isNotNull()) if compounds else F.array().cast("array<string>")
+    terms = F.array_union(F.array_distinct(content_words(F.col(query_text), list(stop), shortest)), held(query_text))
+    asked = staged(queries.select(F.col("query_id").cast("long").alias("query_id"), terms.alias("words")).distinct(), "keywords")
+    words = staged(docs.select(F.col(key).cast("long").alias("key"), *[F.array_distinct(content_words(F.col(c), [], 1)).alias(n) for c, n in ((title, "t"), (body, "b"))], held(title).alias("tc"), held(body).alias("bc")), "words")
+    wanted = asked.select(F.explode("words").alias("keyword")).distinct()
+    vocabulary = words.select(F.explode(F.array_union("t", "b")).alias("word")).distinct()
+    within = containing(wanted.withColumnRenamed("keyword", "text"), vocabulary.withColumnRenamed("word", "other")).toDF("keyword", "word")
+
+    def side(name: str, points: int) -> DataFrame:
+        single = words.select("key", F.explode(name).alias("word")).join(within, "word").select("key", "keyword")
+        several = words.select("key", F.explode(f"{name}c").alias("keyword"))
+        return single.unionByName(several).distinct().select("key", "keyword", F.lit(float(points)).alias("w"))
+
+    known = side("t", 2).unionByName(side("b", 1)).groupBy("key").agg(F.collect_list(F.struct(F.xxhash64("keyword").alias("term"), "w")).alias("l"))
+    lists = lambda c: (F.transform(c, lambda x: x["term"]).alias("terms"), F.transform(c, lambda x: x["w"]).alias("weights"))
+    hits = blocks.products(asked.select("query_id", hashed(F.col("words")).alias("terms"), F.transform("words", lambda _: F.lit(1.0)).alias("weights")), known.select("key", *lists("l")), k, blocks.sparse_product, positive=True)
     return max_normalised(hits).withColumn("method", F.lit("keyword")).select("query_id", "doc_id", "method", "score", "rank")
 
 
+def listed_scores(docs: DataFrame, key: str, title: str, body: str, lists: dict[str, list[str]], k: int, by: str = "intent") -> DataFrame:
+    """(``by``, doc_id, score, rank): for each list the k documents with most of its terms, twice in the title and once in the body, by the best of the list.
+
+    All lists are read in one pass over the documents.
+    """
+    count = lambda c, terms: sum((F.lower(F.coalesce(F.col(c), F.lit(""))).contains(t).cast("int") for t in terms), F.lit(0))
+    scored = [F.struct(F.lit(name).alias(by), (2 * count(title, terms) + count(body, terms)).cast("double").alias("score")) for name, terms in lists.items()]
+    rows = docs.select(F.col(key).alias("doc_id"), F.explode(F.array(*scored)).alias("s")).select(F.col(f"s.{by}").alias("query_id"), "doc_id", "s.score").where("score > 0")
+    return max_normalised(ranked(rows, k=k)).withColumnRenamed("query_id", by)
+
+
 def memory_search(queries: DataFrame, items: DataFrame, k: int, query_text: str = "query", text: str = "text") -> DataFrame:
     """Share of the query's distinct words in an item of the same user; the k best above 0.
 

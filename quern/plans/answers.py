@@ -10,7 +10,7 @@ from quern.operators import dialogue as D
 from quern.operators import procedures as P
 from quern.operators import ranking, rerank, sparse
 from quern.plans.common import FAQ_TEXT, asked, faq_text, sql_any, sql_bm25, sql_hits, sql_ranked, sql_words, table
-from quern.plans.language import CLASSIFIED, INTENTS
+from quern.plans.language import CLASSIFIED, ENTITIES, INTENTS, STOPS
 from quern.plans.retrieval import TOPICS, topic_sql
 from quern.session import scratch
 from quern.sources import documents as S
@@ -70,15 +70,43 @@ def header_detect(spark, folder):
     return S.header_rows(cells)
 
 
-VALUE = {"fee": r"(?:phí|fee)[^\d\n]{0,60}?(\d[\d.,]*\d) (?:đồng|vnd|credits)", "limit": r"(?:hạn mức|tối đa|limit)[^\d\n]{0,60}?(\d[\d.,]*\d) (?:đồng|vnd|credits)", "time": r"(\d{1,3}) (?:phút|giờ|ngày|minutes|hours|days)"}
-_value = ", ".join(f"nullif(regexp_extract(lower(coalesce(answer, '')), '{p}', 1), '') AS {k}" for k, p in VALUE.items())
+# In order: the first pattern that the answer has counts; its first group, or what it stands for.
+VALUE = {
+    "fee": [
+        (r"(?:miễn phí|không mất phí|không tính phí|không thu phí|free of charge|no fee)", "free"), (r"phí[: ]*(?:là )?(?:0 đồng|0 vnd)", "free"), (r"(?:phí|fee)[^\d\n]{0,60}?(\d[\d.,]*\d) (?:đồng|vnd|credits)", None),
+        (r"(?:mất phí|tốn|costs?|charged)[^\d\n]{0,20}?(\d[\d.,]*\d)", None), (r"(\d[\d.,]*\d) ?(?:đồng|vnd|credits) ?(?:/|mỗi|per|a) ?(?:giao dịch|lần|lệnh|transaction|time|order)", None), (r"(?:tham khảo|xem thêm|xem tại|see)[^\n]{0,80}?(https?://[^ \n]+)", None),
+    ],
+    "limit": [
+        (r"hạn mức[^\d\n]{0,60}?(\d[\d.,]*\d) (?:đồng|vnd|credits|triệu)", None), (r"tối đa[^\d\n]{0,60}?(\d[\d.,]*\d) (?:đồng|vnd|credits|triệu)", None), (r"tối thiểu[^\d\n]{0,60}?(\d[\d.,]*\d) (?:đồng|vnd|credits|triệu)", None),
+        (r"(\d[\d.,]*\d) ?(?:đồng|vnd|credits|triệu) ?(?:/|mỗi|per|a) ?(?:ngày|tháng|lần|day|month)", None), (r"(?:giới hạn|limit|at most|up to)[^\d\n]{0,60}?(\d[\d.,]*\d)", None),
+    ],
+    "time": [
+        (r"(?:ngay lập tức|tức thì|real-?time|at once|immediately)", "at once"), (r"(t\+\d{1,2})", None), (r"(?:trong vòng|within)[^\d\n]{0,20}?(\d{1,3} (?:phút|giờ|ngày|minutes|hours|days))", None), (r"(\d{1,3} (?:ngày làm việc|working days))", None),
+        (r"(?:thời gian|mất|takes?)[^\d\n]{0,40}?(\d{1,3} (?:phút|giờ|ngày|minutes|hours|days))", None), (r"(\d{1,3} (?:phút|giờ|ngày|minutes|hours|days))", None),
+    ],
+}
+
+
+def _value_sql(patterns: list[tuple[str, str | None]], rule: bool) -> str:
+    low = "lower(coalesce(answer, ''))"
+    return "CASE " + " ".join(f"WHEN regexp_matches({low}, '{p}') THEN " + (str(n) if rule else f"'{fixed}'" if fixed else f"regexp_extract({low}, '{p}', 1)") for n, (p, fixed) in enumerate(patterns, 1)) + " END"
+
+
+_value = ", ".join(f"{_value_sql(p, False)} AS {k}, {_value_sql(p, True)} AS {k}_rule" for k, p in VALUE.items())
 
 
 @query(f"SELECT faq_id, {_value} FROM faq")
 def value_extract(spark, folder):
-    """The first fee, limit and time of each answer."""
+    """Fee, limit and time of each answer by ordered patterns, with the number of the pattern."""
     low = F.lower(F.coalesce("answer", F.lit("")))
-    return table(spark, folder, "faq").select("faq_id", *[F.nullif(F.regexp_extract(low, p, 1), F.lit("")).alias(k) for k, p in VALUE.items()])
+    columns = []
+    for k, patterns in VALUE.items():
+        value = rule = F
+        for n, (p, fixed) in enumerate(patterns, 1):
+            value = value.when(low.rlike(p), F.lit(fixed) if fixed else F.regexp_extract(low, p, 1))
+            rule = rule.when(low.rlike(p), n)
+        columns += [value.alias(k), rule.alias(f"{k}_rule")]
+    return table(spark, folder, "faq").select("faq_id", *columns)
 
 
 SECTION = r"^(Cách \d+:|Bước \d+:|B\d+ -|Step \d+:|Option \d+:|Way \d+:)"
@@ -93,14 +121,35 @@ def section_split(spark, folder):
     return P.sections(table(spark, folder, "faq"), "faq_id", "answer", SECTION)
 
 
-@query(f"""WITH s AS (SELECT x.faq_id, x.section, title, len(list_intersect({sql_words("coalesce(title, '') || ' ' || coalesce(body, '')")}, {sql_words('question')})) AS score, count(*) OVER (PARTITION BY x.faq_id) AS n FROM {_sections} x JOIN faq ON faq.faq_id = x.faq_id)
-  SELECT faq_id, section, score FROM s WHERE n > 1 AND score >= 3 QUALIFY row_number() OVER (PARTITION BY faq_id ORDER BY score DESC, section) = 1""")
+_asked_words = "list_filter(string_split_regex(lower(coalesce(question, '')), '\\s+'), lambda w: length(w) > 2)"
+_found_faq = ENTITIES.sql("SELECT faq_id AS id, question AS text FROM faq")
+_of_types = lambda types: f"(SELECT id, flatten(list(string_split(value, ' '))) AS ws FROM ({_found_faq}) WHERE etype IN ({', '.join(repr(t) for t in types)}) GROUP BY id)"
+_in = lambda l, points: f"{points} * coalesce(len(list_filter({l}, lambda w: contains(text, w))), 0)"
+
+
+@query(f"""WITH s AS (SELECT x.faq_id, x.section, lower(concat_ws(' ', title, coalesce(body, ''))) AS text, count(*) OVER (PARTITION BY x.faq_id) AS n, {_asked_words} AS asked, list_filter(e.ws, lambda w: length(w) > 2) AS ws FROM {_sections} x JOIN faq ON faq.faq_id = x.faq_id LEFT JOIN {_of_types(['Action', 'Service', 'Topic', 'Feature'])} e ON e.id = x.faq_id),
+  p AS (SELECT faq_id, section, n, CAST({_in('ws', 3)} + {_in('asked', 1)} AS BIGINT) AS score FROM s) SELECT faq_id, section, score FROM p WHERE n > 1 AND score >= 3 QUALIFY row_number() OVER (PARTITION BY faq_id ORDER BY score DESC, section) = 1""")
 def section_relevant(spark, folder):
-    """The section that shares most words with the question, where it shares three."""
-    found = section_split(spark, folder).join(table(spark, folder, "faq").select("faq_id", "question"), "faq_id")
-    score = F.size(F.array_intersect(X.words(F.concat_ws(" ", "title", "body")), X.words(F.col("question")))).cast("long")
-    rows = found.withColumn("score", score).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("faq_id"))).where("n > 1 AND score >= 3")
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("faq_id").orderBy(F.desc("score"), "section"))).where("_n = 1").select("faq_id", "section", "score")
+    """The section with most of the question's words, those of its entities three times."""
+    return P.weighed_section(_with_words(spark, folder), "faq_id", [("filters", 3), ("asked", 1)])
+
+
+@query(f"""WITH s AS (SELECT x.faq_id, x.section, lower(concat_ws(' ', title, coalesce(body, ''))) AS text, count(*) OVER (PARTITION BY x.faq_id) AS n, {_asked_words} AS asked, f.ws AS fw, t.ws AS tw FROM {_sections} x JOIN faq ON faq.faq_id = x.faq_id LEFT JOIN {_of_types(['Feature', 'Action'])} f ON f.id = x.faq_id LEFT JOIN {_of_types(['Topic'])} t ON t.id = x.faq_id),
+  p AS (SELECT faq_id, section, n, CAST({_in('fw', 3)} + {_in('tw', 2)} + {_in('asked', 1)} AS BIGINT) AS score FROM s) SELECT faq_id, section, score FROM p WHERE n > 1 AND score >= 3 QUALIFY row_number() OVER (PARTITION BY faq_id ORDER BY score DESC, section) = 1""")
+def section_by_case(spark, folder):
+    """The section with most words: three points a word of a feature or action, two of a topic, one of the question."""
+    return P.weighed_section(_with_words(spark, folder), "faq_id", [("features", 3), ("topics", 2), ("asked", 1)])
+
+
+def _with_words(spark, folder):
+    """Sections with the words of their question and of its entities."""
+    faq = table(spark, folder, "faq").select("faq_id", "question", ENTITIES.column(F.col("question")).alias("found"))
+    of = lambda types: F.flatten(F.transform(F.filter("found", lambda x: x["etype"].isin(types)), lambda x: F.split(x["value"], " ")))
+    long = lambda c: F.filter(c, lambda w: F.length(w) > 2)
+    words = faq.select(
+        "faq_id", long(F.split(F.lower(F.coalesce("question", F.lit(""))), r"\s+")).alias("asked"), long(of(["Action", "Service", "Topic", "Feature"])).alias("filters"), of(["Feature", "Action"]).alias("features"), of(["Topic"]).alias("topics")
+    )
+    return section_split(spark, folder).join(words, "faq_id")
 
 
 @query(f"""SELECT faq_id, intent, CASE WHEN intent = 'FEE' AND fee IS NOT NULL THEN 'value' WHEN intent = 'LIMIT' AND "limit" IS NOT NULL THEN 'value' WHEN intent = 'TIME' AND "time" IS NOT NULL THEN 'value' WHEN EXISTS (SELECT 1 FROM {_sections} s WHERE s.faq_id = v.faq_id) THEN 'section' ELSE 'full' END AS layer
@@ -146,7 +195,9 @@ def source_list(spark, folder):
 PACK = rerank.Pack(
     critical=[("otp", ["otp"]), ("hoàn", ["hoàn"]), ("huỷ", ["huỷ", "hủy"]), ("vân tay", ["vân tay"]), ("sao kê", ["sao kê"]), ("fingerprint", ["fingerprint"]), ("cashback", ["cashback"])],
     topics=TOPICS, contradictions=[("nạp tiền", "rút tiền"), ("rút tiền", "nạp tiền"), ("mở sổ", "tất toán"), ("top up", "withdraw"), ("withdraw", "top up")], errors=["err-", "bị từ chối", "tự thoát", "declined", "closes by itself"],
-    intents={"FEE": ["phí", "fee"], "LIMIT": ["hạn mức", "limit"], "TIME": ["thời gian", "phút", "giờ", "minutes", "hours"]},
+    intents={"FEE": ["phí", "miễn phí", "biểu phí", "fee", "charge"], "LIMIT": ["hạn mức", "tối đa", "tối thiểu", "giới hạn", "limit"], "TIME": ["bao lâu", "thời gian", "trong vòng", "phút", "giờ", "minutes", "hours"]},
+    trouble=["kiểm tra", "trạng thái", "chưa nhận", "phải làm", "làm theo", "sao kê", "liên hệ", "hỗ trợ", "khắc phục"], problems=["chưa", "không", "lỗi", "thất bại", "bị từ chối", "fails", "error", "declined"],
+    procedure=r"(bước|step) [0-9]+[:.)]|(^|\n)\(?[0-9]+[.)] |(^|\n)b[0-9]+ -", signals=["làm thế nào", "cách", "hướng dẫn", "bước", "step", "how"],
 )
 _HITS = f"b_hits"
 _RANK = f"""WITH {sql_bm25("(SELECT query_id, query FROM intent_query)", "(SELECT faq_id AS doc_id, text FROM " + FAQ_TEXT + ")", 10)}, base AS (SELECT h.query_id, h.doc_id, h.score / max(h.score) OVER (PARTITION BY h.query_id) AS base, h.rank AS input, q.query, f.question, f.answer, c.intent FROM b_hits h
@@ -179,26 +230,80 @@ def extraction_gate(spark, folder):
     return _reranked(spark, folder).where("place = 1").select("query_id", "doc_id", gate.alias("gate"))
 
 
+_BANK = r"(?:[Nn]gân hàng) (\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*)|(\p{Lu}\p{L}+) Bank"
+#: Other names of a bank, as a document may have them.
+ALIASES = {"hải đăng xanh": ["hải đăng xanh", "hdx"], "saltgate": ["saltgate", "salt gate"]}
+
+
+def _guarded(spark, folder):
+    q = F.col("query")
+    bank = F.coalesce(F.nullif(F.regexp_extract(q, _BANK, 1), F.lit("")), F.nullif(F.regexp_extract(q, _BANK, 2), F.lit("")))
+    return rerank.guarded(_reranked(spark, folder).where("place <= 5"), bank, ALIASES, STOPS["guard"])
+
+
 @query()
 def similarity_boost(spark, folder):
-    """Boosts by likeness of the questions, and the guard against answers about something else."""
-    return rerank.boosted(_reranked(spark, folder).where("place <= 5")).select("query_id", "doc_id", F.round("ratio", 6).alias("ratio"), F.round("boosted", 6).alias("boosted"), "status")
+    """Boosts by likeness of the questions, and the guard against answers about something else or another bank."""
+    return _guarded(spark, folder).select("query_id", "doc_id", F.round("ratio", 6).alias("ratio"), F.round("coverage", 6).alias("coverage"), "bank", F.round("boosted", 6).alias("boosted"), "status")
+
 
+@query()
+def ranked_answer(spark, folder):
+    """The best document of each question after all boosts, its status, and whether its answer is cut down to a value."""
+    from quern.operators.ranking import every_query
 
-CASES_OF_A_DOC = [(1, ["chuyển tiền"], ["bị trả lại"], ["ngân hàng", "lệnh"]), (2, ["nạp tiền"], ["chưa cập nhật"], ["ví", "mã"]), (3, [], [], ["phí", "hạn mức"])]
-_case_values = "(VALUES (1, ['chuyển tiền'], ['bị trả lại'], ['ngân hàng', 'lệnh']), (2, ['nạp tiền'], ['chưa cập nhật'], ['ví', 'mã']), (3, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), ['phí', 'hạn mức'])) c(case_id, f, s, k)"
+    rows = _guarded(spark, folder)
+    w = Window.partitionBy("query_id").orderBy(F.round("boosted", 9).desc(), "place", "doc_id")
+    first = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").join(value_extract(spark, folder).withColumnRenamed("faq_id", "doc_id"), "doc_id")
+    i = F.col("intent")
+    value = F.when(i == "FEE", F.col("fee")).when(i == "LIMIT", F.col("limit")).when(i == "TIME", F.col("time"))
+    gate = rerank.extraction(i, F.col("answer"), F.col("ratio"), value, F.when(value.isNotNull(), 0.9).otherwise(0.0))
+    best = first.withColumns(gate).select(
+        "query_id", "doc_id", F.round("boosted", 6).alias("score"), F.col("status").alias("found"), "intent", "wanted", "used", F.when(F.col("used"), value).otherwise(F.col("answer")).alias("answer")
+    )
+    all_ = every_query(asked(spark, folder), best.select("query_id", "doc_id", "score"))
+    return all_.join(best.drop("doc_id", "score"), "query_id", "left").select("query_id", "doc_id", "score", F.coalesce("found", "status").alias("status"), "intent", F.coalesce("wanted", F.lit(False)).alias("wanted"), F.coalesce("used", F.lit(False)).alias("used"), "answer")
+
+
+CASES_OF_A_DOC = [  # case_id, name, method, features, statuses, keywords, description
+    (1, "lệnh bị trả lại", "ngân hàng", ["chuyển tiền"], ["bị trả lại"], ["lệnh"], "tiền chưa tới ngân hàng nhận và lệnh bị trả lại"),
+    (2, "mã chưa nhận", "otp", ["nạp tiền"], ["không nhận được mã"], ["ví", "mã"], "không nhận được mã otp khi nạp tiền vào ví"),
+    (3, "biểu phí", "tra cứu", [], [], ["phí", "hạn mức"], "phí và hạn mức của thẻ là bao nhiêu"),
+]
+_case_type = "case_id int, name string, method string, features array<string>, statuses array<string>, keywords array<string>, description string"
+_list = lambda terms: "CAST([" + ", ".join(f"'{t}'" for t in terms) + "] AS VARCHAR[])"
+_case_values = "(VALUES " + ", ".join(f"({n}, '{a}', '{m}', {_list(f)}, {_list(t)}, {_list(k)}, '{d}')" for n, a, m, f, t, k, d in CASES_OF_A_DOC) + ") c(case_id, name, method, f, s, k, description)"
+_n = lambda l: f"len(list_filter({l}, lambda x: contains(text, x)))"
+
+
+def _cases(faq):
+    """Three cases for each document, a fixture."""
+    texts = lambda terms: F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    names = [c.split()[0] for c in _case_type.split(", ")]
+    own = F.array(*[F.struct(*[(texts(v) if isinstance(v, list) else F.lit(v)).alias(c) for c, v in zip(names, row)]) for row in CASES_OF_A_DOC])
+    return faq.select(F.col("faq_id").alias("doc_id"), F.explode(own).alias("c")).select("doc_id", "c.*")
 
 
-@query(f"""WITH h AS (SELECT faq_id AS query_id, faq_id AS doc_id, coalesce(question, '') AS text FROM faq), s AS (SELECT query_id, h.doc_id, case_id, 20 * len(list_filter(f, lambda x: contains(lower(text), x))) + 25 * len(list_filter(s, lambda x: contains(lower(text), x)))
-  + 3 * len(list_filter(k, lambda x: contains(lower(text), x))) + CASE WHEN case_id = 1 THEN 1 ELSE 0 END AS score FROM h, {_case_values}) SELECT query_id, doc_id, case_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) = 1""")
+@query(f"""WITH h AS (SELECT faq_id AS query_id, faq_id AS doc_id, lower(coalesce(question, '')) AS text FROM faq), b AS (SELECT *, 20 * {_n('f')} + 25 * {_n('s')} + 3 * {_n('k')} AS found FROM h, {_case_values}),
+  s AS (SELECT query_id, doc_id, case_id, found + CASE WHEN found = 0 THEN 10 * CAST(contains(text, name) AS INT) + 10 * CAST(contains(text, method) AS INT) ELSE 0 END + CASE WHEN case_id = 1 THEN 1 ELSE 0 END AS score FROM b)
+  SELECT query_id, doc_id, case_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) = 1""")
 def case_select(spark, folder):
-    """The best case of each document (the fixture gives every document three)."""
-    texts = lambda terms: F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    own = F.array(*[F.struct(F.lit(n).alias("case_id"), texts(f).alias("features"), texts(s).alias("statuses"), texts(k).alias("keywords")) for n, f, s, k in CASES_OF_A_DOC])
+    """The best case of each document for its question (the fixture gives every document three)."""
     faq = table(spark, folder, "faq")
-    cases = faq.select(F.col("faq_id").alias("doc_id"), F.explode(own).alias("c")).select("doc_id", "c.*")
     hits = faq.select(F.col("faq_id").alias("query_id"), F.col("faq_id").alias("doc_id"), F.coalesce("question", F.lit("")).alias("text"))
-    return P.best_case(hits, cases, "text")
+    return P.best_case(hits, _cases(faq), "text")
+
+
+_set = lambda c: f"list_filter(list_distinct(string_split_regex({c}, '\\s+')), lambda w: w <> '')"
+
+
+@query(f"""WITH h AS (SELECT conv_id * 1000 + turn_no AS query_id, faq_id AS doc_id, lower(user_query) AS text FROM (SELECT DISTINCT conv_id, turn_no, faq_id, user_query FROM chat_turn WHERE faq_id IS NOT NULL AND user_query IS NOT NULL)),
+  s AS (SELECT query_id, doc_id, case_id, 10 * {_n('s')} + 2 * len(list_intersect({_set('text')}, {_set('description')})) AS score FROM h, {_case_values})
+  SELECT query_id, doc_id, case_id, score, least(score / 20, 1) AS confidence FROM s WHERE score > 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, case_id) = 1""")
+def case_search(spark, folder):
+    """P10: for a follow-up turn, the best case of the document it was answered by, where it scores above 5."""
+    turns = table(spark, folder, "chat_turn").where("faq_id IS NOT NULL AND user_query IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn_no")).alias("query_id"), F.col("faq_id").alias("doc_id"), F.col("user_query").alias("text")).distinct()
+    return P.cases_found(turns, _cases(table(spark, folder, "faq")), "text")
 
 
 @query("""WITH a AS (SELECT case_id AS query_id, f.faq_id AS doc_id, 0 AS branch FROM followup_case c JOIN faq f ON f.faq_id = c.case_id WHERE c.expected), b AS (SELECT case_id AS query_id, min(faq_id) AS doc_id, 1 AS branch FROM followup_case c JOIN faq f ON contains(lower(f.question), lower(c.memories[1].metadata['topic'])) GROUP BY case_id)

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from quern.functions import fuzzy
 from quern.functions.text import first_topic, words
 from quern.operators import dense, ranking, sparse
-from quern.operators.alike import alike
+from quern.operators.alike import alike, containing
 from quern.plans.common import FAQ_TEXT, asked, faq_text, sql_any, sql_bm25, sql_cosine, sql_list, sql_ranked, sql_words, table
 from quern.session import staged
 
 QUERIES, ORACLES = {}, {}
 K = 10
+# Words that keyword search leaves out, and those that the check of relevance does.
+STOPS_KEYWORD = "tôi bạn là có thể được để và hoặc hay này đó như thế nào gì sao làm muốn cần của cho với từ đến trong ngoài trên dưới khi nếu thì mà vì do bởi nhưng còn vẫn đang sẽ đã rồi chưa không phải những".split()
+STOPS_RELEVANCE = "tôi bạn là có thể được để và hoặc hay này đó như thế nào gì sao làm muốn cần của cho với từ đến trong bao nhiêu ở đâu mà khi nếu thì vì do bởi nhưng còn vẫn".split()
 STOP = ["là", "và", "của", "cho", "có", "không", "thì", "the", "a", "to", "of", "is", "on", "if"]
 TOPICS = [
     ("transfer", ["chuyển tiền", "chuyển khoản", "send money"]), ("top_up", ["nạp tiền", "top up"]), ("withdraw", ["rút tiền", "withdraw"]), ("card", ["khoá thẻ", "liên kết thẻ", "freeze the card", "link a card"]),
@@ -135,34 +138,55 @@ def bm25_incremental(spark, folder):
     return parts[0].unionByName(parts[1]).groupBy("term").agg(F.sum("df").alias("df"))
 
 
-KEYWORD = f"""kw_q AS (SELECT DISTINCT query_id, unnest(list_filter({sql_words('query')}, lambda w: NOT list_contains(['{"', '".join(STOP)}'], w) AND length(w) >= 2)) AS term FROM {ASKED}),
-  kw_d AS (SELECT DISTINCT faq_id AS doc_id, unnest({sql_words('question')}) AS term, 2 AS points FROM faq UNION ALL SELECT DISTINCT faq_id, unnest({sql_words('answer')}), 1 FROM faq),
-  kw_s AS (SELECT query_id, doc_id, sum(points)::DOUBLE AS score FROM kw_q JOIN kw_d USING (term) GROUP BY ALL),
+# Terms of several words that are searched for as a whole; terms that an intent is searched by.
+COMPOUNDS = ["chuyển tiền", "nạp tiền", "rút tiền", "liên kết thẻ", "ngân hàng", "biểu phí", "hạn mức", "thời gian", "tổng đài", "sao kê", "mã otp", "mật khẩu", "hoá đơn", "tài khoản", "điểm thưởng", "vân tay", "mã qr", "send money"]
+BY_INTENT = {
+    "FEE": ["phí", "miễn phí", "chi phí", "mất phí", "biểu phí", "chính sách phí"], "LIMIT": ["hạn mức", "tối đa", "tối thiểu", "giới hạn", "số tiền tối đa", "vượt quá"],
+    "TIME": ["bao lâu", "thời gian", "ngày làm việc", "hoàn tiền", "ngay lập tức", "khi nào"],
+}
+_compound = lambda c: "list_filter([" + ", ".join(f"CASE WHEN contains(lower(coalesce({c}, '')), '{t}') THEN '{t}' END" for t in COMPOUNDS) + "], lambda x: x IS NOT NULL)"
+KEYWORD = f"""kw_q AS (SELECT DISTINCT query_id, unnest(list_distinct(list_filter({sql_words('query')}, lambda w: NOT list_contains({sql_list(STOPS_KEYWORD)}, w) AND length(w) >= 2) || {_compound('query')})) AS term FROM {ASKED}),
+  kw_s AS (SELECT query_id, faq_id AS doc_id, sum(2 * CAST(contains(lower(coalesce(question, '')), term) AS INT) + CAST(contains(lower(coalesce(answer, '')), term) AS INT))::DOUBLE AS score FROM kw_q JOIN faq ON contains(lower(coalesce(question, '')), term) OR contains(lower(coalesce(answer, '')), term) GROUP BY ALL),
   kw_hits AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS score, rank FROM ({sql_ranked('kw_s', K)}))"""
 
 
 @query(f"WITH {KEYWORD} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM kw_hits")
 def keyword_topk(spark, folder):
-    """Keyword counts, question twice, by the best of the query."""
-    return _shown(sparse.keyword_scores(asked(spark, folder), faq_text(spark, folder), "faq_id", "question", "answer", K, stop=STOP))
+    """Keywords and compound terms contained in question (twice) and answer, by the best of the query."""
+    return _shown(_keyword_hits(spark, folder))
 
 
-@query(f"WITH {KEYWORD} SELECT query_id, doc_id, round(score * 0.8, 6) AS score FROM kw_hits WHERE query_id IN (SELECT query_id FROM intent_query WHERE expected_intent IN ('FEE', 'LIMIT', 'TIME'))")
+def _keyword_hits(spark, folder):
+    return sparse.keyword_scores(asked(spark, folder), faq_text(spark, folder), "faq_id", "question", "answer", K, stop=STOPS_KEYWORD, compounds=COMPOUNDS)
+
+
+@query()
+def keyword_or_exact(spark, folder):
+    """L4: questions nearly equal to the asked one (0.85) alone where there are any, else the keyword hits."""
+    exact = ranking.ranked(_fuzzy_pairs(asked(spark, folder), table(spark, folder, "faq"), 0.85).where("score > 0.85"), k=K).select("query_id", "doc_id", "score", F.lit("exact_match").alias("method"))
+    return ranking.first_branch([exact, _keyword_hits(spark, folder).select("query_id", "doc_id", "score", "method")]).select("query_id", "doc_id", "method", F.round("score", 6).alias("score"))
+
+
+_listed = " UNION ALL ".join(f"SELECT '{i}' AS query_id, faq_id AS doc_id, ({' + '.join(f'2 * CAST(contains(lower(coalesce(question, {chr(39)*2})), {chr(39)}{t}{chr(39)}) AS INT) + CAST(contains(lower(coalesce(answer, {chr(39)*2})), {chr(39)}{t}{chr(39)}) AS INT)' for t in terms)})::DOUBLE AS score FROM faq" for i, terms in BY_INTENT.items())
+
+
+@query(f"""WITH l AS ({_listed}), h AS (SELECT query_id AS intent, doc_id, score / max(score) OVER (PARTITION BY query_id) AS score FROM ({sql_ranked('(SELECT * FROM l WHERE score > 0)', K)}))
+  SELECT q.query_id, h.doc_id, round(0.8 * h.score, 6) AS score FROM h JOIN intent_query q ON q.expected_intent = h.intent""")
 def intent_keyword_topk(spark, folder):
-    """Keyword hits of questions on values, a fifth lower."""
-    wanted = table(spark, folder, "intent_query").where(F.col("expected_intent").isin("FEE", "LIMIT", "TIME")).select("query_id", "query")
-    hits = sparse.keyword_scores(wanted, faq_text(spark, folder), "faq_id", "question", "answer", K, stop=STOP)
-    return hits.select("query_id", "doc_id", F.round(F.col("score") * 0.8, 6).alias("score"))
+    """Documents by the fixed terms of a question's intent, a fifth lower."""
+    hits = sparse.listed_scores(faq_text(spark, folder), "faq_id", "question", "answer", BY_INTENT, K)
+    wanted = table(spark, folder, "intent_query").select("query_id", F.col("expected_intent").alias("intent"))
+    return wanted.join(hits, "intent").select("query_id", "doc_id", F.round(F.col("score") * 0.8, 6).alias("score"))
 
 
-@query("""SELECT query_id, faq_id AS doc_id FROM (SELECT result_id AS query_id, faq_id, row_number() OVER (PARTITION BY result_id ORDER BY faq_id) AS r
-  FROM (SELECT DISTINCT r.result_id, f.faq_id FROM rag_result r JOIN faq f ON lower(trim(r.question)) = lower(trim(f.question)))) WHERE r <= 10""")
+@query("""SELECT topic, faq_id AS doc_id FROM (SELECT topic, faq_id, row_number() OVER (PARTITION BY topic ORDER BY faq_id) AS r FROM (SELECT DISTINCT lower(trim(topic)) AS topic FROM chat_turn WHERE trim(topic) <> '') t
+  JOIN faq f ON contains(lower(coalesce(f.question, '')), t.topic) OR contains(lower(coalesce(f.answer, '')), t.topic)) WHERE r <= 10""")
 def keyword_fallback(spark, folder):
-    """Questions equal to the asked one but for case and blanks, where it has no keyword; the first ten."""
-    q = table(spark, folder, "rag_result").select(F.col("result_id").alias("query_id"), F.lower(F.trim("question")).alias("text"))
-    f = table(spark, folder, "faq").select(F.col("faq_id").alias("doc_id"), F.lower(F.trim("question")).alias("text"))
-    hits = q.join(f, "text").select("query_id", "doc_id", F.lit(1.0).alias("score")).distinct()
-    return ranking.ranked(hits, k=10).select("query_id", "doc_id")
+    """Where there's no keyword the whole query is searched for in questions and answers: the first ten of each topic of the conversations."""
+    topics = table(spark, folder, "chat_turn").select(F.lower(F.trim("topic")).alias("text")).where("text <> ''").distinct()
+    faq = table(spark, folder, "faq").select(F.col("faq_id").alias("doc_id"), F.explode(F.array(F.lower("question"), F.lower("answer"))).alias("other")).where("other IS NOT NULL")
+    hits = containing(topics, faq).join(faq, "other").select(F.col("text").alias("query_id"), "doc_id", F.lit(1.0).alias("score")).distinct()
+    return ranking.ranked(hits, k=10).select(F.col("query_id").alias("topic"), "doc_id")
 
 
 def _fuzzy_pairs(asked, questions, least):
@@ -188,14 +212,18 @@ def exact_match_inject(spark, folder):
 
 @query()
 def verify_relevance(spark, folder):
-    """Hits kept where the question shares 0.3 of the words or is 0.4 alike; a query with under 0.3 of its hits kept loses all."""
+    """Hits kept where the question has a compound term of the query, 0.3 of its words, or is 0.4 alike; a query with under 0.3 of its hits kept loses all."""
     from pyspark.sql import Window
 
     hits = sparse.bm25(asked(spark, folder), faq_text(spark, folder), "faq_id", "text", K)
     rows = hits.join(asked(spark, folder), "query_id").join(table(spark, folder, "faq").select(F.col("faq_id").alias("doc_id"), "question"), "doc_id")
-    n = F.size(F.array_distinct(words(F.col("query"))))
-    share = F.try_divide(F.size(F.array_intersect(words(F.col("query")), words(F.col("question")))), n)
-    kept = (F.coalesce(share, F.lit(0.0)) >= 0.3) | (fuzzy.similarity(F.lower("query"), F.lower(F.coalesce("question", F.lit(""))), 0.4) >= 0.4)
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    terms = lambda c: F.filter(F.array_distinct(F.split(low(c), r"\s+")), lambda w: (F.length(w) > 1) & ~F.array_contains(F.array(*[F.lit(x) for x in STOPS_RELEVANCE]), w))
+    compound = F.lit(False)
+    for t in COMPOUNDS:
+        compound = compound | (low("query").contains(t) & low("question").contains(t))
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect(terms("query"), terms("question"))), F.size(terms("query"))), F.lit(0.0))
+    kept = compound | (share >= 0.3) | (fuzzy.similarity(low("query"), low("question"), 0.4) >= 0.4)
     rows = rows.withColumn("kept", kept).withColumn("part", F.avg(F.col("kept").cast("int")).over(Window.partitionBy("query_id")))
     return rows.where("kept AND part >= 0.3").select("query_id", "doc_id", "rank")
 

@@ -195,9 +195,14 @@ def test_sections_drop_what_precedes_the_first(spark):
 
 
 def test_best_case(spark):
-    found = spark.createDataFrame([(1, 5, "Lệnh chuyển tiền bị trả lại")], "query_id long, doc_id long, text string")
-    cases = spark.createDataFrame([(5, 1, ["nạp tiền"], [], ["lệnh"]), (5, 2, ["Chuyển tiền"], ["bị trả lại"], None), (6, 1, [], [], [])], "doc_id long, case_id int, features array<string>, statuses array<string>, keywords array<string>")
-    assert rows(procedures.best_case(found, cases, "text"), "case_id", "score") == [(2, 45)]
+    kind = "doc_id long, case_id int, name string, method string, features array<string>, statuses array<string>, keywords array<string>, description string"
+    cases = spark.createDataFrame([(1, 1, "a", "m", ["x"], None, ["k"], None), (1, 2, "tên", "cách", ["nạp tiền"], ["bị trả lại"], [], "tiền bị trả lại")], kind)
+    hit = lambda text: spark.createDataFrame([(7, 1, text)], "query_id long, doc_id long, text string")
+    assert rows(procedures.best_case(hit("Nạp tiền bị trả lại"), cases, "text"), "case_id", "score") == [(2, 45)]
+    assert rows(procedures.best_case(hit("theo tên và cách"), cases, "text"), "case_id", "score") == [(2, 20)]  # by name and method where nothing else is found
+    assert rows(procedures.best_case(hit("0"), cases, "text"), "case_id", "score") == [(1, 1)]
+    assert rows(procedures.cases_found(hit("nạp tiền bị trả lại"), cases, "text"), "case_id", "score", "confidence") == [(2, 18, 0.9)]
+    assert procedures.cases_found(hit("phí"), cases, "text").count() == 0
 
 
 def test_latest_and_carried(spark):
@@ -285,3 +290,34 @@ def test_edges_are_resolved_by_property(spark):
     nodes = spark.createDataFrame([(1, "A", "x"), (2, "A", "y"), (3, "B", "x"), (4, "B", "x")], "id long, label string, name string")
     edges = spark.createDataFrame([("x", "x"), ("y", "z"), (None, "x")], "a string, b string")
     assert rows(graph.resolved_edges(edges, nodes, {"a": ("A", "name"), "b": ("B", "name")}), "a_id", "b_id") == [(1, 3), (1, 4)]
+
+
+def test_the_guard_and_the_extraction_gate(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import rerank
+
+    data = [(1, 9, 0.5, 0.5, "phí qua ngân hàng Mây Tím", "Mây Tím", "phí ngân hàng mây tím", "x"), (2, 9, 0.5, 0.5, "phí qua ngân hàng Mây Tím", "Mây Tím", "phí nạp tiền", "x"), (3, 9, 0.5, 0.5, "phí qua ngân hàng Mây Tím", "Mây Tím", "phí ngân hàng", "gọi mt bank"), (4, 9, 0.5, 0.5, "zzz yyy xxx", None, "phí nạp tiền vào ví", None), (5, 9, 0.8, 1.8, "nạp tiền", None, "nạp tiền", None)]
+    df = spark.createDataFrame(data, "query_id long, doc_id long, base double, score double, query string, b string, question string, answer string")
+    got = {r["query_id"]: (r["status"], round(r["boosted"], 6)) for r in rerank.guarded(df, F.col("b"), {"mây tím": ["mt bank"]}, ["qua"]).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "success", 2: "no_specific_answer", 3: "success", 4: "no_specific_answer", 5: "success"}
+    assert got[5][1] == 1.8 - 0.8 + 1.0 + 5.0
+    cases = [("FEE", "x" * 50, 0.5, "9", 0.9), ("FEE", "x" * 50, 0.95, "9", 0.9), ("WHY", "x" * 400, 0.5, "9", 0.9), ("HOW_TO", "x" * 400, 0.5, "y" * 390, 0.7), ("HOW_TO", "x" * 200, 0.5, "y", 0.7), ("LIMIT", "x" * 10, 0.5, "y" * 9, 0.9), ("TIME", "x" * 50, 0.1, None, 0.0), (None, None, None, None, None)]
+    rows_ = spark.createDataFrame(cases, "i string, a string, r double, f string, c double")
+    gate = rerank.extraction(*[F.col(c) for c in "iarfc"])
+    assert [(r["wanted"], r["used"]) for r in rows_.select(*[v.alias(k) for k, v in gate.items()]).collect()] == [(True, True), (False, False), (False, False), (True, True), (False, False), (True, False), (True, False), (False, False)]
+
+
+def test_keywords_count_within_words_and_compounds_as_a_whole(spark):
+    docs = spark.createDataFrame([(1, "miễnphí nạp tiền", "x"), (2, "tiền nạp", "phí nạp tiền " + "z" * 30000), (3, None, None)], "id long, t string, b string")
+    q = spark.createDataFrame([(1, "Phí nạp tiền?"), (2, None), (3, "zzz")], "query_id long, query string")
+    hits = sparse.keyword_scores(q, docs, "id", "t", "b", 5, compounds=["nạp tiền"])
+    # phí, nạp, tiền and the compound: 2 each in the first title; 2 x 2 and 4 in the second
+    assert rows(hits, "query_id", "doc_id", "score") == [(1, 1, 1.0), (1, 2, 1.0), (3, 2, 1.0)]
+
+
+def test_texts_that_contain_others(spark):
+    texts = ["", "a", "ab", "bc", None, "ab", "zz"]
+    others = ["abc", "", None, "xbcx", "abc"]
+    got = alike.containing(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(t,) for t in others], "other string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "abc"), ("ab", "abc"), ("bc", "abc"), ("bc", "xbcx")]

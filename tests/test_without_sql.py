@@ -59,8 +59,10 @@ def test_verify_relevance(spark, data):
     kept = {}
     for q, d, rank in data["hits"]:
         text, other = data["asked"][q], data["faq"][d] or ""
-        share = len(words(text) & words(other)) / len(words(text)) if words(text) else 0
-        kept.setdefault(q, []).append((d, rank, share >= 0.3 or SequenceMatcher(None, text.lower(), other.lower()).ratio() >= 0.4))
+        terms = lambda t: {w for w in t.lower().split() if len(w) > 1 and w not in retrieval.STOPS_RELEVANCE}
+        share = len(terms(text) & terms(other)) / len(terms(text)) if terms(text) else 0
+        compound = any(t in text.lower() and t in other.lower() for t in retrieval.COMPOUNDS)
+        kept.setdefault(q, []).append((d, rank, compound or share >= 0.3 or SequenceMatcher(None, text.lower(), other.lower()).ratio() >= 0.4))
     expected = {(q, d, rank) for q, rows in kept.items() if sum(k for *_, k in rows) / len(rows) >= 0.3 for d, rank, k in rows if k}
     assert {(r["query_id"], r["doc_id"], r["rank"]) for r in retrieval.verify_relevance(spark, str(FOLDER)).collect()} == expected
 
