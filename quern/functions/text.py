@@ -145,3 +145,23 @@ def reflowed(answer: Column) -> Column:
         return F.when(step & ((commas >= 2) | ((commas >= 1) & (F.length(line) > 80))), raised).otherwise(F.array(line))
 
     return F.array_join(F.flatten(F.transform(lines, flow)), "\n")
+
+
+def running_mean(rows: DataFrame, by: str, at: str, key: str, value: str, unit: str = "day") -> DataFrame:
+    """``rows`` with the mean of ``value`` so far by ``by``, in order of ``at`` and ``key``; null times come first.
+
+    Sums by unit of time are added up first, and rows within their unit, so a
+    group of any size is never one task's window. Sums are of nine decimals, so
+    their order doesn't matter.
+    """
+    from pyspark.sql import Window
+
+    rows = rows.withColumn("_unit", F.date_trunc(unit, at)).withColumn("_value", F.col(value).cast("decimal(28,9)"))
+    value = "_value"
+    units = rows.groupBy(by, "_unit").agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(by).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    units = units.select(F.col(by).alias("_by"), F.col("_unit").alias("_u"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_sum"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    within = Window.partitionBy(by, "_unit").orderBy(at, key).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumn("_own", F.sum(value).over(within)).withColumn("_place", F.count(F.lit(1)).over(within))
+    joined = joined.join(units, F.col(by).eqNullSafe(F.col("_by")) & F.col("_unit").eqNullSafe(F.col("_u")))
+    return joined.withColumn("mean", (F.col("_own") + F.col("_sum")).cast("double") / (F.col("_place") + F.col("_n"))).drop("_value", "_unit", "_by", "_u", "_own", "_place", "_sum", "_n")

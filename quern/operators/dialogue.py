@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import terms_in
+
 
 def latest(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     """One row a key, the one ingested last (ties and repeated rows: any of them, they're equal but for the time).
@@ -55,6 +57,26 @@ def summary_marks(df: DataFrame, group: str, order: list[str], texts: list[str],
     return rows.withColumn("summarised", (F.col("total") > budget) & (F.row_number().over(down) > keep))
 
 
+def enhanced(turns: DataFrame, text: Column, statuses: list[tuple[str, list[str]]], refers: list[tuple[str, list[str]]], afresh: list[str], still: str) -> DataFrame:
+    """(conv_id, turn_no, reset, step, enhanced) of turns with ``before``, the topic of the turn before, and a step for each status.
+
+    A turn starts afresh where its topic is another one (none within the other),
+    where it asks something new (``afresh``) or reports trouble after success
+    (``still``). Else, where it refers back or reports a status, it goes on with
+    the step it names, the step of its answer for the status (2 without), or 1.
+    """
+    first = lambda table: F.coalesce(*[F.when(terms_in(text, t, any_=True), F.lit(k)) for k, t in table])
+    topic, before = F.col("topic"), F.col("before")
+    moved = F.coalesce((topic != before) & ~F.contains(topic, before) & ~F.contains(before, topic), F.lit(False)) | F.lower(F.coalesce(text, F.lit(""))).rlike(still)
+    rows = turns.withColumns({"status": first(statuses), "reset": moved | terms_in(text, afresh, any_=True), "refers": first(refers)})
+    named = F.nullif(F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), r"(?:bước|step) (\d{1,4})", 1), F.lit("")).cast("int")
+    by_status = F.coalesce(*[F.when(F.col("status") == k, F.coalesce(F.col(k), F.lit(2))) for k, _ in statuses])
+    goes_on = ~F.col("reset") & (F.col("refers").isNotNull() | F.col("status").isNotNull())
+    step = F.coalesce(named, by_status, F.lit(1))
+    query = F.concat_ws(" ", before, F.concat(F.lit("trạng thái "), F.col("status")), F.concat(F.lit("Bước "), step), text)
+    return rows.select("conv_id", "turn_no", "reset", F.when(goes_on, step).alias("step"), F.when(goes_on, query).otherwise(text).alias("enhanced"))
+
+
 class Context:
     """What is carried from turn to turn; one reducer for batch and stream."""
 

@@ -29,7 +29,7 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""SELECT faq_id, 'Question: ' || trim(question, ' ') || chr(10) || chr(10) || 'Answer: ' || trim(answer, ' ') AS page_content, string_split(source, '/')[-1] AS source, row_id + 2 AS row_id FROM faq
+@query("""SELECT faq_id, 'Question: ' || trim(question, ' ') || chr(10) || chr(10) || 'Answer: ' || trim(answer, ' ') || chr(10) || 'Keywords: ' || trim(question, ' ') AS page_content, string_split(source, '/')[-1] AS source, row_id + 2 AS row_id FROM faq
   WHERE regexp_matches(question, '[\\p{L}\\p{N}]') AND lower(trim(question, ' ')) <> 'nan' AND regexp_matches(answer, '[\\p{L}\\p{N}]') AND lower(trim(answer, ' ')) <> 'nan'""")
 def ingest_documents(spark, folder):
     """Rows with both texts, as documents with their provenance."""

@@ -67,7 +67,10 @@ def _stepped(spark, folder):
     return turns(spark, folder).select("conv_id", "turn_no", "topic", "faq_id", step.alias("step"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT conv_id, turn_no, nullif(topic, '') AS topic, faq_id, {STEP_NO} AS step FROM {TURNS}), h AS (SELECT *, coalesce(last_value(topic IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn_no ROWS UNBOUNDED PRECEDING), '') AS sticky FROM t),
+  c AS (SELECT *, CAST(coalesce(lag(sticky) OVER (PARTITION BY conv_id ORDER BY turn_no), '') <> sticky AS INT) AS changed FROM h), n AS (SELECT *, sum(changed) OVER (PARTITION BY conv_id ORDER BY turn_no ROWS UNBOUNDED PRECEDING) AS session FROM c),
+  m AS (SELECT *, max(session) OVER (PARTITION BY conv_id) AS top FROM n)
+  SELECT conv_id, nullif(max_by(sticky, turn_no), '') AS topic, last(faq_id ORDER BY turn_no) FILTER (faq_id IS NOT NULL) AS faq_id, CAST(coalesce(last(step ORDER BY turn_no) FILTER (step IS NOT NULL AND session = top), 0) AS INT) AS step, CAST(count(*) AS INT) AS turns FROM m GROUP BY conv_id""")
 def context_fold(spark, folder):
     """The context after the last turn of each conversation, by the reducer that streams use."""
     return D.folded_context(_stepped(spark, folder), "conv_id")

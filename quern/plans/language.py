@@ -115,8 +115,8 @@ def confidence_class(spark, folder):
 def running_confidence(spark, folder):
     """The mean so far, by intent."""
     c = F.when(F.col("confidence").isNull() | F.isnan("confidence"), F.lit(0.0)).otherwise(F.col("confidence"))
-    w = Window.partitionBy(F.coalesce("intent", F.lit(""))).orderBy("asked_at", "result_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, folder, "rag_result").select("result_id", F.round(F.avg(c).over(w), 4).alias("mean"))
+    rows = table(spark, folder, "rag_result").select("result_id", F.coalesce("intent", F.lit("")).alias("intent"), "asked_at", c.alias("c"))
+    return X.running_mean(rows, "intent", "asked_at", "result_id", "c").select("result_id", F.round("mean", 4).alias("mean"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -154,13 +154,23 @@ def title_or_summary_flag(spark, folder):
 
 
 DONE = ["thành công", "hoàn tất", "xác nhận", "completed", "confirm"]
+#: How a step that ends a process begins, what is done in one, and what is only a hint where a step is short.
+ENDS, ENDING, HINTS = ["cuối cùng", "bước cuối", "finally"], ["xác nhận", "hoàn tất", "bấm đồng ý", "confirm", "submit"], ["thành công", "xong", "done", "completed"]
 
 
-@query(f"SELECT faq_id, no, {sql_hits('line', DONE)} > 0 AS completes FROM (SELECT faq_id, unnest(string_split(answer, chr(10))) AS line, generate_subscripts(string_split(answer, chr(10)), 1) AS no FROM faq WHERE answer IS NOT NULL) WHERE regexp_matches(line, '^(Bước \\d+:|B\\d+ -|Step \\d+:)')")
+_done = f"""CASE WHEN {' OR '.join(f"starts_with(trim(regexp_replace(lower(line), '^(bước [0-9]+:|b[0-9]+ -|step [0-9]+:)', '')), '{t}')" for t in ENDS)} THEN 'strong' WHEN {sql_any('line', ENDING)} THEN 'action' WHEN {sql_any('line', HINTS)} AND length(line) < 120 THEN 'weak' END"""
+
+
+@query(f"SELECT faq_id, no, {_done} AS rule, {_done} IS NOT NULL AS completes FROM (SELECT faq_id, unnest(string_split(answer, chr(10))) AS line, generate_subscripts(string_split(answer, chr(10)), 1) AS no FROM faq WHERE answer IS NOT NULL) WHERE regexp_matches(line, '^(Bước \\d+:|B\\d+ -|Step \\d+:)')")
 def completion_step_flag(spark, folder):
-    """Step lines that say the process is done."""
+    """Step lines that end a process: by how they begin, what is done, or, where short, a hint."""
     lines = table(spark, folder, "faq").where("answer IS NOT NULL").select("faq_id", F.posexplode(F.split("answer", "\n")).alias("no", "line")).where(F.col("line").rlike(r"^(Bước \d+:|B\d+ -|Step \d+:)"))
-    return lines.select("faq_id", (F.col("no") + 1).cast("long").alias("no"), (X.hits(F.col("line"), DONE) > 0).alias("completes"))
+    said = F.trim(F.regexp_replace(F.lower("line"), r"^(bước [0-9]+:|b[0-9]+ -|step [0-9]+:)", ""))
+    strong = F.lit(False)
+    for t in ENDS:
+        strong = strong | said.startswith(t)
+    rule = F.when(strong, "strong").when(X.has_any(F.col("line"), ENDING), "action").when(X.has_any(F.col("line"), HINTS) & (F.length("line") < 120), "weak")
+    return lines.select("faq_id", (F.col("no") + 1).cast("long").alias("no"), rule.alias("rule"), rule.isNotNull().alias("completes"))
 
 
 @query("SELECT result_id, round(1 / (1 + confidence), 6) AS inverse, round(least(confidence / 10, 1), 6) AS tenth FROM rag_result WHERE confidence IS NOT NULL AND NOT isnan(confidence)")
@@ -211,12 +221,12 @@ def intent_distribution(spark, folder):
     return table(spark, folder, "faq").withColumns(INTENTS.columns(F.col("question"))).groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT id AS query_id, intent, intent IN ('FEE', 'LIMIT', 'TIME') AS specific, CASE intent WHEN 'FEE' THEN 'value' WHEN 'LIMIT' THEN 'value' WHEN 'TIME' THEN 'value' WHEN 'HOW_TO' THEN 'steps' ELSE 'full' END AS extraction, CASE intent WHEN 'HOW_TO' THEN 15 ELSE 10 END AS candidates FROM ({CLASSIFIED})")
+@query(f"SELECT id AS query_id, intent, intent IN ('FEE', 'LIMIT', 'TIME') AS specific, CASE intent WHEN 'FEE' THEN 'value' WHEN 'LIMIT' THEN 'value' WHEN 'TIME' THEN 'value' WHEN 'HOW_TO' THEN 'steps' ELSE 'full' END AS extraction, 5 * CASE intent WHEN 'HOW_TO' THEN 3 ELSE 2 END AS candidates, 15 * CASE intent WHEN 'HOW_TO' THEN 3 ELSE 2 END AS searched FROM ({CLASSIFIED})")
 def intent_kinds(spark, folder):
-    """Q5, Q16: what an intent's answer is cut to, and how many candidates are fetched."""
+    """Q5, Q16: what an intent's answer is cut to, how many candidates are fetched, and three times as many searched by entities and vectors."""
     rows = table(spark, folder, "intent_query").withColumns(INTENTS.columns(F.col("query")))
     i = F.col("intent")
-    return rows.select("query_id", "intent", i.isin("FEE", "LIMIT", "TIME").alias("specific"), F.when(i.isin("FEE", "LIMIT", "TIME"), "value").when(i == "HOW_TO", "steps").otherwise("full").alias("extraction"), F.when(i == "HOW_TO", 15).otherwise(10).alias("candidates"))
+    return rows.select("query_id", "intent", i.isin("FEE", "LIMIT", "TIME").alias("specific"), F.when(i.isin("FEE", "LIMIT", "TIME"), "value").when(i == "HOW_TO", "steps").otherwise("full").alias("extraction"), (5 * F.when(i == "HOW_TO", 3).otherwise(2)).alias("candidates"), (15 * F.when(i == "HOW_TO", 3).otherwise(2)).alias("searched"))
 
 
 ENTITIES = rules.EntityPack({
@@ -333,12 +343,20 @@ BUSINESS = ["thẻ", "tiền", "ngân hàng", "lỗi", "card", "bank", "money",
 _small = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(user_query, '')), '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(t)})($|[^\\p{{L}}\\p{{N}}_])') THEN '{k}'" for k, t in SMALL.items()) + " END"
 
 
-@query(f"SELECT DISTINCT conv_id, turn_no, CASE WHEN len({sql_words('user_query')}) <= 15 AND NOT {sql_any('user_query', BUSINESS)} THEN {_small} END AS kind FROM chat_turn")
+#: The most words of a turn, by kind, and what is said to it.
+MOST_WORDS, REPLIES = {"greeting": 15, "thanks": 10, "bye": 10}, {"greeting": "Xin chào! Bạn cần hỗ trợ gì?", "thanks": "Rất vui được hỗ trợ bạn.", "bye": "Hẹn gặp lại bạn."}
+_limits = " ".join(f"WHEN kind = '{k}' AND n <= {n} THEN '{REPLIES[k]}'" for k, n in MOST_WORDS.items())
+
+
+@query(f"""SELECT DISTINCT conv_id, turn_no, CASE WHEN reply IS NOT NULL THEN kind END AS kind, reply FROM (SELECT *, CASE {_limits} END AS reply FROM
+  (SELECT conv_id, turn_no, len({sql_words('user_query')}) AS n, CASE WHEN NOT {sql_any('user_query', BUSINESS)} THEN {_small} END AS kind FROM chat_turn))""")
 def smalltalk_detect(spark, folder):
-    """Q14, Q15: greetings, thanks and farewells in short turns about nothing else, by whole words."""
+    """Q14, Q15: greetings, thanks and farewells in short turns about nothing else, by whole words, and the reply."""
     q = F.col("user_query")
-    kind = F.coalesce(*[F.when(X.whole_word(q, t), F.lit(k)) for k, t in SMALL.items()])
-    return table(spark, folder, "chat_turn").select("conv_id", "turn_no", F.when((F.size(X.words(q)) <= 15) & ~X.has_any(q, BUSINESS), kind).alias("kind")).distinct()
+    kind = F.when(~X.has_any(q, BUSINESS), F.coalesce(*[F.when(X.whole_word(q, t), F.lit(k)) for k, t in SMALL.items()]))
+    rows = table(spark, folder, "chat_turn").select("conv_id", "turn_no", kind.alias("kind"), F.size(X.words(q)).alias("n"))
+    reply = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("n") <= n), F.lit(REPLIES[k])) for k, n in MOST_WORDS.items()])
+    return rows.select("conv_id", "turn_no", F.when(reply.isNotNull(), F.col("kind")).alias("kind"), reply.alias("reply")).distinct()
 
 
 DOMAIN = ["ngân hàng", "thẻ", "tiền", "ví ", "tài khoản", "sao kê", "hoá đơn", "otp", "bank", "card", "account", "payment", "money", "bill"]
@@ -366,14 +384,48 @@ def followup_detect(spark, folder):
     return rows.withColumn("found", found).select("case_id", "found", "expected", context.alias("context"))
 
 
-REFER = [("step", ["bước tiếp", "bước sau", "next step", "bước"]), ("clarify", ["nghĩa là", "là sao", "what does", "ý là"]), ("more", ["còn gì", "thêm", "khác", "else"])]
-STATUS = [("failed", ["bị trả lại", "bị từ chối", "chưa thấy", "was returned", "declined"]), ("pending", ["đang xử lý", "đang chờ", "hangs"]), ("done", ["thành công", "đã nhận", "arrived"])]
+# In order: what a turn refers back to, by eighteen patterns of steps, two of clarification and three of more.
+REFER = [
+    ("step", ["~bước (tiếp|sau|kế)", "~bước [0-9]{1,4}", "~(tiếp theo|kế tiếp)", "~sau đó (thì|làm|là)", "~(rồi|xong) (sao|làm gì|thì sao)", "~làm (tiếp|gì tiếp)", "~còn bước", "~(đến|tới) bước", "~(các|những) bước còn lại", "~tiếp tục", "~(xong|hoàn thành) bước", "~bước (cuối|đầu)", "next step", "~step [0-9]{1,4}", "~what (next|then)", "~(and|then) what", "~(remaining|other) steps", "~after (that|this)"]),
+    ("clarify", ["~(nghĩa là|là sao|ý là|tức là)", "~what does (it|that|this)"]), ("more", ["~(còn|thêm) (gì|nữa)", "~(thế|vậy) còn", "~(what about|anything else|how about)"]),
+]
+STATUS = [("failed", ["bị trả lại", "bị từ chối", "chưa thấy", "thất bại", "was returned", "declined", "failed"]), ("pending", ["đang xử lý", "đang chờ", "hangs", "pending"]), ("done", ["thành công", "đã nhận", "arrived", "completed"])]
+AFRESH = ["~(làm sao|làm thế nào|như thế nào|cách nào) để", "~hướng dẫn (tôi|mình|em)", "~tôi muốn (biết|hỏi)", "~^(nhưng|nhưng mà) ", "~^(how (do|can) i|why|where do i) "]
+STILL = "(thành công|xong|hoàn thành) (nhưng|nhưng mà|mà)"
+
+
+def _sql_terms(column: str, terms: list[str]) -> str:
+    low = f"lower(coalesce({column}, ''))"
+    return "(" + " OR ".join(f"regexp_matches({low}, '{t[1:]}')" if t.startswith("~") else f"contains({low}, '{t}')" for t in terms) + ")"
 
 
-@query(f"""SELECT DISTINCT conv_id, turn_no, CASE {' '.join(f"WHEN {sql_any('user_query', t)} THEN '{k}'" for k, t in REFER)} END AS reference, CAST(nullif(regexp_extract(lower(coalesce(user_query, '')), '(?:bước|step) (\\d{{1,4}})', 1), '') AS INT) AS step,
+@query(f"""SELECT DISTINCT conv_id, turn_no, CASE {' '.join(f"WHEN {_sql_terms('user_query', t)} THEN '{k}'" for k, t in REFER)} END AS reference, CAST(nullif(regexp_extract(lower(coalesce(user_query, '')), '(?:bước|step) (\\d{{1,4}})', 1), '') AS INT) AS step,
   CASE {' '.join(f"WHEN {sql_any('user_query', t)} THEN '{k}'" for k, t in STATUS)} END AS status FROM chat_turn""")
 def reference_detect(spark, folder):
     """What a turn refers back to, the step it names and the status it reports."""
     q = F.col("user_query")
     step = F.nullif(F.regexp_extract(F.lower(F.coalesce(q, F.lit(""))), r"(?:bước|step) (\d{1,4})", 1), F.lit("")).cast("int")
-    return table(spark, folder, "chat_turn").select("conv_id", "turn_no", X.first_topic(q, REFER).alias("reference"), step.alias("step"), X.first_topic(q, STATUS).alias("status")).distinct()
+    return table(spark, folder, "chat_turn").select("conv_id", "turn_no", F.coalesce(*[F.when(X.terms_in(q, t, any_=True), F.lit(k)) for k, t in REFER]).alias("reference"), step.alias("step"), X.first_topic(q, STATUS).alias("status")).distinct()
+
+
+_STEPS = "(SELECT faq_id, min(number) FILTER (hit = 'failed') AS failed, min(number) FILTER (hit = 'pending') AS pending, min(number) FILTER (hit = 'done') AS done FROM (SELECT faq_id, CAST(regexp_extract(line, '^\\s*(?:Bước |B|Step |\\(?)(\\d+)', 1) AS INT) AS number, unnest([" + ", ".join(f"CASE WHEN {_sql_terms('line', t)} THEN '{k}' END" for k, t in STATUS) + "]) AS hit FROM (SELECT faq_id, unnest(string_split(answer, chr(10))) AS line FROM faq WHERE answer IS NOT NULL) WHERE regexp_matches(line, '^\\s*(Bước \\d{1,3}:|B\\d{1,3} -|Step \\d{1,3}:|\\(?\\d{1,3}[.)]) ')) GROUP BY faq_id)"
+_status = "CASE " + " ".join("WHEN " + _sql_terms("user_query", t) + f" THEN '{k}'" for k, t in STATUS) + " END"
+_named = "CAST(nullif(regexp_extract(lower(coalesce(user_query, '')), '(?:bước|step) (\\d{1,4})', 1), '') AS INT)"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn_no, user_query, faq_id, topic, lag(topic) OVER (PARTITION BY conv_id ORDER BY turn_no) AS before FROM (SELECT * FROM chat_turn QUALIFY row_number() OVER (PARTITION BY conv_id, turn_no ORDER BY ingested_at DESC) = 1)),
+  t AS (SELECT *, {_status} AS status, {_named} AS named, coalesce(topic <> before AND NOT contains(topic, before) AND NOT contains(before, topic), false) OR regexp_matches(lower(coalesce(user_query, '')), '{STILL}') AS moved, {_sql_terms('user_query', AFRESH)} AS fresh,
+    CASE {' '.join(f"WHEN {_sql_terms('user_query', t)} THEN '{k}'" for k, t in REFER)} END AS reference FROM q),
+  s AS (SELECT t.*, NOT moved AND NOT fresh AND (reference IS NOT NULL OR status IS NOT NULL) AS goes_on, coalesce(named, CASE status WHEN 'failed' THEN coalesce(failed, 2) WHEN 'pending' THEN coalesce(pending, 2) WHEN 'done' THEN coalesce(done, 2) END, 1) AS step FROM t LEFT JOIN {_STEPS} p ON p.faq_id = t.faq_id)
+  SELECT conv_id, turn_no, moved OR fresh AS reset, CASE WHEN goes_on THEN step END AS step, CASE WHEN goes_on THEN concat_ws(' ', before, 'trạng thái ' || status, 'Bước ' || step, user_query) ELSE user_query END AS enhanced FROM s""")
+def query_enhance(spark, folder):
+    """A turn that goes on is searched for with its topic, status and step; a new topic, a new question or trouble after success starts afresh."""
+    from quern.operators import dialogue as D
+    from quern.operators import procedures as P
+
+    q = F.col("user_query")
+    turns = D.latest(table(spark, folder, "chat_turn").drop("entities"), ["conv_id", "turn_no"], "ingested_at")
+    turns = turns.withColumn("before", F.lag("topic").over(Window.partitionBy("conv_id").orderBy("turn_no")))
+    lines = table(spark, folder, "faq").where("answer IS NOT NULL").select("faq_id", F.explode(F.split("answer", "\n")).alias("line")).where(F.col("line").rlike(P.STEP)).withColumn("number", F.regexp_extract("line", r"^\s*(?:Bước |B|Step |\(?)(\d+)", 1).cast("int"))
+    steps = lines.groupBy("faq_id").agg(*[F.min(F.when(X.terms_in(F.col("line"), t, any_=True), F.col("number"))).alias(k) for k, t in STATUS])
+    return D.enhanced(turns.join(steps, "faq_id", "left"), q, STATUS, REFER, AFRESH, STILL)

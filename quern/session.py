@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,12 +59,29 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed at the end of ``staging``, or when the driver ends."""
     path = f"{shared_folder(spark).rstrip('/')}/quern-{uuid.uuid4().hex}/{name}"
+    if _open:
+        _open[-1].append(path.rpartition("/")[0])
     atexit.register(_remove, spark, path.rpartition("/")[0])
     return path
 
 
+#: Paths of the tables staged in each open ``staging``.
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end: for sessions that run many queries. Results must be read or written inside."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -26,7 +26,7 @@ def from_json(spark: SparkSession, path: str) -> DataFrame:
 def built(df: DataFrame, key: str, first_row: int = 2) -> DataFrame:
     """One document a row with both a question and an answer (blank texts and "nan" are none), with source and row of the sheet."""
     full = lambda c: F.col(c).rlike(r"[\p{L}\p{N}]") & (F.lower(F.trim(c)) != "nan")
-    content = F.concat(F.lit("Question: "), F.trim("question"), F.lit("\n\nAnswer: "), F.trim("answer"))
+    content = F.concat(F.lit("Question: "), F.trim("question"), F.lit("\n\nAnswer: "), F.trim("answer"), F.lit("\nKeywords: "), F.trim("question"))
     return df.where(full("question") & full("answer")).select(key, content.alias("page_content"), F.element_at(F.split("source", "/"), -1).alias("source"), (F.col("row_id") + first_row).alias("row_id"))
 
 
