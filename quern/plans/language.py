@@ -113,10 +113,18 @@ def confidence_class(spark, folder):
 
 @query("""SELECT result_id, round(avg(CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0 ELSE confidence END) OVER (PARTITION BY coalesce(intent, '') ORDER BY asked_at, result_id ROWS UNBOUNDED PRECEDING), 4) AS mean FROM rag_result""")
 def running_confidence(spark, folder):
-    """The mean so far, by intent."""
+    """The mean so far, by intent, to four decimals: one sequential sum a group, whose last bit decides ties as it does in the SQL."""
+    c = F.when(F.col("confidence").isNull() | F.isnan("confidence"), F.lit(0.0)).otherwise(F.col("confidence"))
+    w = Window.partitionBy(F.coalesce("intent", F.lit(""))).orderBy("asked_at", "result_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, folder, "rag_result").select("result_id", F.round(F.avg(c).over(w), 4).alias("mean"))
+
+
+@query("""SELECT result_id, round(avg(CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0 ELSE confidence END) OVER (PARTITION BY coalesce(intent, '') ORDER BY asked_at NULLS FIRST, result_id ROWS UNBOUNDED PRECEDING), 9) AS mean FROM rag_result""")
+def running_confidence_by_unit(spark, folder):
+    """T22 for groups of any size: the mean so far, to nine decimals, from sums by day and within a day."""
     c = F.when(F.col("confidence").isNull() | F.isnan("confidence"), F.lit(0.0)).otherwise(F.col("confidence"))
     rows = table(spark, folder, "rag_result").select("result_id", F.coalesce("intent", F.lit("")).alias("intent"), "asked_at", c.alias("c"))
-    return X.running_mean(rows, "intent", "asked_at", "result_id", "c").select("result_id", F.round("mean", 4).alias("mean"))
+    return X.running_mean(rows, "intent", "asked_at", "result_id", "c").select("result_id", F.round("mean", 9).alias("mean"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
