@@ -37,6 +37,21 @@ def parsed_steps(df: DataFrame, key: str, text: str) -> DataFrame:
     return lines.select(key, "place", number.alias("number"), F.regexp_replace("line", STEP, "").alias("text"))
 
 
+#: In order: ways to mark steps; the first that a text uses is its own.
+MARKS = [r"^\s*(?:Bước |Step |B)(\d{1,3}) ?[:.\-]", r"^\s*\*\*(\d{1,3})[.)]", r"^\s*\(?(\d{1,3})[.)] "]
+
+
+def first_marked_steps(df: DataFrame, key: str, text: str, marks: list[str] = MARKS) -> DataFrame:
+    """(key, mark, place, number, text) of the lines that begin with a step mark, of the first of ``marks`` that occurs in the text."""
+    lines = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), "\n")).alias("place", "line"))
+    mark = number = rest = F
+    for n, pattern in enumerate(marks, 1):
+        mark, number, rest = (w.when(F.col("line").rlike(pattern), v) for w, v in ((mark, F.lit(n)), (number, F.regexp_extract("line", pattern, 1).cast("int")), (rest, F.trim(F.regexp_replace("line", pattern, "")))))
+    found = lines.select(key, "place", mark.alias("mark"), number.alias("number"), rest.alias("text")).where("mark IS NOT NULL")
+    own = F.min("mark").over(Window.partitionBy(key))
+    return found.withColumn("_own", own).where("mark = _own").select(key, "mark", "place", "number", "text")
+
+
 def sections(df: DataFrame, key: str, text: str, start: str) -> DataFrame:
     """(key, section, title, body): lines from one that matches ``start`` to the next; blank lines and what precedes the first are dropped.
 

@@ -240,6 +240,18 @@ def step_parse(spark, folder):
     return found.groupBy("faq_id").agg(F.count(F.lit(1)).alias("steps"), F.min("number").alias("first"), F.max("number").alias("last"))
 
 
+_mark = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN {n}" for n, p in enumerate(P.MARKS, 1)) + " END"
+_number = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN CAST(regexp_extract(line, '{p}', 1) AS INT)" for p in P.MARKS) + " END"
+
+
+@query(f"""WITH l AS (SELECT faq_id, unnest(string_split(answer, chr(10))) AS line FROM faq WHERE answer IS NOT NULL), m AS (SELECT faq_id, {_mark} AS mark, {_number} AS number FROM l), o AS (SELECT faq_id, min(mark) AS mark FROM m GROUP BY faq_id)
+  SELECT faq_id, mark, count(*) AS steps, min(number) AS first, max(number) AS last FROM m JOIN o USING (faq_id, mark) GROUP BY ALL""")
+def step_marks(spark, folder):
+    """The steps of each answer by the first of three ways to mark them that it uses."""
+    found = P.first_marked_steps(table(spark, folder, "faq"), "faq_id", "answer")
+    return found.groupBy("faq_id", "mark").agg(F.count(F.lit(1)).alias("steps"), F.min("number").alias("first"), F.max("number").alias("last"))
+
+
 @query(f"""WITH t AS (SELECT faq_id, min(number) AS n FROM {STEP_SQL} GROUP BY faq_id), g AS (SELECT src, count(*) AS e FROM faq_edge WHERE rel_type = 'SUGGESTS_ACTION' AND entity_name IS NOT NULL GROUP BY src)
   SELECT f.faq_id, CASE WHEN t.n IS NOT NULL THEN 'text' WHEN g.e IS NOT NULL THEN 'graph' ELSE 'none' END AS source FROM faq f LEFT JOIN t USING (faq_id) LEFT JOIN g ON g.src = f.faq_id""")
 def step_hybrid(spark, folder):

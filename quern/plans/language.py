@@ -181,11 +181,11 @@ def completion_step_flag(spark, folder):
     return lines.select("faq_id", (F.col("no") + 1).cast("long").alias("no"), rule.alias("rule"), rule.isNotNull().alias("completes"))
 
 
-@query("SELECT result_id, round(1 / (1 + confidence), 6) AS inverse, round(least(confidence / 10, 1), 6) AS tenth FROM rag_result WHERE confidence IS NOT NULL AND NOT isnan(confidence)")
+@query("SELECT result_id, round(1 / (1 + confidence), 6) AS inverse, round(least(confidence / 10, 1), 6) AS tenth, round(1 / (1 + 0.5 * confidence), 6) AS half FROM rag_result WHERE confidence IS NOT NULL AND NOT isnan(confidence)")
 def score_arithmetic(spark, folder):
     """T15."""
     c = F.col("confidence")
-    return table(spark, folder, "rag_result").where(c.isNotNull() & ~F.isnan(c)).select("result_id", F.round(1 / (1 + c), 6).alias("inverse"), F.round(F.least(c / 10, F.lit(1.0)), 6).alias("tenth"))
+    return table(spark, folder, "rag_result").where(c.isNotNull() & ~F.isnan(c)).select("result_id", F.round(1 / (1 + c), 6).alias("inverse"), F.round(F.least(c / 10, F.lit(1.0)), 6).alias("tenth"), F.round(1 / (1 + 0.5 * c), 6).alias("half"))
 
 
 INTENTS = rules.IntentPack(
@@ -346,6 +346,29 @@ def entity_merge(spark, folder):
     return rules.merged_entities(given, p)
 
 
+_turn_found = ENTITIES.sql("SELECT DISTINCT conv_id * 1000 + turn_no AS id, user_query AS text FROM chat_turn WHERE user_query IS NOT NULL AND entities IS NOT NULL")
+
+
+@query(f"""WITH p AS (SELECT DISTINCT id AS query_id, etype, value FROM ({_turn_found})), g AS (SELECT DISTINCT conv_id * 1000 + turn_no AS query_id, upper(left(m.key, 1)) || substr(m.key, 2) AS etype, lower(value) AS value FROM (SELECT *, unnest(m.value) AS value FROM {GIVEN}) WHERE value IS NOT NULL),
+  u AS (SELECT * FROM p UNION SELECT * FROM g), s AS (SELECT * FROM g UNION SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.query_id = p.query_id AND g.etype = p.etype AND contains(g.value, p.value))),
+  r AS (SELECT * FROM g UNION SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.query_id = p.query_id AND g.etype = p.etype)), a AS (SELECT * FROM g UNION SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.query_id = p.query_id))
+  SELECT 'union' AS way, etype, count(*) AS n FROM u GROUP BY etype UNION ALL SELECT 'longer', etype, count(*) FROM s GROUP BY etype UNION ALL SELECT 'by_type', etype, count(*) FROM r GROUP BY etype UNION ALL SELECT 'if_none', etype, count(*) FROM a GROUP BY etype""")
+def entity_merge_ways(spark, folder):
+    """entities that came with the turns merged with those of the rules, in four ways: all; without what a longer one contains; rules for types that weren't given; rules for turns without any."""
+    turns = table(spark, folder, "chat_turn").where("entities IS NOT NULL AND user_query IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn_no")).alias("query_id"), "user_query").distinct()
+    pattern = turns.select("query_id", F.explode(ENTITIES.column(F.col("user_query"))).alias("e")).select("query_id", "e.etype", "e.value").distinct()
+    given = given_entities(spark, folder).select((F.col("conv_id") * 1000 + F.col("turn_no")).alias("query_id"), F.concat(F.upper(F.left("etype", F.lit(1))), F.substr("etype", F.lit(2))).alias("etype"), F.lower("value").alias("value")).distinct()
+    ways = {
+        "union": given.unionByName(pattern), "longer": rules.merged_entities(given, pattern).drop("source"), "by_type": given.unionByName(pattern.join(given.select("query_id", "etype").distinct(), ["query_id", "etype"], "left_anti")),
+        "if_none": given.unionByName(pattern.join(given.select("query_id").distinct(), "query_id", "left_anti")),
+    }
+    all_ = None
+    for way, rows in ways.items():
+        part = rows.distinct().groupBy("etype").agg(F.count(F.lit(1)).alias("n")).withColumn("way", F.lit(way))
+        all_ = part if all_ is None else all_.unionByName(part)
+    return all_.select("way", "etype", "n")
+
+
 SMALL = {"greeting": ["xin chào", "chào bạn", "hello", "hi", "alo"], "thanks": ["cảm ơn", "cám ơn", "thanks", "thank you"], "bye": ["tạm biệt", "bye", "goodbye"]}
 BUSINESS = ["thẻ", "tiền", "ngân hàng", "lỗi", "card", "bank", "money", "phí"]
 _small = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(user_query, '')), '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(t)})($|[^\\p{{L}}\\p{{N}}_])') THEN '{k}'" for k, t in SMALL.items()) + " END"

@@ -68,12 +68,13 @@ def dense_l2_topk(spark, folder):
     return _shown(dense.nearest(q, d, "vec_id", "embedding", K, "l2"))
 
 
-@query(f"SELECT query_id, round(1 / (1 + 0.5 * (1 / max(score) - 1)), 6) AS score, 1 / (1 + 0.5 * (1 / max(score) - 1)) > 0.5 AS relevant FROM {L2} WHERE rank > 1 GROUP BY query_id")
+@query(f"SELECT query_id, round(1 / (1 + 0.5 * (1 / max(score) - 1)), 6) AS score, 1 / (1 + 0.5 * (1 / max(score) - 1)) > 0.25 AS relevant, 1 / (1 + 0.5 * (1 / max(score) - 1)) > 0.3 AS relevant_by_default FROM {L2} WHERE rank BETWEEN 2 AND 6 GROUP BY query_id")
 def relevance_gate(spark, folder):
-    """V3: whether the best hit besides the query itself is near enough."""
+    """V3: whether the best of five hits besides the query itself is near enough, by the caller's threshold and the default one."""
     q, d = _embeddings(spark, folder)
-    hits = dense.nearest(q, d, "vec_id", "embedding", K, "l2").where("rank > 1")
-    return dense.relevance_gate(hits, 0.5).withColumn("score", F.round("score", 6))
+    hits = dense.nearest(q, d, "vec_id", "embedding", 6, "l2").where("rank > 1")
+    strict = dense.relevance_gate(hits, 0.3).select("query_id", F.col("relevant").alias("relevant_by_default"))
+    return dense.relevance_gate(hits, 0.25).withColumn("score", F.round("score", 6)).join(strict, "query_id")
 
 
 @query()
