@@ -348,13 +348,17 @@ def shared_in(docs: np.ndarray, starts: np.ndarray, sides: np.ndarray, passages:
     apart[last] = -1 - np.arange(len(passages))  # no two separators are equal
     pad = np.concatenate([np.full(span, -(1 << 40)), apart, np.full(span, -(1 << 41))])
     wide = span - half
-    size = high[found] - low[found]
-    part = (np.cumsum(size) - size) // LOCATED
+    # Equal stretches have one interval, which is located once
+    interval, of = np.unique(low[found] * (len(codes) + 1) + high[found], return_inverse=True)
+    first, size = interval // (len(codes) + 1), interval % (len(codes) + 1) - interval // (len(codes) + 1)
+    offset = np.cumsum(size) - size
+    slots = np.repeat(first - offset, size) + np.arange(size.sum())
+    places = np.concatenate([index.located(part) for part in np.split(slots, range(LOCATED, len(slots), LOCATED))]) if len(slots) else slots
+    part = (np.cumsum(size[of]) - size[of]) // LOCATED
     for n in np.unique(part):
-        which = found[part == n]
-        many = high[which] - low[which]
-        slots = np.repeat(low[which] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        x, y = np.repeat(ends[which] - half, many), index.located(slots)
+        which = part == n
+        many, start = size[of[which]], offset[of[which]]
+        x, y = np.repeat(ends[found[which]] - half, many), places[np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())]
         p, q = own[x], own[y]
         ok = (docs[p] < docs[q]) & ((sides[p] != sides[q]) | (sides[p] == 2))
         x, y, p, q = x[ok], y[ok], p[ok], q[ok]
@@ -388,6 +392,23 @@ def longest(docs: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([docs[keep], start[keep], end[keep]])
 
 
+class Held:
+    """Distinct numbers out of many that repeat."""
+
+    def __init__(self):
+        self.sure, self.parts, self.count = np.zeros(0, np.int64), [], 0
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.parts.append(np.unique(numbers))
+        self.count += len(self.parts[-1])
+        if self.count > max(2_000_000, len(self.sure)):
+            self.all()
+
+    def all(self) -> np.ndarray:
+        self.sure, self.parts, self.count = np.unique(np.concatenate([self.sure, *self.parts])), [], 0
+        return self.sure
+
+
 def _matches(span: int, spans: bool):
     """From passages, all of a shard one after another, to distinct links (doc, other), doc < other; with ``spans`` also to (doc, null, start, end)."""
 
@@ -396,11 +417,22 @@ def _matches(span: int, spans: bool):
         held, last = 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            links, known = np.zeros((2, 0), np.int64), np.zeros((3, 0), np.int64)
-            for a, s, b, t, n in shared_in(np.array(rows[0], np.int64), np.array(rows[1], np.int64), np.array(rows[2]), rows[3], span):
-                links = np.unique(np.concatenate([links, np.unique(np.stack([a, b]), axis=1)], axis=1), axis=1)
+            ids, own = np.unique(np.array(rows[0], np.int64), return_inverse=True)
+            links, known = Held(), np.zeros((3, 0), np.int64)
+            spanned: list[np.ndarray] = []
+            count = 0
+            for a, s, b, t, n in shared_in(own, np.array(rows[1], np.int64), np.array(rows[2]), rows[3], span):
+                links.add(a * len(ids) + b)
                 if spans:
-                    known = longest(*np.concatenate([known, np.stack([a, s, s + n]), np.stack([b, t, t + n])], axis=1))
+                    spanned += [np.stack([a, s, s + n]), np.stack([b, t, t + n])]
+                    count += 2 * len(a)
+                    if count > 2_000_000:
+                        known, spanned, count = longest(*np.concatenate([known, *spanned], axis=1)), [], 0
+            if spanned:
+                known = longest(*np.concatenate([known, *spanned], axis=1))
+            known = np.stack([ids[known[0]], known[1], known[2]])
+            key = links.all()
+            links = np.stack([ids[key // len(ids)], ids[key % len(ids)]])
             none = lambda n: pa.nulls(n, pa.int64())
             names = ["doc", "other", "start", "end"]
             yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1]), none(links.shape[1]), none(links.shape[1])], names=names)
