@@ -49,7 +49,7 @@ def test_json_documents(spark, tmp_path):
 
 def test_built_documents(spark):
     df = spark.createDataFrame([(1, "q ", "a", "x/y.xlsx", 3, "z"), (2, None, "a", "y", 4, "z"), (3, "q", "NaN", "y", 5, "z"), (4, "q", "  ", "y", None, "z")], "id long, question string, answer string, source string, row_id long, page_content string")
-    assert [tuple(r) for r in documents.built(df, "id").collect()] == [(1, "Question: q\n\nAnswer: a", "y.xlsx", 5)]
+    assert [tuple(r) for r in documents.built(df, "id").collect()] == [(1, "Question: q\n\nAnswer: a\nKeywords: q", "y.xlsx", 5)]
 
 
 def test_stream_context_equals_batch(spark, tmp_path):
@@ -100,3 +100,15 @@ def test_json_arrays_round_trip(spark, tmp_path):
     tables.write_json_arrays(df.limit(0), str(tmp_path / "none"))
     assert sorted((r["page_content"], r["metadata"]["k"]) for r in documents.from_json(spark, str(tmp_path / "arrays")).collect()) == sorted((r["page_content"], r["metadata"]["k"]) for r in df.collect())
     assert documents.from_json(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_staged_tables_are_removed_with_their_scope(spark):
+    import os
+
+    from quern.session import staged, staging
+
+    with staging(spark):
+        table = staged(spark.range(3), "numbers")
+        path = table.inputFiles()[0].removeprefix("file://")
+        assert table.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
