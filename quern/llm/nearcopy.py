@@ -264,13 +264,15 @@ def _blocks(threshold: float, rarity: np.ndarray, cells: int):
                     low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
                     axis = np.where(buckets[times] > 1, mixed(axis[times] + ODD * (low * np.uint64(1 << 20) + high + np.uint64(1))), axis[times])
                     side = np.where(own == other, 2, own > other).astype(np.uint8)
-                cell = (mixed(axis) % np.uint64(cells)).astype(np.int64)
+                spread = mixed(axis)
+                cell = (spread % np.uint64(cells)).astype(np.int64)
+                short_axis = (spread >> np.uint64(32)).astype(np.uint32)  # two axes of a cell that fall together give candidates that fail the check
                 tier = tier_of(sizes)
                 vectors = {int(t): _vectors(flat[np.repeat(tier == t, sizes)], sizes[tier == t], t) for t in np.unique(tier)}
                 within = np.zeros(len(sizes), np.int64)
                 for t in vectors:
                     within[tier == t] = np.arange((tier == t).sum())
-                by = np.lexsort((axis, cell))
+                by = np.lexsort((short_axis, cell))
                 cuts = np.flatnonzero(np.diff(cell[by], prepend=-1, append=-1))
                 out: list[list] = [[], [], []]
                 for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -278,7 +280,7 @@ def _blocks(threshold: float, rarity: np.ndarray, cells: int):
                     held, who = np.unique(of[entry], return_inverse=True)
                     held = held[np.argsort(tier[held], kind="stable")]
                     who = np.argsort(np.argsort(tier[np.unique(of[entry])], kind="stable"), kind="stable")[who]
-                    raw = np.array([len(held), len(entry)], np.int64).tobytes() + x[held].tobytes() + y[held].tobytes() + sizes[held].tobytes() + axis[entry].tobytes() + who.astype(np.int32).tobytes() + rest[entry].astype(np.int32).tobytes() + side[entry].tobytes()
+                    raw = np.array([len(held), len(entry)], np.int64).tobytes() + x[held].tobytes() + y[held].tobytes() + sizes[held].tobytes() + short_axis[entry].tobytes() + who.astype(np.int32).tobytes() + rest[entry].astype(np.int32).tobytes() + side[entry].tobytes()
                     raw += b"".join(v[within[held[tier[held] == t]]].tobytes() for t, v in sorted(vectors.items()))
                     for column, value in zip(out, (int(cell[entry[0]]), len(raw), pa.compress(raw, "zstd", asbytes=True))):
                         column.append(value)
@@ -307,11 +309,11 @@ class Cell:
             prints.append(np.frombuffer(raw, np.int64, 2 * n, at).reshape(2, n))
             sizes.append(np.frombuffer(raw, np.int64, n, at + 16 * n))
             at += 24 * n
-            axes.append(np.frombuffer(raw, np.uint64, m, at))
-            points.append(np.frombuffer(raw, np.int32, m, at + 8 * m).astype(np.int64) + count)
-            rests.append(np.frombuffer(raw, np.int32, m, at + 12 * m))
-            sides.append(np.frombuffer(raw, np.uint8, m, at + 16 * m))
-            at += 17 * m
+            axes.append(np.frombuffer(raw, np.uint32, m, at))
+            points.append(np.frombuffer(raw, np.int32, m, at + 4 * m).astype(np.int64) + count)
+            rests.append(np.frombuffer(raw, np.int32, m, at + 8 * m))
+            sides.append(np.frombuffer(raw, np.uint8, m, at + 12 * m))
+            at += 13 * m
             have = np.bincount(tier_of(sizes[-1]), minlength=len(vectors))
             for t, k in enumerate(have.tolist()):
                 width = GROUPS << (2 * t)
